@@ -6,13 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import harmonic_packing, media_columns
+from evenkeel.llm import harmonic_packing, host_reputation, media_columns, minimax_sharding, oracles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    return minimax_sharding.shard(table(spark, sf_dir, "documents"))
+
+
+# The rules of the url contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """host and bad (quality 0) of the pages that show a labelled document: the number that ends a page's path is its doc_id."""
+    shown = pages.select(host_reputation.host_of(F.col("url")).alias("host"), F.regexp_extract(host_reputation.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
+    return shown.where("doc_id is not null").join(labels.select("doc_id", (1 - F.col("quality")).alias("bad")), "doc_id").select("host", "bad")
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = host_reputation.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids in sequences of at most 2048."""
     packed = harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -25,8 +47,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minimax_sharding": op2_minimax_sharding,
+    "op3_host_reputation": op3_host_reputation,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op8_media_columns": op8_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
