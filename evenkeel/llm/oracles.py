@@ -36,4 +36,11 @@ SELECT page_id, host, path, rule, CASE
   WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN rates USING (host)"""
 
-ORACLES: dict[str, str] = {"op3_host_reputation": OP3}
+OP7 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
+FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id"""
+
+ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op7_pivot_index": OP7}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import harmonic_packing, host_reputation, media_columns, minimax_sharding, oracles
+from evenkeel.llm import harmonic_packing, host_reputation, media_columns, minimax_sharding, oracles, pivot_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "size_class")
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors: links at a cosine of 0.95 or more, and components."""
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as an image and read back."""
     return media_columns.text_image_digests(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_host_reputation": op3_host_reputation,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op7_pivot_index": op7_pivot_index,
     "op8_media_columns": op8_media_columns,
 }
 
