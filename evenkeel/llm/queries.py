@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import harmonic_packing, host_reputation, media_columns, minimax_sharding, oracles, pivot_index
+from evenkeel.llm import harmonic_packing, host_reputation, media_columns, minimax_sharding, oracles, pivot_index, prefix_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "size_class")
 
 
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: components of a Jaccard similarity of 0.9 or more on sets of 3-word shingles."""
+    return prefix_join.near_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors: links at a cosine of 0.95 or more, and components."""
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_host_reputation": op3_host_reputation,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_pivot_index": op7_pivot_index,
     "op8_media_columns": op8_media_columns,
 }
