@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import harmonic_packing, host_reputation, media_columns, minimax_sharding, oracles, pivot_index, prefix_join
+from evenkeel.llm import harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, from the documents whose remainder isn't 2."""
+    return lattice_scoring.score(table(spark, sf_dir, "documents"), lattice_scoring.held_out_by("doc_id", 7, 2), public_tokenizers.path("piece_bpe_32k.model"), class_col="lang")
+
+
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     return minimax_sharding.shard(table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_subword_lattice": op1_subword_lattice,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_host_reputation": op3_host_reputation,
     "op4_harmonic_packing": op4_harmonic_packing,
