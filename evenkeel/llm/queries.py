@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join
+from evenkeel.llm import crf_language, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,14 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_image_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, from the labelled documents whose remainder isn't 2."""
+    docs = table(spark, sf_dir, "documents").withColumn("apart", lattice_scoring.held_out_by("doc_id", 4, 2))
+    model = crf_language.fit(docs.where(~F.col("apart")))
+    found = crf_language.label(docs.withColumn("doc_id", F.struct("doc_id", "apart")), model)
+    return found.select("doc_id.doc_id", F.col("doc_id.apart").alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
 QUERIES = {
     "op1_subword_lattice": op1_subword_lattice,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -69,6 +77,7 @@ QUERIES = {
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_pivot_index": op7_pivot_index,
     "op8_media_columns": op8_media_columns,
+    "op10_crf_language": op10_crf_language,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
