@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf_language, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join
+from evenkeel.llm import crf_language, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's posterior quality; its source is the host and its language the path."""
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors: links at a cosine of 0.95 or more, and components."""
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_host_reputation": op3_host_reputation,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_pivot_index": op7_pivot_index,
     "op8_media_columns": op8_media_columns,
     "op10_crf_language": op10_crf_language,
