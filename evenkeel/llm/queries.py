@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf_language, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier
+from evenkeel.llm import crf_language, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier, soft_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_image_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate in a mix with equal tokens of each language."""
+    docs = table(spark, sf_dir, "documents")
+    found = soft_mixing.mix(docs, docs)
+    return found.select("doc_id", "tokens", "domain", "posterior", "rate")
+
+
 def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, from the labelled documents whose remainder isn't 2."""
     docs = table(spark, sf_dir, "documents").withColumn("apart", lattice_scoring.held_out_by("doc_id", 4, 2))
@@ -83,6 +90,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_pivot_index": op7_pivot_index,
     "op8_media_columns": op8_media_columns,
+    "op9_soft_mixing": op9_soft_mixing,
     "op10_crf_language": op10_crf_language,
 }
 
