@@ -7,7 +7,8 @@
    which keeps posteriors soft.
 2. Rates r >= 0 for documents are fitted so that the expected tokens of each domain, sum of r t p(domain), meet targets:
    least squares in relative units (errors divided by the square root of the domain's tokens), by projected gradient in
-   y = r sqrt(t). In these units the Hessian's eigenvalues are at most 1, so the step is 1. A round is one aggregation over
+   y = r sqrt(t). In these units the Hessian's eigenvalues are at most 1, so the step is 1. Rounds end when targets are met
+   to TOLERANCE of the total, which takes a few; where nonnegative rates can't meet them, after ROUNDS, near the optimum. A round is one aggregation over
    narrow rows that returns a number for each domain; r is an expression of the rounds so far, so nothing is written.
 
 Targets: shares for each domain of the total, given or (None) proportional to its tokens to the power `temper`; 0 makes
