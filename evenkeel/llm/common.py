@@ -121,6 +121,41 @@ def chunk_words(part: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return buffer, starts, ends, np.searchsorted(starts, edges)
 
 
+def distinct_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct lower-cased words of texts as a buffer with starts and ends; each word's place among them; where each text's words begin (with an end)."""
+    raws, hashes, starts, ends, begins = [], [], [], [], [np.zeros(1, np.int64)]
+    size = 0
+    for part in chunks(texts):
+        buffer, s, e, first = chunk_words(part)
+        raws.append(buffer)
+        hashes.append(span_hashes(buffer, s, e))
+        starts.append(s + size)
+        ends.append(e + size)
+        begins.append(first[1:] + begins[-1][-1])
+        size += len(buffer)
+    raw, starts, ends = (np.concatenate(x) for x in (raws, starts, ends))
+    _, index, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    starts, n = starts[index], (ends - starts)[index]
+    to = np.cumsum(n + 1) - n - 1
+    out = np.full(int((n + 1).sum()), 32, np.uint8)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to, n) + step] = raw[np.repeat(starts, n) + step]
+    return out, to, to + n, place, np.concatenate(begins)
+
+
+def text_groups(texts: list, words: int = 1_500_000):
+    """(begin, end) of parts with about so many words at most; a longer text stands alone, whole."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        n = len(text or "") // 5 + 1
+        if i > begin and size + n > words:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def shingles(texts: list, k: int):
     """(index, hashes of the text's k-word shingles, repeats included). Fewer words: the whole sequence as one; none: empty."""
     factors = [np.uint64(pow(_PRIME, 2 * j + 3, 1 << 64)) for j in range(k)]

@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import chunk_words, chunks, span_hashes
+from evenkeel.llm.common import distinct_words, span_hashes, text_groups
 
 PER_LANGUAGE, MOST_CHARS, EPOCHS, LEXICON = 200, 20_000, 24, 400
 UNKNOWN = "und"
 _TABLE, _ORDERS = 1 << 16, (2, 3, 4)
-_WORDS_AT_ONCE = 1_500_000
 
 
 @dataclass
@@ -62,28 +61,6 @@ def spaced(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return out, starts + 1, ends + 1
 
 
-def distinct_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct lower-cased words of texts as a buffer with starts and ends; each word's place among them; where each text's words begin (with an end)."""
-    raws, hashes, starts, ends, begins = [], [], [], [], [np.zeros(1, np.int64)]
-    size = 0
-    for part in chunks(texts):
-        buffer, s, e, first = chunk_words(part)
-        raws.append(buffer)
-        hashes.append(span_hashes(buffer, s, e))
-        starts.append(s + size)
-        ends.append(e + size)
-        begins.append(first[1:] + begins[-1][-1])
-        size += len(buffer)
-    raw, starts, ends = (np.concatenate(x) for x in (raws, starts, ends))
-    _, index, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    starts, n = starts[index], (ends - starts)[index]
-    to = np.cumsum(n + 1) - n - 1
-    out = np.full(int((n + 1).sum()), 32, np.uint8)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(to, n) + step] = raw[np.repeat(starts, n) + step]
-    return out, to, to + n, place, np.concatenate(begins)
-
-
 def lexicon_rows(model: Model, hashes: np.ndarray) -> np.ndarray:
     if not len(model.lexicon):
         return np.zeros((len(hashes), len(model.languages)), np.float32)
@@ -198,19 +175,6 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     return train([r.text for r in sample], [r.label for r in sample])
 
 
-def _groups(texts: list):
-    """Parts of a batch with about _WORDS_AT_ONCE words at most; a longer text stands alone."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "") // 5 + 1
-        if i > begin and size + n > _WORDS_AT_ONCE:
-            yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, n_words, n_switches, and with spans an array of (lang, first_word, n_words)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
@@ -226,7 +190,7 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         names = np.array(own.languages, object)
         for batch in batches:
             texts, letters = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for begin, end in _groups(texts):
+            for begin, end in text_groups(texts):
                 buffer, starts, ends, place, begins = distinct_words(texts[begin:end])
                 scores = np.zeros((len(starts), len(names)), np.float32)
                 for i in range(0, len(starts), 50_000):

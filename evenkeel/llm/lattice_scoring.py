@@ -24,7 +24,6 @@ are one; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from math import exp, log, log1p, log10
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import cut, lowered
+from evenkeel.llm.common import cut, distinct_words, text_groups
 
 HEAD, ROUNDS, SMOOTHING, MAX_CLASSES = 1 << 17, 3, 0.05, 8
 _LONG = 192  # bytes; longer words are segmented one by one
@@ -124,10 +123,12 @@ class Lattice:
                 if weights is not None:
                     backward = np.full((length + 1, len(part)), -np.inf)
                     backward[length] = np.log(weights[part]) - forward[length]
+                    shares = []
                     for i, k, rows, piece in reversed(edges):
                         through = backward[i + k, rows] + logp[piece]
                         backward[i, rows] = np.logaddexp(backward[i, rows], through)
-                        total += np.bincount(piece, np.exp(through + forward[i, rows]), self.size)
+                        shares.append(through + forward[i, rows])
+                    total += np.bincount(np.concatenate([e[3] for e in reversed(edges)]), np.exp(np.concatenate(shares)), self.size)
         return out if weights is None else total
 
     def _one(self, word: bytes, logp: np.ndarray, total: np.ndarray, weight: float | None) -> float:
@@ -185,27 +186,35 @@ def _counting(classes: int):
     """Partial counts of words: in all texts, and in the training texts of each class."""
 
     def run(batches):
-        tallies = [Counter() for _ in range(classes + 1)]
-
-        def flush():
-            words = list(set().union(*tallies))
-            columns = [[t[w] for w in words] for t in tallies]
-            for t in tallies:
-                t.clear()
-            uses = np.sum(columns, axis=0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(uses), *(pa.array(c, pa.int64()) for c in columns[:-1])], names=["word", "uses", *(f"c{i}" for i in range(classes))])
-
         for batch in batches:
-            for text, number in zip(batch.column(0), batch.column(1).to_pylist()):
-                tallies[number].update(lowered(text.as_py()).split())
-                if sum(map(len, tallies)) > 400_000:
-                    yield flush()
-        if any(tallies):
-            yield flush()
+            texts, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for begin, end in text_groups(texts):
+                buffer, starts, ends, place, begins = distinct_words(texts[begin:end])
+                which = np.repeat(numbers[begin:end], np.diff(begins))
+                counts = np.bincount(place * (classes + 1) + which, minlength=len(starts) * (classes + 1)).reshape(-1, classes + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(_spans(buffer, starts, ends), pa.binary()), pa.array(counts.sum(axis=1)), *(pa.array(c) for c in counts.T[:classes].copy())], names=["word", "uses", *(f"c{i}" for i in range(classes))])
 
     return run
 
 
+def _spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = buffer.tobytes()
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _joined(batches, rows: int = 1 << 17):
+    """Larger tables out of batches: words of a length are segmented together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def fit(words: DataFrame, classes: int, pieces: list[bytes], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log probabilities (classes x pieces) from the distinct words of each class: word, c0, c1, ..."""
     lattice = Lattice(pieces)
@@ -216,7 +225,7 @@ def fit(words: DataFrame, classes: int, pieces: list[bytes], rounds: int = ROUND
         def expect(batches, logp=logp):
             own = _lattice(pieces)
             total = np.zeros((classes, own.size))
-            for batch in batches:
+            for batch in _joined(batches):
                 all_words = np.array([*batch.column(0).to_pylist(), None], object)[:-1]
                 for i in range(classes):
                     chosen = all_words[batch.column(i + 1).to_numpy(zero_copy_only=False).astype(bool)]
@@ -278,7 +287,7 @@ def score(
 
     def scoring(batches):
         lattice = _lattice(pieces)
-        for batch in batches:
+        for batch in _joined(batches):
             named = batch.column(0).to_pylist()
             found = []
             for i in live:
@@ -286,10 +295,17 @@ def score(
                 with np.errstate(divide="ignore"):
                     found.append(np.logaddexp(np.log(arcs / tokens[i]), np.log(spelled[i] / tokens[i]) + lattice.score(named, logp[i])) / log(10))
             total = np.sum([batch.column(2 + i).to_numpy() for i in range(classes)], axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), *map(pa.array, found)], names=["word", "uses", "c", *s])
+            yield from pa.table([batch.column(0), batch.column(1), pa.array(total), *map(pa.array, found)], names=["word", "uses", "c", *s]).to_batches(1 << 14)
 
     scored = cut(words.mapInArrow(scoring, "word binary, uses long, c long, " + ", ".join(f"{x} double" for x in s)), "scored-words")
-    top = scored.orderBy(F.desc("uses"), "word").limit(head).collect()  # `head` rows, whatever the input
+    step = F.floor(F.log2("uses") * 64)
+    level, room = 1 << 20, head
+    for r in scored.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 64 steps to a doubling
+        room -= r.n
+        if room < 0:
+            break
+        level = r.step
+    top = scored.where(step >= level).collect()  # `head` rows at most
     table = np.array([[r.c, *(r[x] for x in s)] for r in top], float).reshape(len(top), 1 + len(s))
     frequent = spark.sparkContext.broadcast(({bytes(r.word): i for i, r in enumerate(top)}, table))
     least = log10(n + v + 1)
@@ -307,31 +323,25 @@ def score(
         values[:, 0] = np.log10(values[:, 0] + 1) - least
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                texts, first = part.column(1), row
-                sums, counts, rare_rows, rare_words, rare_times = [], [], [], [], []
-                for text in texts:
-                    tally = Counter(lowered(text.as_py()).split())
-                    at, times = [], []
-                    for word, t in tally.items():
-                        i = place.get(word)
-                        if i is None:
-                            rare_rows.append(row)
-                            rare_words.append(word)
-                            rare_times.append(t)
-                        else:
-                            at.append(i)
-                            times.append(t)
-                    at, times = np.array(at, np.int64), np.array(times, float)
-                    sums.append(times @ values[at] + start)
-                    counts.append((sum(tally.values()) + 1, int(times[known_words[at]].sum()) + known_end))
-                    row += 1
-                sums, counts = np.array(sums), np.array(counts, np.int64)
-                size = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, row)), part.column(0), part.column(2), pa.array(counts[:, 0]), pa.array(counts[:, 1]), *(pa.array(x) for x in sums.T.copy()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64())], names=names)
-                size = len(rare_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(rare_rows, pa.int64()), pa.nulls(size, part.column(0).type), pa.nulls(size, pa.bool_()), *[pa.nulls(size, pa.int64())] * 2, *[pa.nulls(size, pa.float64())] * (1 + len(s)), pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], names=names)
+            texts = batch.column(1).to_pylist()
+            for begin, end in text_groups(texts):
+                buffer, starts, stops, uses, begins = distinct_words(texts[begin:end])
+                words = _spans(buffer, starts, stops)
+                at = np.array([place.get(w, -1) for w in words], np.int64)[uses]
+                own = np.repeat(np.arange(end - begin), np.diff(begins))
+                common = at >= 0
+                sums = np.tile(start, (end - begin, 1))
+                for i in range(sums.shape[1]):
+                    sums[:, i] += np.bincount(own[common], values[at[common], i], end - begin)
+                known = np.bincount(own[common], known_words[at[common]], end - begin).astype(np.int64) + known_end
+                size = end - begin
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(size)), batch.column(0).slice(begin, size), batch.column(2).slice(begin, size), pa.array(np.diff(begins) + 1), pa.array(known), *(pa.array(x) for x in sums.T.copy()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64())], names=names)
+                pairs, times = np.unique(own[~common] * len(words) + uses[~common], return_counts=True)
+                for i in range(0, len(pairs), 1 << 16):
+                    which, word = np.divmod(pairs[i : i + (1 << 16)], len(words))
+                    size = len(which)
+                    yield pa.RecordBatch.from_arrays([pa.array(row + which), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), *[pa.nulls(size, pa.int64())] * 2, *[pa.nulls(size, pa.float64())] * (1 + len(s)), pa.array([words[w] for w in word.tolist()], pa.binary()), pa.array(times[i : i + (1 << 16)])], names=names)
+                row += end - begin
 
     parts = cut(rows.select("doc_id", "text", "held_out").mapInArrow(splitting, fields), "word-uses")
     rare = parts.where("word is not null").select("row", "word", "times").join(scored.drop("uses"), "word")

@@ -5,7 +5,7 @@ import numpy as np
 
 from evenkeel.llm import crf_language as cl
 from evenkeel.llm import queries
-from evenkeel.llm.common import chunk_words, chunks
+from evenkeel.llm.common import chunk_words, chunks, span_hashes
 
 
 def test_marginals_against_enumeration():
@@ -46,7 +46,7 @@ def test_emissions_against_a_plain_sum():
         want = model.bias.copy()
         for order, codes, table in zip(cl._ORDERS, cl.gram_codes(padded), model.grams):
             want += table[codes].sum(axis=0) if len(padded) >= order else 0
-        h = cl.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+        h = span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
         want += (cl.lexicon_rows(model, h) @ model.lexical)[0]
         assert np.allclose(row, want, atol=1e-4)
 
