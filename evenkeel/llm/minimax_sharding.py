@@ -2,6 +2,7 @@
 
 Groups of equal texts are atomic and stand in the order of their MD5. The smallest feasible shard capacity is
 found by binary search; a capacity is feasible if greedy filling needs no more than the given number of shards.
+Cuts then go as near to equal shares as that capacity lets them, so no shard at the end stays short.
 Greedy filling only needs the ordered prefix sums of group sizes, so the driver works on a coarse histogram
 (4,096 cells of key prefixes) and refines just the cells in which a cut can still fall, 256-fold each time:
 a few hundred cells for each round, whatever the size of the corpus. The cuts are then 15 key literals.
@@ -60,8 +61,36 @@ class Cells:
                 low = mid + 1
         return low
 
+    def mirrored(self) -> Cells:
+        """The same cells from the end."""
+        out = object.__new__(Cells)
+        out.keys, out.atomic = self.keys[::-1], self.atomic[::-1]
+        out.ends = [self.ends[-1] - e for e in reversed(self.ends)]
+        return out
+
+    def even(self, shards: int) -> tuple[list[int], set[str]]:
+        """Cuts of the least capacity that lie as near below equal shares as it lets them, and cells to refine first.
+
+        A cut must not lie before the point from which the shards behind it can hold the rest.
+        """
+        capacity, total = self.least(shards, True), self.ends[-1]
+        behind = self.mirrored().cuts(capacity, shards, True)[0]
+        found, at, wanted = [], 0, set()
+        for i in range(1, shards):
+            end = min(at + capacity, i * total // shards)
+            cell = bisect_right(self.ends, end) - 1
+            if end < total and self.ends[cell] < end and not self.atomic[cell]:
+                wanted.add(self.keys[cell])
+            at = max(self.ends[cell] if end < total else total, total - behind[shards - 1 - i])
+            found.append(at)
+        return found, wanted
+
     def open_cells(self, shards: int) -> list[str]:
-        """Cells of several groups that a cut of the best capacity may still fall into."""
+        """Cells of several groups that a cut may still fall into."""
+        both = self._open(shards) | self.mirrored()._open(shards)
+        return sorted(both or self.even(shards)[1])
+
+    def _open(self, shards: int) -> set[str]:
         first = self.cuts(self.least(shards, True), shards, False)[0]
         last = self.cuts(self.least(shards, False), shards, True)[0]
         found = set()
@@ -71,7 +100,7 @@ class Cells:
                 if not self.atomic[cell]:
                     found.add(self.keys[cell])
                 cell += 1
-        return sorted(found)
+        return found
 
 
 def boundaries(groups: DataFrame, shards: int) -> list[str]:
@@ -89,7 +118,7 @@ def boundaries(groups: DataFrame, shards: int) -> list[str]:
         seen = Cells(cells)
         wanted = seen.open_cells(shards)
         if not wanted:
-            ends = seen.cuts(seen.least(shards, True), shards, True)[0]
+            ends = seen.even(shards)[0]
             starts = dict(zip(seen.ends, seen.keys))
             return [starts[e] for e in ends if e in starts]
         width = {len(k) for k in wanted}

@@ -39,7 +39,14 @@ def test_refined_cells_reach_the_exact_minimum(sizes, shards, wide):
             half = n // 2
             cells[k] = (sum(sizes[begin : begin + half]), half)
             cells[f"{begin + half:04d}"] = (sum(sizes[begin + half : begin + n]), n - half)
-    assert keys and seen.least(shards, True) == brute(sizes, shards)
+    best = brute(sizes, shards)
+    assert keys and seen.least(shards, True) == best
+    cuts = [0, *seen.even(shards)[0], sum(sizes)]
+    assert set(cuts) <= set(seen.ends) and all(0 <= b - a <= best for a, b in zip(cuts, cuts[1:]))
+    prefix = [0]
+    for x in sizes:
+        prefix.append(prefix[-1] + x)
+    assert set(cuts) <= set(prefix)
 
 
 def validate(rows, docs):
