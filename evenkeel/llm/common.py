@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(df: DataFrame, rows: int, total: int, *columns: str) -> DataFrame:
+    """The `rows` rows with the least hash of the columns. total: the rows of df.
+
+    Only the part of the hash range that holds about twice as many is sorted, so tasks send few rows to the last one.
+    """
+    key = F.xxhash64(*columns)
+    bound = min(2.0 * rows / max(total, 1), 1.0) * 2.0**64 - 2.0**63
+    return df.where(key.cast("double") <= bound).orderBy(key, *columns).limit(rows)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of finished shuffles now: Spark deletes their files once the driver has collected its garbage, which a driver
+    with little to do may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that cut() has written in this process. Call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
@@ -89,13 +107,20 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    up, down = powers(len(buffer) + 1)
-    total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)], out=total[1:])
-    raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of byte spans in order, equal for equal bytes wherever they stand. Blocks of `most` bytes bound the memory."""
+    out = np.empty(len(starts), np.uint64)
+    begin = 0
+    while begin < len(starts):
+        low = starts[begin]
+        end = max(int(np.searchsorted(ends, low + most, "right")), begin + 1)
+        part, s, e = buffer[low : ends[end - 1]], starts[begin:end] - low, ends[begin:end] - low
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        out[begin:end] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        begin = end
+    return out
 
 
 def chunks(texts: list, most: int = 1 << 20):
