@@ -156,16 +156,17 @@ def rows_with_hashes(df: DataFrame, hashes: DataFrame, columns: Sequence[str] |
 def group_hashes(df: DataFrame, groups: Sequence[str], columns: Sequence[str] | None = None, **options) -> DataFrame:
     """A count and a hash for each group that don't depend on the order of rows.
 
-    Equal rows are counted first; a group's hash is the MD5 of its distinct row hashes' sums, so no task ever holds a
-    group: four exact 32-bit lanes of every row hash are added up over the group's rows.
+    A group's hash is the MD5 of four sums, of the 32-bit lanes of its rows' hashes, so rows are added up where they are
+    read and only one row for each task and group moves. Halves of lanes are summed apart, which can't overflow.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     own = [c for c in (columns or df.columns) if c not in groups]
     rows = df.select(*(encode(g, kinds[g], **options).alias(g) for g in groups), row_hash(df, own, **options).alias("h"))
-    counted = rows.groupBy(*groups, "h").agg(F.count("*").alias("n"))
-    lanes = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") * F.col("n")).alias(f"lane{i}") for i in range(4)]
-    total = counted.groupBy(*groups).agg(F.sum("n").alias("row_count"), *lanes)
-    return total.select(*groups, "row_count", F.upper(F.md5(F.concat_ws(":", *(F.col(f"lane{i}").cast("string") for i in range(4))))).alias("group_hash"))
+    rows = rows.select(*groups, *(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long").alias(f"lane{i}") for i in range(4)))
+    halves = [F.sum(half).alias(f"{name}{i}") for i in range(4) for name, half in (("high", F.shiftright(f"lane{i}", 16)), ("low", F.col(f"lane{i}").bitwiseAND(F.lit(65535))))]
+    total = rows.groupBy(*groups).agg(F.count("*").alias("row_count"), *halves)
+    lanes = [(F.col(f"high{i}").cast("decimal(20,0)") * 65536 + F.col(f"low{i}")).cast("decimal(38,0)").cast("string") for i in range(4)]
+    return total.select(*groups, "row_count", F.upper(F.md5(F.concat_ws(":", *lanes))).alias("group_hash"))
 
 
 def group_compare(source: DataFrame, target: DataFrame, groups: Sequence[str], columns: Sequence[str] | None = None, **options) -> DataFrame:
