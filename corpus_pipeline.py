@@ -40,8 +40,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = crf_language.label(docs, crf_language.fit(docs))
-    return _only(docs, found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    # the whole row goes along as the id, so nothing has to meet again
+    whole = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
+    found = crf_language.label(whole, crf_language.fit(docs), id_col="__row")
+    kept = found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import components, cut, shingles
+from evenkeel.llm.common import components, cut, shingles, tidy
 
 CELLS, PARTS = 1 << 21, 512
 SALTS = 32
@@ -45,38 +45,41 @@ def least_size(n: int, percent: int) -> int:
 
 
 def _counting(k: int):
-    """Each task's counts of hash cells, in PARTS pieces."""
+    """Each task's counts of hash cells, in PARTS pieces: low bytes, and the cells that need more with the rest."""
 
     def run(batches):
-        counts = np.zeros(CELLS, np.uint32)
+        counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             held, size = [], 0
             for _, found in shingles(batch.column(0).to_pylist(), k):
                 held.append(found)
                 size += len(found)
                 if size > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                    counts += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
                     held, size = [], 0
             if size:
-                counts += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        step = CELLS // PARTS
+                counts += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([counts[i * step : (i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())], names=["part", "counts"])
+            pieces = counts.reshape(PARTS, -1)
+            large = [np.flatnonzero(p > 255) for p in pieces]
+            columns = [pa.array(range(PARTS), pa.int32()), pa.array([p.astype(np.uint8).tobytes() for p in pieces], pa.binary()), pa.array(large, pa.list_(pa.int64())), pa.array([p[i] >> 8 for p, i in zip(pieces, large)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "low", "cells", "high"])
 
     return run
 
 
 def _adding(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CELLS // PARTS, np.int64)
-    for raw in pdf["counts"]:
-        total += np.frombuffer(raw, np.uint32)
+    for low, cells, high in zip(pdf["low"], pdf["cells"], pdf["high"]):
+        total += np.frombuffer(low, np.uint8)
+        total[np.asarray(cells, np.int64)] += np.asarray(high, np.int64) << 8
     levels = np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8)
     return pd.DataFrame({"part": [key[0]], "levels": [levels.tobytes()]})
 
 
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
     """A level from 0 to 255 for each hash cell: eight to a doubling of the count. CELLS bytes, whatever the input."""
-    rows = texts.mapInArrow(_counting(k), "part int, counts binary").groupBy("part").applyInPandas(_adding, "part int, levels binary").collect()
+    rows = texts.mapInArrow(_counting(k), "part int, low binary, cells array<long>, high array<long>").groupBy("part").applyInPandas(_adding, "part int, levels binary").collect()
     levels = np.zeros(CELLS, np.uint8)
     step = CELLS // PARTS
     for r in rows:
@@ -159,12 +162,18 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     about = cut(rows.mapInArrow(_prefixes(k, percent, shared), "id long, n int, digest binary, head binary, prefix array<long>"), "prefixes")
 
     # equal sets: one node each, named by the least id
-    nodes = about.where("digest is not null and id is not null").groupBy("digest", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.any_value("head").alias("head"), F.any_value("prefix").alias("prefix"))
-    nodes = cut(nodes, "sets")
+    named = about.where("digest is not null and id is not null")
+    nodes = cut(named.groupBy("digest", "head", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "sets")
     # groups: the same prefix and size
     members = cut(nodes.groupBy("head", "n").agg(F.min("node").alias("grp"), F.count("*").alias("members")).join(nodes.select("head", "n", "node"), ["head", "n"]).select("grp", "members", "node"), "members")
-    groups = nodes.join(members.select("grp").distinct(), F.col("node") == F.col("grp"), "left_semi").select(F.col("node").alias("grp"), "n", "prefix")
-    posted = groups.select("grp", "n", F.posexplode("prefix").alias("at", "token")).withColumn("r", F.col("n") - F.col("at"))
+    heads = members.where("grp = node").select("grp").hint("shuffle_hash")
+    groups = cut(named.select("id", "n", "prefix").join(heads, F.col("id") == F.col("grp"), "left_semi").select(F.col("id").alias("grp"), "n", "prefix"), "groups")
+    # most shingles of a prefix are in no other: they are dropped before anything wider is moved
+    posted = groups.select("grp", "n", F.posexplode("prefix").alias("at", "token")).select("token", "grp", "n", (F.col("n") - F.col("at")).alias("r"))
+    common = posted.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
+    tidy(spark)
+    posted = cut(posted.join(common, "token"), "postings")
+    tidy(spark)
     # a size class and the next: two sizes that differ by no more than 1/t meet in the class of the larger
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + F.lit(1e-9)).cast("int")
     lists = posted.withColumn("own", own).withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1)))
@@ -173,11 +182,14 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     busy = busy.select("token", "cls", (-F.col("top.col2")).alias("pivot"))
     lists = cut(lists.join(busy, ["token", "cls"]).select("token", "cls", "grp", "n", "r", "pivot"), "lists")
 
+    tidy(spark)
     candidates = lists.select(F.col("grp").alias("g")).distinct()
     wanted = members.join(candidates, F.col("grp") == F.col("g"), "left_semi").select("node").union(members.where("members > 1").select("node")).distinct()
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
     sets = cut(texts.mapInArrow(_sets(k, shared), "node long, tokens array<long>"), "whole-sets")
 
+    tidy(spark)
+
     def expand(group_pairs: DataFrame) -> DataFrame:
         """Group pairs (g, h): the head of each with all members of the other."""
         one = group_pairs.join(members, F.col("h") == F.col("grp")).select(F.col("g").alias("a"), F.col("node").alias("b"))
