@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import components, cut
+from evenkeel.llm.common import components, cut, first_by_hash
 
 COSINE, DEPTH, SHARED, BLOCK, MAX_PIVOTS, SALTS = 0.95, 8, 3, 2048, 2048, 64
 
@@ -107,7 +107,7 @@ def _verifying(cosine: float, shared: int):
 def _links(nodes: DataFrame, cosine: float, depth: int, shared: int, block: int) -> DataFrame:
     """a, b, n as _verifying returns them, for distinct vectors of one length."""
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("v"), "node").limit(pivot_count(total)).select("v").collect()
+    sample = first_by_hash(nodes, pivot_count(total), total, "v", "node").select("v").collect()
     pivots = unit([r.v for r in sample])
     kind = nodes.schema["v"].dataType.simpleString()
     described = cut(nodes.select("node", "weight", "v").mapInPandas(_describing(pivots, depth), f"node long, weight long, v {kind}, pivots array<short>"), "described")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import cut
+from evenkeel.llm.common import cut, first_by_hash
 
 SAMPLE, SALTS, THRESHOLD = 20_000, 32, 0.5
 FIGURES = 12
@@ -139,7 +139,7 @@ def score(
     measured = cut(rows.mapInArrow(_measuring, f"doc_id {kind}, host string, path string, x array<double>"), "figures")
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(label_id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("good"))
     labelled = cut(measured.join(known, "doc_id"), "labelled")
-    drawn = labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "good").limit(sample).select("x", "good").collect()
+    drawn = first_by_hash(labelled, sample, labelled.count(), "doc_id", "good").select("x", "good").collect()
     y = np.array([r.good for r in drawn], float)
     learned = len(set(y)) == 2
     weights = logistic(np.array([r.x for r in drawn]), y) if learned else np.zeros(2 * FIGURES + 1)
