@@ -33,7 +33,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/evenkeel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.evenkeel_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing unwritten reads any more."""
+    for df in tables:
+        _WRITTEN.remove(df.evenkeel_path)
+        _delete(df.sparkSession, df.evenkeel_path)
 
 
 def first_by_hash(df: DataFrame, rows: int, total: int, *columns: str) -> DataFrame:
@@ -55,11 +69,8 @@ def tidy(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete every table that cut() has written in this process. Call it when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
 
 
 # ---------------------------------------------------------------- words
@@ -211,8 +222,8 @@ def shingles(texts: list, k: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is the smallest node reachable.
 
-    Large-star and small-star steps in turn, each written to the shared folder; every step is a grouped
-    minimum and an equi-join, so a star of any size is split by partial aggregation and adaptive skew joins.
+    Large-star and small-star steps in turn. A step is a grouped minimum, which partial aggregation splits, and an equi-join
+    with it; the minimum is written first, so that the adaptive skew join can deal the edges of one star over tasks.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
 
@@ -222,11 +233,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large, "edges")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        spent = [edges, low, large, least]
         edges = cut(small, "edges")
+        discard(*spent)
         after = state(edges)
         if after == before:
             break

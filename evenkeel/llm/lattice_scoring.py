@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import cut, distinct_words, text_groups
+from evenkeel.llm.common import cut, discard, distinct_words, text_groups
 
 HEAD, ROUNDS, SMOOTHING, MAX_CLASSES = 1 << 17, 3, 0.05, 8
 _LONG = 192  # bytes; longer words are segmented one by one
@@ -298,6 +298,7 @@ def score(
             yield from pa.table([batch.column(0), batch.column(1), pa.array(total), *map(pa.array, found)], names=["word", "uses", "c", *s]).to_batches(1 << 14)
 
     scored = cut(words.mapInArrow(scoring, "word binary, uses long, c long, " + ", ".join(f"{x} double" for x in s)), "scored-words")
+    discard(words)
     step = F.floor(F.log2("uses") * 64)
     level, room = 1 << 20, head
     for r in scored.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 64 steps to a doubling

@@ -8,11 +8,14 @@ A document is its set of distinct k-word shingles. Two link when the Jaccard sim
 3. Sets with the same prefix and size become a group, and groups meet in the lists of their prefix shingles. Lists
    are split by size class (a factor 1/t), as sizes of a link differ no more. A pair has to pass the positional filter:
    what can still be shared from the two positions on must reach the overlap that t asks for.
-4. Pairs are expanded to members and verified on whole sets. First every list is tied to one group of it (the one with
+4. Pairs are expanded to members and verified on whole sets, if their counts of shingles in 64 buckets let them link. First every list is tied to one group of it (the one with
    the earliest position); once components are known, only pairs that lie in different components are still formed.
    So a family of m near copies costs about m pairs, not m squared, and no pair that could join two components
    is left out: components are exact.
 
+What a list's counts decide is written before the list's rows meet it, so that a list with a third of all rows is dealt
+over tasks by the adaptive skew join.
+
 Results that are defined: a null, empty or blank text has an empty set and links with nothing (its component is its
 own id); fewer than k words count as one shingle; equal sets are one component whatever t; the component of a row
 is the least id reachable; rows that share an id must hold the same text; rows with a null id come back with a null
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import components, cut, shingles, tidy
+from evenkeel.llm.common import components, cut, discard, shingles, tidy
 
 CELLS, PARTS = 1 << 21, 512
-SALTS = 32
+SALTS, BUCKETS = 32, 64
 
 
 def least_size(n: int, percent: int) -> int:
@@ -118,12 +121,15 @@ def _prefixes(k: int, percent: int, shared):
 
 
 def _sets(k: int, shared):
+    """Whole sets, and how many of their shingles fall into each of BUCKETS."""
+
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 found = [_signed(tokens(x, levels)) for _, x in shingles(batch.column(1).slice(at, 512).to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(found, pa.list_(pa.int64()))], names=["node", "tokens"])
+                buckets = [np.bincount(x & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([len(x) for x in found], pa.int32()), pa.array(buckets, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "buckets", "tokens"])
 
     return run
 
@@ -132,8 +138,13 @@ def _sets(k: int, shared):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link. Rows of an `a` with many partners are dealt over salts."""
+    """Those of the distinct pairs (a, b) that link, written. Rows of an `a` with many partners are dealt over salts."""
     pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    # two sets share no more than the lesser count of each bucket, so most pairs go before whole sets move
+    small = [sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("buckets").alias(f"b{c}")) for c in "xy"]
+    most = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.least(p, q)), F.lit(0), lambda total, c: total + c)
+    pairs = cut(pairs.join(small[0], "x").join(small[1], "y").where(most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent).select("x", "y"), "pairs")
+    plain = pairs
     both = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).groupBy("node").agg(F.count("*").alias("partners"))
     pairs = cut(pairs.join(both.withColumnRenamed("node", "x").withColumnRenamed("partners", "px"), "x").join(both.withColumnRenamed("node", "y").withColumnRenamed("partners", "py"), "y"), "pairs")
     # a: the one with more partners; its set is repeated once for every 64 of them
@@ -144,7 +155,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = turned.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(copies, ["a", "salt"])
     shared = F.size(F.array_intersect("ta", "tb"))
     linked = joined.select("a", "b", shared.alias("s"), (F.size("ta") + F.size("tb") - shared).alias("u")).where(F.col("s") * 100 >= F.col("u") * percent)
-    return linked.select("a", "b")
+    links = cut(linked.select("a", "b"), "links")
+    discard(plain, pairs)
+    return links
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -170,23 +183,25 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = cut(named.select("id", "n", "prefix").join(heads, F.col("id") == F.col("grp"), "left_semi").select(F.col("id").alias("grp"), "n", "prefix"), "groups")
     # most shingles of a prefix are in no other: they are dropped before anything wider is moved
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("at", "token")).select("token", "grp", "n", (F.col("n") - F.col("at")).alias("r"))
-    common = posted.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
+    common = cut(posted.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token"), "common")
     tidy(spark)
     posted = cut(posted.join(common, "token"), "postings")
+    discard(groups, common)
     tidy(spark)
     # a size class and the next: two sizes that differ by no more than 1/t meet in the class of the larger
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + F.lit(1e-9)).cast("int")
     lists = posted.withColumn("own", own).withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     # lists with a native member and another one
     busy = lists.groupBy("token", "cls").agg(F.count("*").alias("size"), F.max(F.col("own") == F.col("cls")).alias("native"), F.max(F.struct(F.col("r") / F.col("n"), -F.col("grp"))).alias("top")).where("size > 1 and native")
-    busy = busy.select("token", "cls", (-F.col("top.col2")).alias("pivot"))
+    busy = cut(busy.select("token", "cls", (-F.col("top.col2")).alias("pivot")), "busy")
     lists = cut(lists.join(busy, ["token", "cls"]).select("token", "cls", "grp", "n", "r", "pivot"), "lists")
+    discard(posted, busy)
 
     tidy(spark)
     candidates = lists.select(F.col("grp").alias("g")).distinct()
     wanted = members.join(candidates, F.col("grp") == F.col("g"), "left_semi").select("node").union(members.where("members > 1").select("node")).distinct()
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
-    sets = cut(texts.mapInArrow(_sets(k, shared), "node long, tokens array<long>"), "whole-sets")
+    sets = cut(texts.mapInArrow(_sets(k, shared), "node long, n int, buckets array<int>, tokens array<long>"), "whole-sets")
 
     tidy(spark)
 
@@ -199,14 +214,14 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     star = lists.where("grp <> pivot").select("token", "cls", F.struct("grp", "n", "r").alias("q")).join(pivots, ["token", "cls"]).where(_may_link("p", "q", percent))
     star = expand(star.select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).distinct())
     within = members.where("members > 1 and grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
-    links = cut(_verified(star.union(within), sets, percent), "links")
-    labels = cut(components(links), "labels")
+    links = _verified(star.union(within), sets, percent)
+    first_labels = cut(components(links), "labels")
 
     # what lies in different components and may still link
-    known = cut(members.join(labels, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component")), "known")
+    known = cut(members.join(first_labels, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component")), "known")
     spread = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_lists = lists.select("token", "cls", "grp", "n", "r").join(spread, "grp")
-    mixed = open_lists.groupBy("token", "cls").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token", "cls")
+    mixed = cut(open_lists.groupBy("token", "cls").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token", "cls"), "mixed")
     open_lists = cut(open_lists.join(mixed, ["token", "cls"], "left_semi"), "open-lists")
     side = F.struct("grp", "n", "r", "low", "high")
     apart = (F.col("p.low") != F.col("q.low")) | (F.col("p.low") != F.col("p.high")) | (F.col("q.low") != F.col("q.high"))
@@ -215,8 +230,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = rest.union(spread.where("low <> high").select(F.col("grp").alias("g"), F.col("grp").alias("h")))
     left, right = known.select(F.col("grp").alias("g"), F.col("node").alias("a"), F.col("component").alias("ca")), known.select(F.col("grp").alias("h"), F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = rest.join(left, "g").join(right, "h").where("ca <> cb").select("a", "b")
-    more = cut(_verified(rest, sets, percent).union(labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))), "links")
-    labels = cut(components(more), "labels")
+    more = _verified(rest, sets, percent)
+    labels = cut(components(more.union(first_labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))), "labels")
+    discard(members, lists, sets, links, first_labels, known, mixed, open_lists, more)
 
     # back to rows: sets with copies over salts, so that no group of copies meets in one task
     done = nodes.join(labels, "node", "left").select("digest", "n", "node", "copies", F.coalesce("component", "node").alias("component"))
