@@ -17,6 +17,14 @@ def _number(c: Column) -> Column:
     return F.when(short == "-0", F.lit("0")).otherwise(short)
 
 
+def _double(c: Column) -> Column:
+    """The same form without a decimal where the plain text already has it: no exponent and at most eight decimals."""
+    text, size = c.cast("string"), F.abs(c)
+    plain = (size < 1e7) & (size >= 1e-3) & (F.length(text) - F.locate(".", text) <= 8)
+    short = F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.when(size == 0, F.lit("0")).when(plain, short).otherwise(_number(c))
+
+
 def json_in_order(c: Column) -> Column:
     """A JSON object with its top-level keys in order; null if the text is none."""
     pairs = F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
@@ -36,6 +44,8 @@ def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: boo
         out = F.date_format(c, "yyyy-MM-dd" if dates_only else "yyyy-MM-dd HH:mm:ss.SSS")
     elif isinstance(kind, T.IntegralType):
         out = c.cast("string")
+    elif isinstance(kind, T.DoubleType):
+        out = _double(c)
     elif isinstance(kind, T.NumericType):
         out = _number(c)
     elif isinstance(kind, T.MapType):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions import types, warehouse
+from evenkeel.functions import canonical, types, warehouse
 from evenkeel.functions.canonical import NULL, encode, plain_scalar, signature
 from evenkeel.operators import compare, history, reconcile, sql_text
 from evenkeel.sources import jobs
@@ -50,6 +50,16 @@ def test_text_forms(spark):
     assert len({r[0] for r in a.select(signature(a)).collect()}) == 2
 
 
+def test_both_forms_of_doubles_agree(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [0.0, -0.0, 1e-3, 9.999e-4, 1e7, 9999999.5, 1.00000001, 1.000000001, 123456.12345678, 1e-9, -2.5, -100.0, 1e22, float("nan"), float("inf"), None]
+    values += [round(rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 12), rng.randrange(0, 12)) for _ in range(3000)] + [rng.uniform(-2, 2) * 10 ** rng.randrange(-5, 9) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "c double")
+    assert df.where(~canonical._double(F.col("c")).eqNullSafe(canonical._number(F.col("c")))).count() == 0
+
+
 def test_plain_scalars(spark):
     cases = {"excel,python": "excel,python", "python, Excel": "Excel,python", "a,,b": "a,b", " AB ": "AB", "13-01-2024": "2024-01-13", "31-02-2024": "31-02-2024", "2024-01-13": "2024-01-13", "x,": "x,", '{"b":"2","a":"1"}': '{"a":"1","b":"2"}'}
     df = spark.createDataFrame([(k,) for k in cases], "c string")
