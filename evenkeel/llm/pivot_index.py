@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import components, cut, first_by_hash
 
-COSINE, DEPTH, SHARED, BLOCK, MAX_PIVOTS, SALTS = 0.95, 8, 3, 2048, 2048, 64
+COSINE, DEPTH, SHARED, BLOCK, MAX_PIVOTS, APART, SALTS = 0.95, 8, 3, 2048, 2048, 0.7, 64
 
 
 def pivot_count(rows: int) -> int:
@@ -39,6 +39,18 @@ def unit(rows) -> np.ndarray:
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
+def apart(vectors: np.ndarray, wanted: int, nearest: float = APART) -> np.ndarray:
+    """The first vectors, at most `wanted`, of which no two have a cosine above `nearest`.
+
+    Pivots from one cloud of near copies would fill the lists of all that is near it, in an order that is noise.
+    """
+    kept: list[int] = []
+    for i, v in enumerate(vectors):
+        if len(kept) < wanted and (not kept or (vectors[kept] @ v).max() <= nearest):
+            kept.append(i)
+    return vectors[kept]
+
+
 def describe(vectors: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """Numbers of the `depth` nearest pivots of unit vectors, nearest first."""
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, : min(depth, len(pivots))]
@@ -107,8 +119,9 @@ def _verifying(cosine: float, shared: int):
 def _links(nodes: DataFrame, cosine: float, depth: int, shared: int, block: int) -> DataFrame:
     """a, b, n as _verifying returns them, for distinct vectors of one length."""
     total = nodes.count()
-    sample = first_by_hash(nodes, pivot_count(total), total, "v", "node").select("v").collect()
-    pivots = unit([r.v for r in sample])
+    wanted = pivot_count(total)
+    sample = first_by_hash(nodes, 3 * wanted, total, "v", "node").select("v").collect()
+    pivots = apart(unit([r.v for r in sample]), wanted)
     kind = nodes.schema["v"].dataType.simpleString()
     described = cut(nodes.select("node", "weight", "v").mapInPandas(_describing(pivots, depth), f"node long, weight long, v {kind}, pivots array<short>"), "described")
     popular = {r.p: r.n for r in described.select(F.explode("pivots").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}  # MAX_PIVOTS at most

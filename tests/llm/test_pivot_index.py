@@ -54,6 +54,17 @@ def test_recall_and_precision_against_brute_force(spark, block):
     assert sum(out[i][1] == want[i][1] for i in want) >= 0.95 * len(want)
 
 
+def test_a_large_cloud_of_near_copies_keeps_its_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=48)
+    rows = list(rng.normal(size=(500, 48))) + [base + 0.12 * rng.normal(size=48) for _ in range(300)]
+    vectors = [(i, v.tolist()) for i, v in enumerate(rows)]
+    want = brute(vectors)
+    out = {r.vec_id: (r.n_links, r.component_id) for r in pi.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert sum(n for n, _ in out.values()) >= 0.98 * sum(n for n, _ in want.values()) > 10_000
+    assert {i: c for i, (_, c) in out.items()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (10, [1e300, 2e300])]
