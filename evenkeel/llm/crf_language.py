@@ -7,8 +7,9 @@ features and of transitions between languages are learned together by gradients
 has the largest mean marginal, which is its score.
 
 The model is fitted on a sample of labelled rows with a fixed bound (`per_language` rows of at most `most_chars` characters
-for each language, in the order of a hash); every text is labelled whole. Scoring needs no shuffle: the model (under 10 MB,
-whatever the input) goes to the tasks.
+for each language, in the order of a hash; a language that has longer texts only gives `most_chars` characters of each, from
+the first letter on); every text is labelled whole. Every label with a letter in a text is learned; more than MOST_LANGUAGES
+raise an error. Scoring needs no shuffle: the model (about 1 MB for each language, whatever the input) goes to the tasks.
 
 Results that are defined: `und` with score 0 for a text that is null or has no letter, and for all texts if there is no
 labelled row; repeated rows are labelled each; an empty table gives no rows; other columns are ignored.
@@ -20,12 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import distinct_words, span_hashes, text_groups
+from evenkeel.llm.common import cut, distinct_words, span_hashes, text_groups
 
 PER_LANGUAGE, MOST_CHARS, EPOCHS, LEXICON = 200, 20_000, 24, 400
+#: Training holds about 6 MB for each language on the driver.
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 _TABLE, _ORDERS = 1 << 16, (2, 3, 4)
 
@@ -103,8 +106,8 @@ def marginals(scores: np.ndarray, begins: np.ndarray, moves: np.ndarray, pairs:
         onward = seen[i] * back[:n]
         onward /= onward.sum(axis=1, keepdims=True)
         if pairs is not None:
-            joint = forward[i - 1][:, :, None] * step[None] * onward[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            before = forward[i - 1]
+            pairs += step * ((before / ((before @ step) * onward).sum(axis=1, keepdims=True)).T @ onward)
         forward[i] *= back[:n]
         back[:n] = onward @ step.T
         back[:n] /= back[:n].sum(axis=1, keepdims=True)
@@ -161,17 +164,25 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, lexicon: in
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order_col: str = "doc_id", per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> Model | None:
     """The model from a bounded sample; None if no row has a label and a text with a letter."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col), F.lit(11)).alias("h"))
-    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(64).collect()}
-    if not counts:
+    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("long", F.length("text") > most_chars)
+    kinds = rows.groupBy("label", "long").agg(F.count("*").alias("n"), F.min("h").cast("double").alias("least"))
+    # false comes before true: long texts count only where a label has no others
+    sizes = kinds.groupBy("label").agg(F.min(F.struct("long", "n", "least")).alias("of")).select("label", "of.*")
+    sizes = cut(sizes, "labels")
+    labels = sizes.count()
+    if not labels:
         return None
-    # a share of the hash range that holds about twice the rows wanted, then the first of them
+    if labels > MOST_LANGUAGES:
+        raise ValueError(f"{labels} labels; at most {MOST_LANGUAGES} can be learned")
+    # a share of the hash range that holds about twice the rows wanted, and one at least; then the first of them
     full = 2.0**64
-    bound = F.coalesce(*(F.when(F.col("label") == label, F.lit(min(2.0 * per_language / n, 1.0) * full - full / 2)) for label, n in counts.items()))
-    near = rows.where(F.col("h").cast("double") <= bound)
-    sample = []
-    for label in sorted(counts):
-        sample += near.where(F.col("label") == label).orderBy("h", "text").limit(per_language).collect()
+    bound = F.greatest(F.least(2.0 * per_language / F.col("n"), F.lit(1.0)) * full - full / 2, "least")
+    bounds = sizes.select(F.col("label").alias("of"), F.col("long").alias("is_long"), bound.alias("bound"))
+    near = rows.join(F.broadcast(bounds), (F.col("label") == F.col("of")) & (F.col("long") == F.col("is_long"))).where(F.col("h").cast("double") <= F.col("bound"))
+    begun = F.when(F.col("long"), F.regexp_instr("text", F.lit(r"\p{L}"))).otherwise(1)
+    near = near.select("label", "h", F.substring("text", begun, F.lit(most_chars)).alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+    sample = sorted(near.withColumn("place", place).where(F.col("place") <= per_language).collect(), key=lambda r: (r.label, r.place))
     return train([r.text for r in sample], [r.label for r in sample])
 
 
@@ -190,12 +201,13 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         names = np.array(own.languages, object)
         for batch in batches:
             texts, letters = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for begin, end in text_groups(texts):
+            wide = max(len(names), 4) // 4
+            for begin, end in text_groups(texts, 1_500_000 // wide):
                 buffer, starts, ends, place, begins = distinct_words(texts[begin:end])
                 scores = np.zeros((len(starts), len(names)), np.float32)
-                for i in range(0, len(starts), 50_000):
-                    a, b = starts[i : i + 50_000], ends[i : i + 50_000]
-                    scores[i : i + 50_000] = emissions(own, buffer[a[0] : b[-1]], a - a[0], b - a[0])
+                for i in range(0, len(starts), block := 50_000 // wide):
+                    a, b = starts[i : i + block], ends[i : i + block]
+                    scores[i : i + block] = emissions(own, buffer[a[0] : b[-1]], a - a[0], b - a[0])
                 scores = scores[place]
                 found = marginals(scores, begins, own.moves.astype(np.float32))
                 n = np.diff(begins)
