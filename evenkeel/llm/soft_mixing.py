@@ -1,7 +1,8 @@
 """Mixing by soft domain membership (DataFrame functions only).
 
-1. A naive Bayes classifier of words is fitted on a labelled table: a sample of about SAMPLE rows by a hash of the id,
-   word counts for each domain, and the VOCABULARY words that tell most (count times spread of log probability).
+1. A naive Bayes classifier of words is fitted on a labelled table: a sample of about SAMPLE rows, shared out evenly over
+   the domains (LEAST rows for each at least) and drawn by a hash of the id and text; priors from all labelled rows;
+   word counts for each domain, every one of them, and the VOCABULARY words that tell most (count times spread of log probability).
    All documents are read whole: words meet the vocabulary (a fixed number of rows, broadcast), and log evidence is
    summed for each document before any shuffle. Evidence is divided by the square root of the number of words met,
    which keeps posteriors soft.
@@ -12,7 +13,7 @@
    narrow rows that returns a number for each domain; r is an expression of the rounds so far, so nothing is written.
 
 Targets: shares for each domain of the total, given or (None) proportional to its tokens to the power `temper`; 0 makes
-all equal. The total is the corpus's tokens, or with `grow` the least total in which no domain shrinks.
+all equal; a share for a domain that no row is labelled with raises an error. The total is the corpus's tokens, or with `grow` the least total in which no domain shrinks.
 
 Results that are defined: a null or empty text has no tokens, the prior as posterior, and the rate that follows; a text
 with no word of the vocabulary too; without labelled rows there is one domain, '', and all rates are 1; domains without
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import cut
 
-SAMPLE, VOCABULARY, MAX_DOMAINS, ROUNDS, TOLERANCE = 4_000, 1_000, 32, 50, 1e-6
+SAMPLE, LEAST, VOCABULARY, ROUNDS, TOLERANCE = 4_000, 100, 1_000, 50, 1e-6
 _NO_WORD = ""
 
 
@@ -41,14 +42,18 @@ def words_of(text: Column) -> Column:
 def classifier(labelled: DataFrame, id_col: str, text_col: str, domain_col: str, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> tuple[list[str], list[float], DataFrame | None]:
     """Domains, their log priors, and (word, l0, l1, ...): log p(word | domain) less its mean over domains."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).where("domain is not null")
-    sizes = rows.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()
+    # rows with words can be drawn, and the one with the least hash always is
+    rows = rows.withColumn("h", F.when(F.size(words_of(F.col("text"))) > 0, F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 30))))
+    sized = cut(rows.groupBy("domain").agg(F.count("*").alias("n"), F.count("h").alias("usable"), F.min("h").alias("least")), "domain-sizes")
+    sizes = sized.select("domain", "n").collect()
     if not sizes:
         return [_NO_WORD], [0.0], None
     domains = sorted(r.domain for r in sizes)
-    total = sum(r.n for r in sizes)
-    priors = [log(next(r.n for r in sizes if r.domain == d) / total) for d in domains]
-    bound = int(min(1.0, sample / total) * (1 << 30))
-    chosen = rows.where(F.col("domain").isin(domains) & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < bound))
+    total, count = sum(r.n for r in sizes), {r.domain: r.n for r in sizes}
+    priors = [log(count[d] / total) for d in domains]
+    share = F.least(F.lit(1.0), F.lit(float(max(sample // len(domains), LEAST))) / F.col("usable")) * float(1 << 30)
+    bounds = sized.where("usable > 0").select(F.col("domain").alias("of"), F.greatest(share, F.col("least") + 1.0).alias("bound"))
+    chosen = rows.join(F.broadcast(bounds), F.col("domain") == F.col("of")).where(F.col("h") < F.col("bound"))
     counts = chosen.select("domain", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)))
     counts = cut(counts, "domain-words")
     sums = counts.agg(F.count("*").alias("v"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains)))).first()
@@ -85,6 +90,8 @@ def posteriors(docs: DataFrame, model: tuple[list[str], list[float], DataFrame |
 
 def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float] | None, temper: float = 0.0, grow: bool = False, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float], list[float], int]:
     """The rate as an expression of members' columns (tokens, p0, ...), targets, expected tokens, rounds used."""
+    if unknown := sorted(set(weights or ()) - set(domains)):
+        raise ValueError(f"weights for domains that no row is labelled with: {unknown}")
     n = len(domains)
     p = [F.col(f"p{i}") for i in range(n)]
     first = members.agg(*(F.sum(F.col("tokens") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
