@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from evenkeel.llm import crf_language, harmonic_packing, prefix_join, quality_classifier, soft_mixing
 from evenkeel.llm.common import shared_folder
 
-#: Mean probability that a text's words have its language; clean texts of one language are far above.
-LEAST_LANGUAGE_SCORE = 0.34
+#: Mean probability that a text's words have its language; clean texts of one language are far above, texts of two halves near 0.5.
+LEAST_LANGUAGE_SCORE = 0.6
+#: Share of recognised words over the language's usual one; random letters and unlearned languages are far below.
+LEAST_LANGUAGE_EVIDENCE = 0.5
 #: Language totals follow the corpus's own to this power, and none shrinks.
 TEMPER = 0.7
 
@@ -42,8 +44,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the whole row goes along as the id, so nothing has to meet again
     whole = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
-    found = crf_language.label(whole, crf_language.fit(docs), id_col="__row")
-    kept = found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    found = crf_language.label(whole, crf_language.fit(docs), id_col="__row", evidence=True)
+    kept = found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE) & (F.col("evidence") >= LEAST_LANGUAGE_EVIDENCE))
     return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
 
 

@@ -11,13 +11,18 @@ for each language, in the order of a hash; a language that has longer texts only
 the first letter on); every text is labelled whole. Every label with a letter in a text is learned; more than MOST_LANGUAGES
 raise an error. Scoring needs no shuffle: the model (about 1 MB for each language, whatever the input) goes to the tasks.
 
+The CRF has to choose a learned language. With `evidence`, labelling also tells how far a text's words look like its language
+at all: a word is recognised if most of its byte 4-grams are in two or more distinct sampled texts of that language; the
+evidence is the share of recognised words over the median share in the language's sampled texts, so a small sample asks less.
+Words without a letter and words of one byte can't tell and don't count; a text that has no others gets 1.
+
 Results that are defined: `und` with score 0 for a text that is null or has no letter, and for all texts if there is no
 labelled row; repeated rows are labelled each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,8 @@ class Model:
     lexical: np.ndarray  # languages x languages
     bias: np.ndarray
     moves: np.ndarray  # languages x languages
+    seen: list[np.ndarray] = field(default_factory=list)  # for each language: sorted 4-grams of two or more of its texts
+    usual: list[float] = field(default_factory=list)  # for each language: median share of recognised words in its texts
 
 
 def gram_codes(buffer: np.ndarray) -> list[np.ndarray]:
@@ -64,6 +71,51 @@ def spaced(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return out, starts + 1, ends + 1
 
 
+def fours(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exact 4-grams of words between two spaces (a one-letter word has none), and the word of each."""
+    text, first, last = spaced(buffer, starts, ends)
+    x = text.astype(np.uint32)
+    codes = x[:-3] << np.uint32(24) | x[1:-2] << np.uint32(16) | x[2:-1] << np.uint32(8) | x[3:]
+    n = np.maximum(last - first - 1, 0)
+    at = np.repeat(first - 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return codes[at], np.repeat(np.arange(len(starts)), n)
+
+
+def recognised(seen: list[np.ndarray], buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """words x languages: whether two thirds of a word's 4-grams are among the language's."""
+    codes, owner = fours(buffer, starts, ends)
+    n = np.bincount(owner, minlength=len(starts))
+    out = np.zeros((len(starts), len(seen)), bool)
+    for i, known in enumerate(seen):
+        if len(known):
+            hit = known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+            out[:, i] = (3 * np.bincount(owner, hit, len(starts)) >= 2 * n) & (n > 0)
+    return out
+
+
+def telling(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a (lowered) word has two or more bytes and a letter."""
+    letters = np.concatenate(([0], np.cumsum((buffer >= 128) | ((buffer >= 97) & (buffer <= 122)))))
+    return (ends - starts > 1) & (letters[ends] > letters[starts])
+
+
+def learn_evidence(model: Model, texts: list[str], labels: list[str]) -> None:
+    """Set seen and usual. Equal texts count once."""
+    for language in model.languages:
+        own = sorted({t for t, x in zip(texts, labels) if x == language})
+        buffer, starts, ends, place, first = distinct_words(own)
+        codes, owner = fours(buffer, starts, ends)
+        begin = np.searchsorted(owner, np.arange(len(starts) + 1))
+        of_texts = [np.unique(place[a:b]) for a, b in zip(first, first[1:])]
+        found = [np.unique(np.concatenate([codes[begin[w] : begin[w + 1]] for w in some])) for some in of_texts if len(some)]
+        grams, uses = np.unique(np.concatenate(found or [codes[:0]]), return_counts=True)
+        model.seen.append(grams[uses >= min(2, len(own))])
+        known = recognised(model.seen[-1:], buffer, starts, ends)[:, 0]
+        tells = telling(buffer, starts, ends)
+        shares = [known[some].mean() for a, b in zip(first, first[1:]) if len(some := place[a:b][tells[place[a:b]]])]
+        model.usual.append(float(np.median(shares)) if shares else 0.0)
+
+
 def lexicon_rows(model: Model, hashes: np.ndarray) -> np.ndarray:
     if not len(model.lexicon):
         return np.zeros((len(hashes), len(model.languages)), np.float32)
@@ -183,17 +235,20 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     near = near.select("label", "h", F.substring("text", begun, F.lit(most_chars)).alias("text"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
     sample = sorted(near.withColumn("place", place).where(F.col("place") <= per_language).collect(), key=lambda r: (r.label, r.place))
-    return train([r.text for r in sample], [r.label for r in sample])
+    texts, labels = [r.text for r in sample], [r.label for r in sample]
+    model = train(texts, labels)
+    learn_evidence(model, texts, labels)
+    return model
 
 
-def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, n_words, n_switches, and with spans an array of (lang, first_word, n_words)."""
+def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, evidence: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, n_words, n_switches, with spans an array of (lang, first_word, n_words), with evidence a number (about 1 is usual)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     if model is None:
         model = Model([UNKNOWN], np.zeros((len(_ORDERS), _TABLE, 1), np.float32), np.zeros(0, np.uint64), np.zeros((0, 1), np.float32), np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"doc_id {kind}, lang_pred string, score double, n_words long, n_switches long" + ", spans array<struct<lang: string, first_word: long, n_words: long>>" * spans
+    schema = f"doc_id {kind}, lang_pred string, score double, n_words long, n_switches long" + ", spans array<struct<lang: string, first_word: long, n_words: long>>" * spans + ", evidence double" * evidence
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches):
@@ -208,6 +263,11 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 for i in range(0, len(starts), block := 50_000 // wide):
                     a, b = starts[i : i + block], ends[i : i + block]
                     scores[i : i + block] = emissions(own, buffer[a[0] : b[-1]], a - a[0], b - a[0])
+                met = np.zeros((len(starts), len(names)), bool)
+                if evidence and own.seen:
+                    for i in range(0, len(starts), block):
+                        a, b = starts[i : i + block], ends[i : i + block]
+                        met[i : i + block] = recognised(own.seen, buffer[a[0] : b[-1]], a - a[0], b - a[0])
                 scores = scores[place]
                 found = marginals(scores, begins, own.moves.astype(np.float32))
                 n = np.diff(begins)
@@ -230,6 +290,13 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                         cuts = [a, *(np.flatnonzero(change[a:b]) + a), b] if b > a else []
                         out.append([{"lang": names[word[x]], "first_word": x - a, "n_words": y - x} for x, y in zip(cuts, cuts[1:])])
                     columns.append(pa.array(out, span_type))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_words", "n_switches", *["spans"] * spans])
+                if evidence:
+                    tells = telling(buffer, starts, ends)[place]
+                    of_word = met[place, np.repeat(best, n)] & tells
+                    hits, told = (np.diff(np.concatenate(([0], np.cumsum(x)))[begins]) for x in (of_word, tells))
+                    usual = np.array(own.usual or [0.0] * len(names))[best]
+                    share = np.where(usual > 0, hits / np.maximum(told, 1) / np.where(usual > 0, usual, 1), 0.0)
+                    columns.append(pa.array(np.where(known, np.where(told > 0, share, 1.0), 0.0)))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_words", "n_switches", *["spans"] * spans, *["evidence"] * evidence])
 
     return rows.mapInArrow(run, schema)
