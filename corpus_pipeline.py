@@ -2,13 +2,14 @@
 
 1. quality: documents that the site-aware classifier rejects go.
 2. language: documents without a recognisable language, or with too mixed words to tell, go.
-3. duplicates: of each component of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
+3. duplicates: of each component of near copies (five-word shingles, similarity 0.8) one row with the least doc_id stays.
 4. mixing: documents of languages that fall short are repeated, as often as their fitted rates say.
 5. packing: token ids in sequences of at most 2048.
 
-Stages 1 to 4 return the columns of their input. A row keeps its columns by meeting its decision on doc_id;
+Stages 1 to 4 return the columns of their input. A row keeps its columns by meeting its decision on a number of its own,
+written with the row before anything is decided (language carries the whole row instead);
 the columns that a decision needs on the way have names of their own, so names of the input can't clash with them.
-Rows with a null doc_id can't be told apart and are not kept by stages 1 to 4; repeated rows of one doc_id share its decision.
+So rows with a null or repeated doc_id are each judged by their own text; a null doc_id is the last that stays of copies.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import crf_language, harmonic_packing, prefix_join, quality_classifier, soft_mixing
-from evenkeel.llm.common import shared_folder
+from evenkeel.llm.common import cut, shared_folder
 
 #: Mean probability that a text's words have its language; clean texts of one language are far above, texts of two halves near 0.5.
 LEAST_LANGUAGE_SCORE = 0.6
@@ -30,36 +31,47 @@ LEAST_LANGUAGE_EVIDENCE = 0.5
 TEMPER = 0.7
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (doc_id)."""
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept"), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows of docs with a written number, __row."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _only(numbered: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of numbered whose __row is in kept (__kept), without __row."""
+    return numbered.join(kept.hint("shuffle_hash"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, quality_classifier.score(docs, labels).where("accepted"))
+    rows = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("__id"), "quality")
+    known = rows.select("__row", "doc_id").join(labels, F.col("doc_id") == F.col("__id")).select("__row", "quality")
+    found = quality_classifier.score(rows, known, id_col="__row", label_id_col="__row")
+    return _only(rows, found.where("accepted").select(F.col("doc_id").alias("__kept")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the whole row goes along as the id, so nothing has to meet again
-    whole = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
     found = crf_language.label(whole, crf_language.fit(docs), id_col="__row", evidence=True)
     kept = found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE) & (F.col("evidence") >= LEAST_LANGUAGE_EVIDENCE))
     return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = prefix_join.near_documents(docs, k=5, percent=80)
-    return _only(docs, found.where("doc_id = component_id"))
+    rows = _numbered(docs)
+    found = prefix_join.near_documents(rows, id_col="__row", k=5, percent=80).select(F.col("doc_id").alias("__found"), "component_id")
+    named = rows.select("__row", F.col("doc_id").alias("__id")).join(found.hint("shuffle_hash"), F.col("__row") == F.col("__found"))
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__least"))
+    return _only(rows, least.select(F.col("__least.__row").alias("__kept")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rates = soft_mixing.mix(docs, docs, temper=TEMPER, grow=True)
+    rows = _numbered(docs)
+    rates = soft_mixing.mix(rows, rows, id_col="__row", temper=TEMPER, grow=True)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     repeats = F.greatest(F.lit(1), F.floor(F.col("rate") + chance)).cast("int")
-    times = rates.where("doc_id is not null").select(F.col("doc_id").alias("__id"), repeats.alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
-    met = docs.join(times.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
+    times = rates.select(F.col("doc_id").alias("__id"), repeats.alias("__times"))
+    met = rows.join(times.hint("shuffle_hash"), F.col("__row") == F.col("__id"))
     return met.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
