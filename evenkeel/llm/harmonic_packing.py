@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 CAPACITY, SLACK, END_ID = 2048, 1 / 64, 1
 #: Rows for each task have this share of the sequence ids.
 _IDS_EACH = 1 << 36
-#: Text outside these ranges, and text with special tokens, goes through the tokenizer's own splitter.
+#: Text outside these ranges, text with special tokens, and text with long white space, on which the faster library
+#: backtracks until its stack is full, goes through the tokenizer's own splitter.
+_LONG_SPACE = re.compile(r"\s{1024}")
 _RARE = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿←-⋿─-◿一-鿿]")
 
 
@@ -69,7 +71,7 @@ def tokenizer(json_path: str, ranks_path: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        if _RARE.search(text) or any(s in text for s in special):
+        if _RARE.search(text) or _LONG_SPACE.search(text) or any(s in text for s in special):
             return by_library(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

@@ -1,14 +1,15 @@
 """Netpbm and BMP images as columns: decoded to numpy arrays, area-resized, hashed, written as NPY tiles.
 
 Formats: Netpbm P1 to P6 with 8- and 16-bit samples and comments in the header, and uncompressed BMP of 8 (grey or
-palette), 24 and 32 bits, stored from the bottom or the top. Decoded arrays have the shape (height, width, channels).
+palette), 24 and 32 bits, stored from the bottom or the top. Decoded arrays have the shape (height, width, channels);
+Netpbm samples are scaled from the image's maximum to the full range of 8 or 16 bits.
 
 Area resizing: an output sample is the mean of the input area that it covers, fractions of border samples included,
-read from an integral image (double precision). The difference hash compares neighbours in each row of an 8 x 9 grey
+read from an integral image in whole numbers. The difference hash compares neighbours in each row of an 8 x 9 grey
 tile: bit 1 where the right one is brighter; 64 bits as 16 hex digits.
 
 Results that are defined: null or undecodable media give null in every derived column (`error` says why); an image with
-no samples is undecodable; other columns of the input are kept by none of these functions, so names cannot clash.
+no samples, with a sample above its maximum or outside its palette, or with a raster that ends early is undecodable; other columns of the input are kept by none of these functions, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,54 +32,77 @@ def _numbers(data: bytes, at: int, n: int) -> tuple[list[int], int]:
     found = []
     for _ in range(n):
         m = _HEADER.match(data, at)
-        if not m:
+        if not m or len(m[1]) > 9:
             raise ValueError("bad Netpbm header")
         found.append(int(m[1]))
         at = m.end()
     return found, at
 
 
+def _need(data: bytes, n: int) -> None:
+    if len(data) < n:
+        raise ValueError("the raster is too short")
+
+
+def _plain_samples(raster: bytes, n: int) -> np.ndarray:
+    found = re.sub(rb"#[^\n]*", b"", raster).split()[:n]
+    _need(found, n)
+    if max(map(len, found)) > 9 or not b"".join(found).isdigit():
+        raise ValueError("a sample is no number of nine digits at most")
+    return np.array(found).astype(np.int64)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
+    """Samples scaled from the image's own maximum to 255, or to 65535 if the maximum is above 255."""
     kind = data[1:2]
     if data[:1] != b"P" or kind not in b"123456" or not kind:
         raise ValueError("not Netpbm")
     channels = 3 if kind in b"36" else 1
-    if kind in b"14":
-        (width, height), at = _numbers(data, 2, 2)
-        most = 1
-    else:
-        (width, height, most), at = _numbers(data, 2, 3)
+    (width, height, *rest), at = _numbers(data, 2, 2 if kind in b"14" else 3)
+    most = rest[0] if rest else 1
     if not 0 < most < 65536 or not width * height:
         raise ValueError("bad Netpbm size")
+    if kind in b"456" and not data[at : at + 1].isspace():
+        raise ValueError("bad Netpbm header")
     n = width * height * channels
+    _need(data, at + (n if kind != b"4" else (width + 7) // 8 * height))
     if kind == b"1":
         bits = re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n]
-        if len(bits) < n:
-            raise ValueError("short Netpbm raster")
-        flat = (np.frombuffer(bits, np.uint8) == ord("0")).astype(np.uint8) * 255
+        _need(bits, n)
+        flat = np.frombuffer(bits, np.uint8) - ord("0")
     elif kind in b"23":
-        flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.int64).astype(np.uint16 if most > 255 else np.uint8)
+        flat = _plain_samples(data[at:], n)
     elif kind == b"4":
         row = (width + 7) // 8
-        raw = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
-        flat = (1 - np.unpackbits(raw, axis=1)[:, :width]) * np.uint8(255)
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row), axis=1)[:, :width]
     else:
         flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
-    return flat.reshape(height, width, channels)
+    if flat.max() > most:
+        raise ValueError("a sample is above the maximum")
+    full = 65535 if most > 255 else 255
+    if kind in b"14":
+        flat = 1 - flat
+    if most != full:
+        flat = (flat.astype(np.int64) * full + most // 2) // most
+    return flat.astype(np.uint16 if most > 255 else np.uint8, copy=False).reshape(height, width, channels)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     offset, head, width, height, _, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
-    if packed or bits not in (8, 24, 32) or width <= 0 or not height:
+    if packed or head < 40 or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("BMP of a kind that isn't read")
     row = (width * bits // 8 + 3) // 4 * 4
+    _need(data, offset + row * abs(height))
     raw = np.frombuffer(data, np.uint8, row * abs(height), offset).reshape(abs(height), row)[:, : width * bits // 8]
     if height > 0:
         raw = raw[::-1]
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256 or raw.max() >= used:
+            raise ValueError("a sample is outside the palette")
+        _need(data, 14 + head + 4 * used)
         palette = np.frombuffer(data, np.uint8, 4 * used, 14 + head).reshape(used, 4)[:, 2::-1]
         if (palette[:, :1] == palette).all() and (palette[:, 0] == np.arange(used)).all():
             return raw[:, :, None]
@@ -87,6 +111,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
+    """(height, width, channels); ValueError or struct.error if it can't be decoded."""
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
@@ -105,24 +130,48 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI IiiHHIIiiII", 54 + size, 0, 0, 54, 40, width, height, 1, 24, 0, size, 2835, 2835, 0, 0) + raster.tobytes()
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """(height, width, channels) means over areas, by an integral image."""
+def area_sums(pixels: np.ndarray, sizes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each (height, width) the sums over the areas of its samples, times height * width: whole numbers, so exact.
+
+    Only those rows and columns of the integral image are kept between which an area ends; strips of rows bound the memory.
+    """
     h, w, c = pixels.shape
-    total = np.zeros((h + 1, w + 1, c))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    edges = [(np.arange(height + 1) * h, np.arange(width + 1) * w) for height, width in sizes]
+
+    def between(table: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Values of the first axis of a cumulated table at `at / n`, times n."""
+        low = np.minimum(at // n, len(table) - 2)
+        share = (at - low * n).reshape(-1, *[1] * (table.ndim - 1))
+        return table[low] * (n - share) + table[low + 1] * share
+
+    tops = [np.zeros((1, width + 1, c), np.int64) for _, width in sizes]
+    kept: list[list[np.ndarray]] = [[] for _ in sizes]
+    step = max(1, (1 << 18) // (w * c))
+    for begin in range(0, h, step):
+        part = pixels[begin : begin + step]
+        across = np.zeros((w + 1, len(part), c), np.int64)
+        np.cumsum(part.transpose(1, 0, 2), axis=0, dtype=np.int64, out=across[1:])
+        for i, ((height, width), (rows, columns)) in enumerate(zip(sizes, edges)):
+            down = np.concatenate([tops[i], tops[i] + np.cumsum(between(across, columns, width).transpose(1, 0, 2), axis=0)])
+            tops[i] = down[-1:]
+            own = rows[(rows >= begin * height) & ((rows < (begin + len(part)) * height) | (begin + len(part) == h))] - begin * height
+            if len(own):
+                kept[i].append(between(down, own, height))
+    return [np.diff(np.diff(np.concatenate(k), axis=0), axis=1) for k in kept]
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """(height, width, channels) means over areas."""
+    return area_sums(pixels, [(height, width)])[0] / (pixels.shape[0] * pixels.shape[1])
 
-    def at(edges: np.ndarray, table: np.ndarray, axis: int) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), table.shape[axis] - 2)
-        share = (edges - low).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
-        return np.take(table, low, axis) * (1 - share) + np.take(table, low + 1, axis) * share
 
-    rows = np.diff(at(np.arange(height + 1) * (h / height), total, 0), axis=0)
-    return np.diff(at(np.arange(width + 1) * (w / width), rows, 1), axis=1) / ((h / height) * (w / width))
+def _hash_of(sums: np.ndarray) -> str:
+    grey = sums.sum(axis=2)
+    return np.packbits(grey[:, 1:] > grey[:, :-1]).tobytes().hex()
 
 
 def difference_hash(pixels: np.ndarray) -> str:
-    tile = area_resize(pixels.mean(axis=2, keepdims=True), 8, 9)[:, :, 0]
-    return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
+    return _hash_of(area_sums(pixels, [(8, 9)])[0])
 
 
 def npy(array: np.ndarray) -> bytes:
@@ -143,9 +192,10 @@ def image_columns(media: DataFrame, id_col: str, media_col: str, tile: int = 32)
             pixels = decode(data)
         except (ValueError, struct.error) as e:
             return None, None, None, None, None, None, str(e)[:200]
-        scale = 255 / 65535 if pixels.dtype.itemsize == 2 else 1
-        small = np.floor(area_resize(pixels, tile, tile) * scale + 0.5).astype(np.uint8)
-        return *pixels.shape, pixels.tobytes(), npy(small), difference_hash(pixels), None
+        sums, coarse = area_sums(pixels, [(tile, tile), (8, 9)])
+        scale = pixels.shape[0] * pixels.shape[1] * (257 if pixels.dtype.itemsize == 2 else 1)
+        small = np.floor(sums / scale + 0.5).astype(np.uint8)
+        return *pixels.shape, pixels.tobytes(), npy(small), _hash_of(coarse), None
 
     def run(batches):
         for batch in batches:

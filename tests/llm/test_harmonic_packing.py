@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -75,3 +76,24 @@ def test_odd_inputs(spark):
     assert hp.pack(df.limit(0), JSON, RANKS).count() == 0
     with pytest.raises(ValueError):
         hp.pack(df, JSON, capacity=1000)
+
+
+def test_fast_ids_equal_the_librarys_on_ten_thousand_documents(spark, sf_dir):
+    more = os.path.join(os.path.dirname(sf_dir), "sf0.1")
+    fast, plain = hp.tokenizer(JSON, RANKS), hp.tokenizer(JSON, None)
+    for r in queries.table(spark, more if os.path.isdir(more) else sf_dir, "documents").select("text").collect():
+        assert fast(r.text or "").tolist() == plain(r.text or "").tolist()
+
+
+@given(st.text(st.sampled_from(list("ab1!'s \n\t é日😀")), max_size=60))
+def test_any_text_has_the_librarys_ids(text):
+    assert _FAST(text).tolist() == _PLAIN(text).tolist()
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 300_000 + " y", "z" * 300_000])
+def test_long_runs(spark, text):
+    rows = hp.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), JSON, RANKS).collect()
+    assert check(rows, {1: _PLAIN(text).tolist() + [1]}) < 0.02
+
+
+_FAST, _PLAIN = hp.tokenizer(JSON, RANKS), hp.tokenizer(JSON, None)
