@@ -127,8 +127,19 @@ def sql_complexity(spark, sf_dir):
     return sql_text.complexity(query_log(spark, sf_dir)).select("event_id", "complexity_score", "complexity_level")
 
 
-@query(f"""WITH {_LOG} SELECT event_id, CASE event_type_of WHEN 'error' THEN 'SAFE_DIVIDE' WHEN 'view' THEN 'INT64' WHEN 'signup' THEN 'QUALIFY' WHEN 'purchase' THEN 'IFF' ELSE '' END AS residual, event_type_of = 'click' AS is_clean
-FROM (SELECT logged.event_id, events.event_type AS event_type_of FROM logged JOIN events USING (event_id))""")
+# What each construct looks like in upper-cased text without literals, comments and white space, said apart from the operator's patterns.
+_TRACES = [
+    ("SAFE_DIVIDE", "SAFE_DIVIDE("), ("SAFE_CAST", "SAFE_CAST("), ("UNNEST", "UNNEST("), ("QUALIFY", "QUALIFY"), ("COUNTIF", "COUNTIF("), ("IFF", "IFF("), ("FLATTEN", "LATERALFLATTEN("), ("STRING_AGG", "STRING_AGG("),
+    ("INT64", "INT64"), ("IN_UNNEST", "INUNNEST("), ("ARRAY_LENGTH", "ARRAY_LENGTH("), ("SAFE_MULTIPLY", "SAFE_MULTIPLY("), ("SAFE_ADD", "SAFE_ADD("), ("SAFE_SUBTRACT", "SAFE_SUBTRACT("), ("SAFE_NEGATE", "SAFE_NEGATE("),
+    ("FARM_FINGERPRINT", "FARM_FINGERPRINT("), ("JSON_EXTRACT", "JSON_EXTRACT("), ("JSON_EXTRACT_SCALAR", "JSON_EXTRACT_SCALAR("), ("JSON_EXTRACT_ARRAY", "JSON_EXTRACT_ARRAY("), ("TO_HEX", "TO_HEX("), ("FROM_HEX", "FROM_HEX("),
+    ("TO_BASE64", "TO_BASE64("), ("FROM_BASE64", "FROM_BASE64("), ("DECLARE", "DECLARE"), ("OFFSET", "[OFFSET("), ("SAFE_OFFSET", "[SAFE_OFFSET("), ("ORDINAL", "[ORDINAL("),
+]
+_FOUND = ", ".join(f"CASE WHEN contains(text, '{trace}') THEN '{name}' END" for name, trace in _TRACES)
+
+
+@query(rf"""WITH {_LOG}, bare AS (SELECT event_id, upper(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', '', 'g'), '--[^\n]*', '', 'g'), '\s+', '', 'g')) AS text FROM logged),
+found AS (SELECT event_id, [x FOR x IN [{_FOUND}] IF x IS NOT NULL] AS residual FROM bare)
+SELECT event_id, array_to_string(residual, ',') AS residual, len(residual) = 0 AS is_clean FROM found""")
 def sql_lint_report(spark, sf_dir):
     return sql_text.remains(query_log(spark, sf_dir)).select("event_id", F.array_join("residual", ",").alias("residual"), "is_clean")
 

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 _FLAGS = ("1", "true", "yes", "y")
 
+#: Parts of a statement that a semicolon in them doesn't end. Possessive, so that a text of any length needs no deep stack.
+_COMMENT = r"""--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"""
+_QUOTED = r'''"{3}(?:[^"]++|"(?!""))*+"{3}|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|''' + r"'{3}(?:[^']++|'(?!''))*+'{3}|'(?:[^'\\]++|\\.)*+'"
+STATEMENT = rf"""(?s)((?:[^;'"`/-]++|{_COMMENT}|{_QUOTED}|['"`/-])++)"""
+
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.csv(path, header=True, comment="#", multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -56,9 +61,13 @@ def coordinate_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_file(spark: SparkSession, path: str) -> DataFrame:
-    """sql, one row for each statement: of the first column named for queries, else the first column. Semicolons in quotes don't split."""
+    """sql, one row for each statement: of the first column named for queries, else the first column.
+
+    Semicolons in quotes (also triple ones and backticks) and in comments don't split; a quote that never closes is a character
+    like any other; what has no text besides comments is no statement.
+    """
     df = _csv(spark, path)
     named = [c for c in ("bq_sql", "sql", "query", "bigquery_sql", "bq_query") if c in df.columns]
     text = F.col(f"`{named[0] if named else df.columns[0]}`")
-    statements = F.regexp_extract_all(text, F.lit(r"""((?:[^;'"]|'[^']*'|"[^"]*")+)"""), F.lit(1))
-    return df.select(F.explode(F.filter(F.transform(statements, lambda x: F.trim(x)), lambda s: s != "")).alias("sql"))
+    statements = F.transform(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return df.select(F.explode(F.filter(statements, lambda s: F.trim(F.regexp_replace(s, rf"(?s){_COMMENT}|\s+", "")) != "")).alias("sql"))

@@ -133,6 +133,22 @@ def test_job_files(spark, tmp_path):
     assert [x.sql for x in jobs.query_file(spark, str(tmp_path / "q.csv")).collect()] == ["SELECT 1", "SELECT ';' AS a", "SELECT 2"]
 
 
+def test_statements_end_at_semicolons_alone(spark):
+    triple = "'" * 3
+    text = f"SELECT 1 -- don't; stop\n; /* it's; */ SELECT `a;b`; SELECT {triple}x;'y{triple} || 'it\\'s;' ;; -- the end;\n; SELECT don't; SELECT 2"
+    found = spark.createDataFrame([(text,)], "sql string").select(F.regexp_extract_all("sql", F.lit(jobs.STATEMENT), F.lit(1)).alias("x")).first().x
+    assert [x.strip() for x in found if x.strip()] == ["SELECT 1 -- don't; stop", "/* it's; */ SELECT `a;b`", f"SELECT {triple}x;'y{triple} || 'it\\'s;'", "-- the end;", "SELECT don't", "SELECT 2"]
+
+
+def test_texts_of_a_megabyte(spark, tmp_path):
+    columns = ", ".join(f"a{i} AS 'b{i};'" for i in range(60_000))
+    text = f"SELECT {columns} FROM t; SELECT '{'y' * 1_000_000}' ; -- last"
+    (tmp_path / "q.csv").write_text('sql\n"' + text + '"\n')
+    assert [len(x.sql) for x in jobs.query_file(spark, str(tmp_path / "q.csv")).collect()] == [len(x.strip()) for x in (text[: text.index("; SELECT '")], text[text.index("SELECT 'y") : -len("; -- last")])]
+    row = sql_text.remains(sql_text.complexity(spark.createDataFrame([(text + "\n" + "WHERE a " * 50_000 + "IFF(1)",)], "sql string"))).first()
+    assert row.residual == ["IFF"] and row.complexity_level
+
+
 def test_upserts_and_status(spark):
     stored = spark.createDataFrame([("a", 1, "x"), ("b", 1, None)], "validation_id string, validation_ts int, run_by string")
     new = spark.createDataFrame([("a", 2, None), ("c", 1, "z"), ("b", 1, "w")], "validation_id string, validation_ts int, run_by string")
