@@ -1,9 +1,16 @@
-"""One text form for values of any type, so that rows of two systems can be compared by a hash."""
+"""One text form for values of any type, so that rows of two systems can be compared by a hash.
+
+By default the forms are exact: two values have the same text only if they are equal. `coarse` forms round numbers to eight
+decimals and cut times to milliseconds, for systems that don't keep more.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,28 +18,65 @@ from pyspark.sql import types as T
 NULL = "<NULL>"
 
 
-def _number(c: Column) -> Column:
-    plain = F.coalesce(c.try_cast("decimal(38,8)").cast("string"), c.cast("string"))
-    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(short == "-0", F.lit("0")).otherwise(short)
+def _short(text: Column) -> Column:
+    """Text with a decimal point without the zeros behind it that say nothing."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
+def _coarse(c: Column) -> Column:
+    return F.coalesce(_short(c.try_cast("decimal(38,8)").cast("string")), c.cast("string"))
 
 
 def _double(c: Column) -> Column:
-    """The same form without a decimal where the plain text already has it: no exponent and at most eight decimals."""
-    text, size = c.cast("string"), F.abs(c)
-    plain = (size < 1e7) & (size >= 1e-3) & (F.length(text) - F.locate(".", text) <= 8)
-    short = F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
-    return F.when(size == 0, F.lit("0")).when(plain, short).otherwise(_number(c))
+    """The shortest decimal that is this number; without an exponent from 1e-21 to 1e22, where a decimal holds every digit."""
+    c = c + F.lit(0.0).cast("float")  # -0 becomes 0
+    size = F.abs(c)
+    wide = F.coalesce(_short(F.when(size >= 1e7, c.try_cast("decimal(38,16)").cast("string")).when(size >= 1e-21, c.try_cast("decimal(38,38)").cast("string"))), c.cast("string"))
+    return F.when(((size < 1e7) & (size >= 1e-3)) | (size == 0), _short(c.cast("string"))).otherwise(wide)
+
+
+def _ordered(value) -> str:
+    """JSON with keys in order and list members in the order of their own text; numbers without an exponent or idle zeros."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k.strip(), ensure_ascii=False)}:{_ordered(value[k])}" for k in sorted(value, key=lambda k: (k.strip().lower(), k))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(sorted(map(_ordered, value), key=lambda t: (t.lower(), t))) + "]"
+    if isinstance(value, Decimal):
+        return format(value.normalize() + 0, "f")
+    return json.dumps(value.strip() if isinstance(value, str) else value, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def _json_order(texts: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return _ordered(json.loads(text, parse_float=Decimal, parse_int=Decimal)) if text is not None else None
+        except (ValueError, RecursionError, ArithmeticError):
+            return None
+
+    return texts.map(one)
 
 
 def json_in_order(c: Column) -> Column:
-    """A JSON object with its top-level keys in order; null if the text is none."""
-    pairs = F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
-    return F.when(F.trim(c).startswith("{") & pairs.isNotNull(), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs)))))
+    """A JSON object or array with keys and list members in order at every depth; null if the text is none.
 
+    The one place outside llm where Python runs: only for columns whose JSON is to be put in order, in Arrow batches.
+    """
+    return _json_order(F.when(c.rlike(r"^\s*[{\[]"), c))
 
-def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: bool = False, escape: bool = True) -> Column:
-    """The text form of a column. Null is <NULL>; a pipe or backslash in text is escaped, so that joined values stay apart."""
+
+def _nested(c: Column, kind: T.DataType) -> Column:
+    """Structs, arrays and maps as JSON; entries of maps by key."""
+    if isinstance(kind, T.MapType):
+        c = F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: bool = False, escape: bool = True, coarse: bool = False, fold: bool = False) -> Column:
+    """The text form of a column. Null is <NULL>.
+
+    Text: a backslash or pipe is escaped, and so is the text <NULL> itself, so that joined values stay apart. fold: case doesn't count.
+    """
     c = F.col(f"`{name}`")
     if isinstance(kind, T.BinaryType):
         out = F.upper(F.hex(c))
@@ -41,24 +85,32 @@ def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: boo
     elif isinstance(kind, T.DateType):
         out = F.date_format(c, "yyyy-MM-dd")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        out = F.date_format(c, "yyyy-MM-dd" if dates_only else "yyyy-MM-dd HH:mm:ss.SSS")
+        out = F.to_date(c).cast("string") if dates_only else F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS") if coarse else c.cast("string")
     elif isinstance(kind, T.IntegralType):
         out = c.cast("string")
-    elif isinstance(kind, T.DoubleType):
-        out = _double(c)
+    elif isinstance(kind, T.NumericType) and coarse:
+        out = _coarse(c)
+    elif isinstance(kind, T.DecimalType):
+        out = _short(c.cast("string")) if kind.scale > 0 else c.cast("string")
     elif isinstance(kind, T.NumericType):
-        out = _number(c)
-    elif isinstance(kind, T.MapType):
-        out = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
-    elif isinstance(kind, (T.StructType, T.ArrayType)):
-        out = F.to_json(c, {"ignoreNullFields": "false"})
+        out = _double(c)
     else:
-        out = F.trim(c.cast("string"))
-        out = F.coalesce(json_in_order(c), out) if sort_json else out
-        out = F.replace(F.replace(out, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) if escape else out
+        nested = isinstance(kind, (T.MapType, T.StructType, T.ArrayType))
+        out = _nested(c, kind) if nested else F.trim(c.cast("string"))
+        if sort_json:
+            out = F.coalesce(json_in_order(out), out)
+        out = F.lower(out) if fold else out
+        if escape:
+            out = F.replace(F.replace(out, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+            out = out if nested else F.when(out == NULL, F.lit("\\" + NULL)).otherwise(out)
     return F.coalesce(out, F.lit(NULL))
 
 
+def hash_value(c: Column) -> Column:
+    """A stored hash as it is compared: without padding and case."""
+    return F.lower(F.trim(c))
+
+
 def signature(df: DataFrame, columns: Sequence[str] | None = None, **options) -> Column:
     """The columns' text forms joined by pipes, in the order of their lower-cased names."""
     kinds = {f.name: f.dataType for f in df.schema}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -154,6 +156,46 @@ def object_keys(c) -> Column:
     return F.array_sort(F.json_object_keys(col(c)))
 
 
-def count_distinct_over(c, window) -> Column:
-    """COUNT(DISTINCT c) OVER a window, nulls not counted."""
-    return F.size(F.collect_set(col(c)).over(window)).cast("long")
+def array_agg_ordered(value, order, limit: int | None = None, descending: bool = False) -> Column:
+    """ARRAY_AGG(value IGNORE NULLS ORDER BY order LIMIT limit), by order and then value."""
+    rows = F.sort_array(F.collect_list(F.when(col(value).isNotNull(), F.struct(col(order).alias("o"), col(value).alias("v")))), not descending)
+    return F.transform(rows if limit is None else F.slice(rows, 1, limit), lambda r: r["v"])
+
+
+def array_concat_agg(c) -> Column:
+    """All arrays of a group end to end, in no order; null arrays count as empty."""
+    return F.flatten(F.collect_list(col(c)))
+
+
+def count_distinct_over(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """df with COUNT(DISTINCT value) OVER (PARTITION BY keys), nulls not counted.
+
+    As an aggregation and a join back, so that no task holds all rows or values of a frequent key. Null keys are a key.
+    """
+    counted = df.groupBy(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys))).agg(F.countDistinct(value).alias(name))
+    return df.join(counted, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]).select(*df.columns, name)
+
+
+# ---- times and samples
+
+
+def time_slice(c, n: int, unit: str) -> Column:
+    """The begin of the slice of n units, counted from 1970-01-01 (weeks: from the Monday before), that a time lies in."""
+    t = col(c)
+    if unit in _MONTHS:
+        step = n * _MONTHS[unit]
+        index = F.floor(((F.year(t) - 1970) * 12 + F.month(t) - 1) / step) * step
+        return F.add_months(F.lit("1970-01-01").cast("date"), index.cast("int")).cast("timestamp_ntz")
+    seconds = n * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit]
+    shift = 3 * 86400 if unit == "week" else 0
+    since = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("second", t).cast("timestamp_ntz"))
+    return F.timestamp_add("SECOND", (F.floor((since + shift) / seconds) * seconds - shift).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def convert_timezone(source: str, target: str, c) -> Column:
+    return F.convert_timezone(F.lit(source), F.lit(target), col(c))
+
+
+def sampled(key, percent: float) -> Column:
+    """Whether a row is in a sample that is the same each time: by the MD5 of its key."""
+    return F.conv(F.substring(F.md5(col(key).cast("string")), 1, 8), 16, 10).cast("long") < F.lit(int(percent / 100 * (1 << 32)))

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.canonical import encode, row_hash
+from evenkeel.functions.canonical import encode, hash_value, row_hash
 from evenkeel.functions.types import canonical, compatible, family
 
 SAMPLE_ROWS, GROUP_SAMPLE = 50, 5
 
 
 def ratio_status(s: Column, t: Column, threshold: float | None) -> Column:
-    """PASS if equal, or if the smaller is at least the threshold's share of the larger."""
+    """PASS if equal, or if both have one sign and the smaller is at least the threshold's share of the larger."""
     same = s.eqNullSafe(t)
     if threshold:
         least, most = F.least(F.abs(s), F.abs(t)), F.greatest(F.abs(s), F.abs(t))
-        same = same | F.coalesce(least >= most * threshold, F.lit(False))
+        same = same | F.coalesce((least >= most * threshold) & ((s < 0) == (t < 0)), F.lit(False))
     return F.when(same, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
 
@@ -36,6 +36,13 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "ordinal_position int, column_name string, data_type string, canonical_type string, is_nullable boolean")
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """column_name, filled (values that aren't null), distinct_values; all columns in one pass. Complex types have no distinct_values."""
+    plain = [family(f.dataType) != "COMPLEX" for f in df.schema]
+    row = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"filled_{i}") for i, c in enumerate(df.columns)), *((F.countDistinct(F.col(f"`{c}`")) if p else F.lit(None)).alias(f"distinct_values_{i}") for i, (c, p) in enumerate(zip(df.columns, plain))))
+    return _unpivoted(row, df.columns, {"filled": "long", "distinct_values": "long"}).withColumnRenamed("column", "column_name")
+
+
 def schemas(source: DataFrame, target: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """A row for each column of either side: names, types, MATCH or NOT MATCH. Schemas are small and known to the driver."""
     fold = (lambda n: n) if case_sensitive else str.lower
@@ -114,6 +121,26 @@ def null_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.where((F.col("source_null_count") > 0) | (F.col("target_null_count") > 0))
 
 
+def profile(source: DataFrame, target: DataFrame) -> list[dict]:
+    """For the source and for the target: rows, nulls of each common column, and min, max and avg of numeric ones.
+
+    One aggregation over both sides; two rows come to the driver.
+    """
+    left, right = aligned(source, target, include_complex=True)
+    numeric = [c for c in numeric_columns(left) if c in numeric_columns(right)]
+    sides = []
+    for side, df in enumerate((left, right)):
+        nulls = [F.col(f"`{c}`").isNull().alias(f"n{i}") for i, c in enumerate(left.columns)]
+        sides.append(df.select(F.lit(side).alias("side"), *nulls, *(F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(numeric))))
+    figures = [F.count_if(f"n{i}").alias(f"n{i}") for i in range(len(left.columns))]
+    figures += [f(f"v{i}").alias(f"{name}{i}") for i in range(len(numeric)) for name, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
+    found = {r.side: r for r in sides[0].unionAll(sides[1]).groupBy("side").agg(F.count("*").alias("rows"), *figures).collect()}
+    out = []
+    for r in (found.get(0), found.get(1)):
+        out.append({"rows": r.rows if r else 0, "nulls": {c: r[f"n{i}"] if r else 0 for i, c in enumerate(left.columns)}, "stats": {c: {k: r[f"{k}{i}"] if r else None for k in ("min", "max", "avg")} for i, c in enumerate(numeric)}})
+    return out
+
+
 def hash_counts(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
     """row_hash, n: the table as a multiset. Equal rows are counted before the shuffle, so repeated rows don't skew it."""
     return df.select(row_hash(df, columns, **options).alias("row_hash")).groupBy("row_hash").agg(F.count("*").alias("n"))
@@ -149,33 +176,37 @@ def rows_only(source: DataFrame, target: DataFrame, side: str, columns: Sequence
 
 
 def rows_with_hashes(df: DataFrame, hashes: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
-    """The rows whose hash is in hashes (row_hash)."""
-    return df.withColumn("row_hash", row_hash(df, columns, **options)).join(hashes.select("row_hash").distinct(), "row_hash", "left_semi")
+    """The rows whose hash is in hashes (row_hash; case and padding don't count)."""
+    wanted = hashes.select(F.upper(hash_value(F.col("row_hash"))).alias("row_hash")).distinct()
+    return df.withColumn("row_hash", row_hash(df, columns, **options)).join(wanted, "row_hash", "left_semi")
 
 
 def group_hashes(df: DataFrame, groups: Sequence[str], columns: Sequence[str] | None = None, **options) -> DataFrame:
     """A count and a hash for each group that don't depend on the order of rows.
 
-    A group's hash is the MD5 of four sums, of the 32-bit lanes of its rows' hashes, so rows are added up where they are
+    A group's hash is the MD5 of two sums, of 60-bit lanes of its rows' hashes, so rows are added up where they are
     read and only one row for each task and group moves. Halves of lanes are summed apart, which can't overflow.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     own = [c for c in (columns or df.columns) if c not in groups]
-    rows = df.select(*(encode(g, kinds[g], **options).alias(g) for g in groups), row_hash(df, own, **options).alias("h"))
-    rows = rows.select(*groups, *(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long").alias(f"lane{i}") for i in range(4)))
-    halves = [F.sum(half).alias(f"{name}{i}") for i in range(4) for name, half in (("high", F.shiftright(f"lane{i}", 16)), ("low", F.col(f"lane{i}").bitwiseAND(F.lit(65535))))]
-    total = rows.groupBy(*groups).agg(F.count("*").alias("row_count"), *halves)
-    lanes = [(F.col(f"high{i}").cast("decimal(20,0)") * 65536 + F.col(f"low{i}")).cast("decimal(38,0)").cast("string") for i in range(4)]
-    return total.select(*groups, "row_count", F.upper(F.md5(F.concat_ws(":", *lanes))).alias("group_hash"))
+    names = [f"g{i}" for i in range(len(groups))]
+    rows = df.select(*(encode(g, kinds[g], **options).alias(n) for n, g in zip(names, groups)), row_hash(df, own, **options).alias("h"))
+    rows = rows.select(*names, *(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("long").alias(f"lane{i}") for i in range(2)))
+    halves = [F.sum(half).alias(f"{name}{i}") for i in range(2) for name, half in (("high", F.shiftright(f"lane{i}", 30)), ("low", F.col(f"lane{i}").bitwiseAND(F.lit((1 << 30) - 1))))]
+    total = rows.groupBy(*names).agg(F.count("*").alias("row_count"), *halves)
+    lanes = [(F.col(f"high{i}").cast("decimal(20,0)") * (1 << 30) + F.col(f"low{i}")).cast("decimal(38,0)").cast("string") for i in range(2)]
+    return total.select(*(F.col(n).alias(g) for n, g in zip(names, groups)), "row_count", F.upper(F.md5(F.concat_ws(":", *lanes))).alias("group_hash"))
 
 
 def group_compare(source: DataFrame, target: DataFrame, groups: Sequence[str], columns: Sequence[str] | None = None, **options) -> DataFrame:
     """Each group of either side with counts, hashes and MATCH or MISMATCH."""
     left, right = aligned(source, target, None if columns is None else [*columns, *groups])
-    s = group_hashes(left, groups, **options).select(*groups, F.col("row_count").alias("source_row_count"), F.col("group_hash").alias("source_hash"))
-    t = group_hashes(right, groups, **options).select(*groups, F.col("row_count").alias("target_row_count"), F.col("group_hash").alias("target_hash"))
-    both = s.join(t, list(groups), "full_outer")
-    return both.withColumn("status", F.when(F.col("source_hash") == F.col("target_hash"), F.lit("MATCH")).otherwise(F.lit("MISMATCH")))
+    folded = {c.lower(): c for c in left.columns}
+    own = [folded[g.lower()] for g in groups]
+    names = [f"g{i}" for i in range(len(groups))]
+    s, t = (group_hashes(df, own, **options).toDF(*names, f"{side}_row_count", f"{side}_hash") for df, side in ((left, "source"), (right, "target")))
+    both = s.join(t, names, "full_outer")
+    return both.select(*(F.col(n).alias(g) for n, g in zip(names, groups)), *both.columns[len(names) :], F.when(F.col("source_hash") == F.col("target_hash"), F.lit("MATCH")).otherwise(F.lit("MISMATCH")).alias("status"))
 
 
 def group_totals(compared: DataFrame) -> DataFrame:
@@ -193,15 +224,22 @@ def group_sample(df: DataFrame, group: dict, columns: Sequence[str] | None = Non
 
 
 def column_differences(source: DataFrame, target: DataFrame, keys: Sequence[str], **options) -> DataFrame:
-    """keys, column, source_value, target_value of every difference between rows of equal keys (text forms)."""
+    """keys, column, source_value, target_value of every difference between rows of equal keys (text forms). Null keys are equal.
+
+    Values move as they are, which is smaller than their text, and get their text forms where rows of equal keys meet.
+    """
     left, right = aligned(source, target)
-    own = [c for c in left.columns if c.lower() not in {k.lower() for k in keys}]
-    kinds_s, kinds_t = ({f.name: f.dataType for f in df.schema} for df in (left, right))
-    s = left.select(*(F.col(f"`{k}`") for k in keys), F.array(*(encode(c, kinds_s[c], **options) for c in own)).alias("s"))
-    t = right.select(*(F.col(f"`{k}`") for k in keys), F.array(*(encode(c, kinds_t[c], **options) for c in own)).alias("t"))
-    met = s.join(t, list(keys)).where(F.col("s") != F.col("t"))
-    each = F.filter(F.zip_with(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(i).alias("i")) for i, c in enumerate(own))), F.arrays_zip("s", "t"), lambda c, v: F.struct(c["column"].alias("column"), v["s"].alias("source_value"), v["t"].alias("target_value"))), lambda x: x["source_value"] != x["target_value"])
-    return met.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    folded = {k.lower() for k in keys}
+    own = [c for c in left.columns if c.lower() not in folded]
+    kinds = [{f.name: f.dataType for f in df.schema} for df in (left, right)]
+    named = {k.lower(): k for k in keys}
+    on = [c for c in left.columns if c.lower() in folded]
+    s, t = (df.select(*(F.col(f"`{k}`").alias(f"{x}k{i}") for i, k in enumerate(on)), *(F.col(f"`{c}`").alias(f"{x}{i}") for i, c in enumerate(own))) for df, x in ((left, "s"), (right, "t")))
+    same = [F.col(f"sk{i}").eqNullSafe(F.col(f"tk{i}")) for i in range(len(on))]
+    met = s.join(t, same)
+    values = [(c, encode(f"s{i}", kinds[0][c], **options), encode(f"t{i}", kinds[1][c], **options)) for i, c in enumerate(own)]
+    each = F.filter(F.array(*(F.when(a != b, F.struct(F.lit(c).alias("column"), a.alias("source_value"), b.alias("target_value"))) for c, a, b in values)), lambda x: x.isNotNull())
+    return met.select(*(F.col(f"sk{i}").alias(named[k.lower()]) for i, k in enumerate(on)), F.explode(each).alias("x")).select(*(F.col(f"`{named[k.lower()]}`") for k in on), "x.*")
 
 
 def mismatched_columns(source: DataFrame, target: DataFrame, keys: Sequence[str], **options) -> DataFrame:
@@ -210,5 +248,6 @@ def mismatched_columns(source: DataFrame, target: DataFrame, keys: Sequence[str]
 
 
 def keys_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the source whose keys the target hasn't."""
-    return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows of the source whose keys the target hasn't. Null keys are equal."""
+    there = target.select(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys))).distinct()
+    return source.join(there, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)], "left_anti")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIST_LIMIT, DASHBOARD_LIMIT = 500, 5000
@@ -26,16 +25,22 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "validation_id", order:
     return merged.select(key, *(F.coalesce(f"__last.{c}", f"__{c}").alias(c) if c in keep_if_null else F.col(f"__last.{c}").alias(c) for c in rest)).select(*stored.columns)
 
 
-def job_upsert(stored: DataFrame, new: DataFrame, key: str = "validation_id", overwrite: Sequence[str] = ("state",)) -> DataFrame:
-    """New states over old ones; every other field keeps its old value where the new one is null."""
-    s, n = stored.alias("s"), new.alias("n")
-    met = s.join(n, F.col(f"s.{key}") == F.col(f"n.{key}"), "full_outer")
-    there = F.col(f"n.{key}").isNotNull()
-    out = [F.coalesce(f"n.{key}", f"s.{key}").alias(key)]
-    for c in stored.columns:
-        if c != key:
-            out.append((F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")) if c in overwrite else F.coalesce(f"n.{c}", f"s.{c}")).alias(c))
-    return met.select(*out)
+def job_upsert(stored: DataFrame, new: DataFrame, key: str = "validation_id", overwrite: Sequence[str] = ("state",), order: str | None = None) -> DataFrame:
+    """New states over old ones; every other field keeps its old value where the new one is null.
+
+    Of several new rows of a key the latest by `order` counts (without one: the greatest row), and of each other field its latest
+    value that isn't null. One aggregation by key; a null key stays one row.
+    """
+    both = stored.select(*stored.columns, F.lit(0).alias("__new")).unionByName(new.select(*stored.columns, F.lit(1).alias("__new")))
+    rest = [c for c in stored.columns if c != key]
+    at = F.struct("__new", *([order] if order else []), *rest)
+    taken = [F.max_by(F.struct(c), at)[c].alias(c) if c in overwrite else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in rest]
+    return both.groupBy(key).agg(*taken).select(*stored.columns)
+
+
+def cache_stats(entries: DataFrame, group: str, accesses: str) -> DataFrame:
+    """For each group of cache entries: entries, accesses, average_accesses."""
+    return entries.groupBy(group).agg(F.count("*").alias("entries"), F.sum(accesses).alias("accesses"), F.round(F.avg(accesses), 4).alias("average_accesses"))
 
 
 def between(df: DataFrame, start: str | None, end: str | None, column: str = "validation_ts") -> DataFrame:
@@ -93,8 +98,3 @@ def latency_verdict(source: str = "source_latency_ms", target: str = "target_lat
     """faster, slower or same for the target; null if either wasn't measured."""
     s, t = F.coalesce(F.col(source), F.lit(0)), F.coalesce(F.col(target), F.lit(0))
     return F.when((s > 0) & (t > 0), F.when(t < s, F.lit("faster")).when(t > s, F.lit("slower")).otherwise(F.lit("same")))
-
-
-def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The latest row of each key, by a window; for stores without an order of columns to aggregate."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.operators import compare
+from evenkeel.sources.tables import materialised
 
 CHECKS = ("row_count", "schema", "numeric", "hash")
 ROW_GUARD = 1_000_000
@@ -30,7 +31,7 @@ class Options:
     numeric: bool = False
     hash: bool = False
     threshold: float | None = None
-    include_timestamp: bool = True
+    include_timestamp: bool = False
     case_sensitive: bool = False
     categorical_columns: tuple[str, ...] = ()
     primary_keys: tuple[str, ...] = ()
@@ -87,55 +88,140 @@ def _status(passed: bool | None) -> str | None:
     return None if passed is None else "PASS" if passed else "FAIL"
 
 
+def _profiled(source: DataFrame, target: DataFrame, threshold: float | None) -> dict[str, DataFrame]:
+    """row_count, numeric and null_counts as compare's operators return them, all from one pass over both sides."""
+    spark = source.sparkSession
+    s, t = compare.profile(source, target)
+    counts = spark.createDataFrame([(s["rows"], t["rows"], s["rows"] - t["rows"])], "source_count long, target_count long, difference long")
+    digits = lambda x: None if x is None else round(x, 4)
+    rows = [(c, s["nulls"][c], *(digits(s["stats"][c][k]) for k in ("min", "max", "avg")), t["nulls"][c], *(digits(t["stats"][c][k]) for k in ("min", "max", "avg"))) for c in s["stats"]]
+    numeric = spark.createDataFrame(rows, "column string, " + ", ".join(f"{x}_null_count long, {x}_min double, {x}_max double, {x}_avg double" for x in ("source", "target")))
+    passed = F.lit(True)
+    for k in ("min", "max", "avg"):
+        passed = passed & (compare.ratio_status(F.col(f"source_{k}"), F.col(f"target_{k}"), threshold) == "PASS")
+    nulls = [(c, n, t["nulls"][c]) for c, n in s["nulls"].items() if n or t["nulls"][c]]
+    return {
+        "row_count": counts.withColumn("status", compare.ratio_status(F.col("source_count"), F.col("target_count"), threshold)),
+        "numeric": numeric.withColumn("status", F.when(passed, F.lit("PASS")).otherwise(F.lit("FAIL"))),
+        "null_counts": spark.createDataFrame(nulls, "column string, source_null_count long, target_null_count long"),
+    }
+
+
 def validate(pair: TablePair, run_by: str | None = None, validation_type: str = "deep") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The record (one row) and a DataFrame for each facet. Only verdicts come to the driver."""
+    """The record (one row) and a DataFrame for each facet. Only verdicts and a row of figures for each column come to the driver.
+
+    A check that fails to run has the status ERROR and a row in details["errors"] (check, message); the others go on.
+    A broken row guard is raised.
+    """
+    spark = pair.source.sparkSession
     options = pair.options.of_type(validation_type)
-    source, target = pair.sides()
     details: dict[str, DataFrame] = {}
     status: dict[str, str | None] = dict.fromkeys(CHECKS)
-    if options.hash and options.row_guard and not options.categorical_columns and source.limit(options.row_guard + 1).count() > options.row_guard:
-        raise GuardExceeded(f"more than {options.row_guard} rows and no categorical columns")
-    if options.row_count:
-        details["row_count"] = compare.row_counts(source, target, options.threshold)
-        status["row_count"] = details["row_count"].first().status
-    if options.schema:
-        details["schema"] = compare.schemas(source, target, options.case_sensitive)
-        status["schema"] = _status(details["schema"].where("status <> 'MATCH'").isEmpty())
-    if options.numeric:
-        details["numeric"] = compare.numeric_stats_compare(source, target, options.threshold)
-        details["null_counts"] = compare.null_counts(source, target)
-        seen = details["numeric"].groupBy("status").count().collect()
-        status["numeric"] = _status({r.status for r in seen} == {"PASS"} if seen else None)
-    if options.hash:
-        columns = [s for s, _ in compare.common_columns(source, target, options.include_timestamp)]
-        if options.categorical_columns:
-            details["groups"] = compare.group_compare(source, target, options.categorical_columns, columns)
-            status["hash"] = _status(details["groups"].where("status <> 'MATCH'").isEmpty())
+    errors: list[tuple[str, str]] = []
+    found: dict[str, DataFrame] = {}
+
+    def sides() -> tuple[DataFrame, DataFrame]:
+        return pair.sides()
+
+    def figures() -> dict[str, DataFrame]:
+        if not found:
+            found.update(_profiled(*sides(), options.threshold))
+        return found
+
+    def row_count() -> str | None:
+        if options.numeric:
+            details["row_count"] = figures()["row_count"]
         else:
-            details["row_hash"] = compare.row_hashes(source, target, columns, options.threshold)
-            status["hash"] = details["row_hash"].first().status
+            details["row_count"] = compare.row_counts(*sides(), options.threshold)
+        return details["row_count"].first().status
+
+    def schema() -> str | None:
+        details["schema"] = compare.schemas(*sides(), options.case_sensitive)
+        return _status(details["schema"].where("status <> 'MATCH'").isEmpty())
+
+    def numeric() -> str | None:
+        details["numeric"], details["null_counts"] = figures()["numeric"], figures()["null_counts"]
+        seen = {r.status for r in details["numeric"].select("status").distinct().collect()}
+        return _status(seen == {"PASS"} if seen else None)
+
+    def hashes() -> str | None:
+        source, target = sides()
+        columns = [s for s, _ in compare.common_columns(source, target, options.include_timestamp)]
+        if options.row_guard and not options.categorical_columns and source.limit(options.row_guard + 1).count() > options.row_guard:
+            raise GuardExceeded(f"more than {options.row_guard} rows and no categorical columns")
         if options.column_differences and options.primary_keys:
             details["mismatched_columns"] = compare.mismatched_columns(source, target, options.primary_keys)
+        if options.categorical_columns:
+            details["groups"] = compare.group_compare(source, target, options.categorical_columns, columns)
+            return _status(details["groups"].where("status <> 'MATCH'").isEmpty())
+        details["row_hash"] = compare.row_hashes(source, target, columns, options.threshold)
+        return details["row_hash"].first().status
+
+    for name, check in zip(CHECKS, (row_count, schema, numeric, hashes)):
+        if getattr(options, name):
+            try:
+                status[name] = check()
+            except GuardExceeded:
+                raise
+            except Exception as e:  # whatever ends one check: the others still have their say
+                status[name] = "ERROR"
+                errors.append((name, str(e)[:2000]))
+    if errors:
+        details["errors"] = spark.createDataFrame(errors, "check string, message string")
     row = (str(uuid.uuid4()), datetime.now(timezone.utc).replace(tzinfo=None), validation_type, pair.source_name, pair.target_name, status["row_count"], status["schema"], status["numeric"], status["hash"], run_by)
-    return pair.source.sparkSession.createDataFrame([row], RECORD), details
+    return spark.createDataFrame([row], RECORD), details
+
+
+def validate_queries(spark: SparkSession, source_sql: str, target_sql: str, options: Options | None = None, run_by: str | None = None, folder: str | None = None, **frames: DataFrame):
+    """Compare the results of two queries. {name} in a query stands for the frame of that name.
+
+    folder: a shared folder in which both results are kept while they are compared, so each query runs once; details are then
+    only the record's.
+    """
+    source, target = spark.sql(source_sql, **frames), spark.sql(target_sql, **frames)
+    options = options or Options().with_metrics("all")
+    names = ("source query", "target query")
+    if folder is None:
+        return validate(TablePair(source, target, *names, options=options), run_by)
+    with materialised(folder, source, target) as (source, target):
+        return validate(TablePair(source, target, *names, options=options), run_by)[0], {}
+
 
+def _failed(spark: SparkSession, names: Sequence[str], kind: str | None, options: Options, run_by: str | None) -> DataFrame:
+    """The record of a pair that can't be read: ERROR for every check asked for."""
+    status = ["ERROR" if getattr(options, c) else None for c in CHECKS]
+    return spark.createDataFrame([(str(uuid.uuid4()), datetime.now(timezone.utc).replace(tzinfo=None), kind, *names, *status, run_by)], RECORD)
 
-def validate_queries(spark: SparkSession, source_sql: str, target_sql: str, options: Options | None = None, run_by: str | None = None):
-    """Compare the results of two queries."""
-    pair = TablePair(spark.sql(source_sql), spark.sql(target_sql), "source query", "target query", options=options or Options().with_metrics("all"))
-    return validate(pair, run_by)
+
+def _record(spark: SparkSession, names: Sequence[str], options: Options, kind: str, run_by: str | None, **filters) -> DataFrame:
+    try:
+        pair = TablePair(spark.table(names[0]), spark.table(names[1]), *names, options=options, **filters)
+        return validate(pair, run_by, kind)[0]
+    except Exception:  # one bad pair doesn't end the others' run
+        return _failed(spark, names, kind, options, run_by)
+
+
+def _all(spark: SparkSession, records: Sequence[DataFrame]) -> DataFrame:
+    """Records are a row each."""
+    return spark.createDataFrame([r for df in records for r in df.collect()], RECORD)
 
 
 def run_config(spark: SparkSession, config: dict, run_by: str | None = None) -> DataFrame:
-    """Records for a config: {"tables": [{"source", "target", "validation_type", "metrics", "where", ...}]}."""
+    """Records for a config: {"tables": [{"source", "target", "validation_type", "metrics", "where", ...}]}; none for no tables."""
     records = []
-    for row in config["tables"]:
+    for row in config.get("tables") or []:
         names = [row.get(side) or ".".join(row[f"{side}_{p}"] for p in ("catalog", "schema", "table")) for side in ("source", "target")]
-        options = Options(threshold=threshold_of(row.get("row_threshold")), include_timestamp=row.get("include_timestamp", True), case_sensitive=row.get("case_sensitive", False), categorical_columns=tuple(column_list(row.get("categorical_columns"))), primary_keys=tuple(column_list(row.get("primary_keys")))).with_metrics(row.get("metrics") or "row_count,schema")
+        options = Options(threshold=threshold_of(row.get("row_threshold")), include_timestamp=row.get("include_timestamp", False), case_sensitive=row.get("case_sensitive", False), categorical_columns=tuple(column_list(row.get("categorical_columns"))), primary_keys=tuple(column_list(row.get("primary_keys")))).with_metrics(row.get("metrics") or "row_count,schema")
         apart = row.get("use_separate_where")
-        pair = TablePair(spark.table(names[0]), spark.table(names[1]), *names, where=row.get("where") or row.get("where_clause") or "1=1", source_where=row.get("source_where") if apart else None, target_where=row.get("target_where") if apart else None, options=options)
-        records.append(validate(pair, run_by, row.get("validation_type", "deep"))[0])
-    out = records[0]
-    for more in records[1:]:
-        out = out.unionByName(more)
-    return out
+        records.append(_record(spark, names, options, row.get("validation_type", "deep"), run_by, where=row.get("where") or row.get("where_clause") or "1=1", source_where=row.get("source_where") if apart else None, target_where=row.get("target_where") if apart else None))
+    return _all(spark, records)
+
+
+def run_jobs(spark: SparkSession, jobs: DataFrame, run_by: str | None = None) -> DataFrame:
+    """Records for the rows of a job file (sources.jobs.table_jobs or coordinate_jobs), in their order."""
+    records = []
+    for row in jobs.toLocalIterator():
+        job = row.asDict()
+        options = Options(threshold=job.get("row_threshold"), include_timestamp=job["include_timestamp"], case_sensitive=job["case_sensitive"], categorical_columns=tuple(job["categorical_columns"]), primary_keys=tuple(job.get("primary_keys") or ())).with_metrics(job["metrics"] or "row_count,schema")
+        records.append(_record(spark, (job["source_table"], job["target_table"]), options, job["validation_type"], run_by, source_where=job.get("source_where"), target_where=job.get("target_where")))
+    return _all(spark, records)

@@ -160,4 +160,4 @@ def latency_compare(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS entries, sum(user_id) AS accesses, round(avg(user_id), 4) AS average_accesses FROM events GROUP BY 1")
 def cache_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("entries"), F.sum("user_id").alias("accesses"), F.round(F.avg("user_id"), 4).alias("average_accesses"))
+    return history.cache_stats(table(spark, sf_dir, "events"), "event_type", "user_id")

@@ -16,33 +16,52 @@ def agg_logic(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 10).alias("high"), F.bool_and(F.col("value") > 0).alias("all_positive"), F.bool_or(F.col("value") > 50).alias("any_big"), F.bit_and("user_id").alias("band"), F.bit_or("user_id").alias("bor"), F.bit_xor("user_id").alias("bxor"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names, len(list(DISTINCT substr(n_name, 1, 1))) AS initials FROM nation GROUP BY 1")
+@query("SELECT o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) AS names, len(list(DISTINCT substr(o_orderpriority, 1, 1))) AS initials FROM orders GROUP BY 1")
 def agg_listagg(spark, sf_dir):
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name)").alias("names"), F.size(F.collect_set(F.substring("n_name", 1, 1))).cast("long").alias("initials"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.expr("listagg(o_orderpriority, ', ') WITHIN GROUP (ORDER BY o_orderpriority)").alias("names"), F.size(F.collect_set(F.substring("o_orderpriority", 1, 1))).cast("long").alias("initials"))
 
 
-@query("SELECT p_brand, median(p_size) AS middle, round(quantile_cont(p_retailprice, 0.9), 4) AS p90, mode_size FROM part JOIN (SELECT p_brand, min(p_size) AS mode_size FROM part GROUP BY 1) USING (p_brand) GROUP BY p_brand, mode_size")
+@query("SELECT p_brand, median(p_size) AS middle, round(quantile_cont(p_retailprice, 0.9), 4) AS p90, mode_size FROM part JOIN (SELECT p_brand, p_size AS mode_size FROM part GROUP BY p_brand, p_size QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) = 1) USING (p_brand) GROUP BY p_brand, mode_size")
 def agg_median(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.median("p_size").alias("middle"), F.round(F.expr("percentile(p_retailprice, 0.9)"), 4).alias("p90"), F.min("p_size").alias("mode_size"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.median("p_size").alias("middle"), F.round(F.expr("percentile(p_retailprice, 0.9)"), 4).alias("p90"), F.mode("p_size", True).alias("mode_size"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, sum(CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END) AS big, count(DISTINCT o_custkey) FILTER (o_orderpriority = '1-URGENT') AS urgent_customers, round(sum(o_totalprice) FILTER (o_orderkey % 2 = 0), 2) AS even_total FROM orders GROUP BY 1")
 def agg_filter_where(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("evenkeel_orders")
     return spark.sql("""SELECT o_orderstatus, count(*) AS n, count_if(o_totalprice > 250000) AS big, count(DISTINCT o_custkey) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent_customers,
-      round(sum(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0), 2) AS even_total FROM evenkeel_orders GROUP BY o_orderstatus""")
+      round(sum(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0), 2) AS even_total FROM {orders} GROUP BY o_orderstatus""", orders=table(spark, sf_dir, "orders"))
 
 
-@query("SELECT p_type, to_json(map(list(p_size ORDER BY p_size), list(n ORDER BY p_size))) AS sizes FROM (SELECT p_type, CAST(p_size AS VARCHAR) AS p_size, count(*) AS n FROM part WHERE p_size <= 9 GROUP BY ALL) GROUP BY 1")
+@query("SELECT p_type, to_json(map(list(p_size ORDER BY p_size), list(n ORDER BY p_size))) AS sizes FROM (SELECT p_type, CAST(p_size AS VARCHAR) AS p_size, count(*) AS n FROM part GROUP BY ALL) GROUP BY 1")
 def agg_object(spark, sf_dir):
-    counted = table(spark, sf_dir, "part").where("p_size <= 9").groupBy("p_type", F.col("p_size").cast("string").alias("p_size")).agg(F.count("*").alias("n"))
+    counted = table(spark, sf_dir, "part").groupBy("p_type", F.col("p_size").cast("string").alias("p_size")).agg(F.count("*").alias("n"))
     return counted.groupBy("p_type").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p_size", "n"))))).alias("sizes"))
 
 
-@query()
+@query("SELECT event_type, true AS users_near, true AS quartiles_near, true AS top_users_near, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
 def agg_approximate(spark, sf_dir):
-    """Sketches: their values depend on the engine, so only rows are compared."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", [0.25, 0.5, 0.75]).alias("quartiles"), F.expr("approx_top_k(user_id, 3)").alias("top_users"))
+    """Sketches: their values depend on the engine, so they are held against exact figures within their error bounds."""
+    events = table(spark, sf_dir, "events")
+    sketched = events.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.percentile_approx("value", [0.25, 0.5, 0.75], 1000).alias("quartiles"), F.expr("approx_top_k(user_id, 3, 10000)").alias("top"))
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"), F.percentile("value", [0.24, 0.49, 0.74]).alias("low"), F.percentile("value", [0.26, 0.51, 0.76]).alias("high"))
+    often = events.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.max("n").alias("most"))
+    near = F.forall(F.arrays_zip("low", "quartiles", "high"), lambda x: (x["quartiles"] >= x["low"]) & (x["quartiles"] <= x["high"]))
+    met = sketched.join(exact, "event_type").join(often, "event_type")
+    top = F.abs(F.col("top")[0]["count"] - F.col("most")) <= F.col("n") * 0.01
+    return met.select("event_type", (F.abs(F.col("about") - F.col("users")) <= F.col("users") * 0.1).alias("users_near"), near.alias("quartiles_near"), top.alias("top_users_near"), "users", "n")
+
+
+@query("SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC)[1:3] AS dearest, sum(o_orderkey % 3)::BIGINT AS parts FROM orders GROUP BY 1")
+def agg_array_ordered(spark, sf_dir):
+    """ARRAY_AGG with an order and a limit; ARRAY_CONCAT_AGG."""
+    thirds = F.array_repeat("o_orderkey", (F.col("o_orderkey") % 3).cast("int"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(f.array_agg_ordered("o_orderkey", "o_totalprice", 3, True).alias("dearest"), F.size(f.array_concat_agg(thirds)).cast("long").alias("parts"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) < 429496729")
+def table_sample(spark, sf_dir):
+    """TABLESAMPLE of a tenth, the same rows each time."""
+    return table(spark, sf_dir, "orders").where(f.sampled("o_orderkey", 10)).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS dearest, min_by(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest FROM orders GROUP BY 1")
@@ -86,13 +105,12 @@ def window_frame_rows(spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM events")
 def window_range_interval(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("evenkeel_events")
-    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM evenkeel_events")
+    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM {events}", events=table(spark, sf_dir, "events"))
 
 
 @query("SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS priorities FROM orders")
 def count_distinct_over(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", f.count_distinct_over("o_orderpriority", W.partitionBy("o_custkey")).alias("priorities"))
+    return f.count_distinct_over(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_custkey"], "priorities").select("o_orderkey", "priorities")
 
 
 # ---- sets, subqueries, unnesting
@@ -106,8 +124,7 @@ def set_minus(spark, sf_dir):
 
 @query("SELECT o_custkey, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
 def union_all_cte(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("evenkeel_orders")
-    return spark.sql("WITH a AS (SELECT o_custkey FROM evenkeel_orders WHERE o_totalprice > 400000), b AS (SELECT o_custkey FROM evenkeel_orders WHERE o_orderpriority = '1-URGENT'), both AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT o_custkey, count(*) AS n FROM both GROUP BY o_custkey")
+    return spark.sql("WITH a AS (SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000), b AS (SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT'), both AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT o_custkey, count(*) AS n FROM both GROUP BY o_custkey", orders=table(spark, sf_dir, "orders"))
 
 
 @query("WITH c AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1), n AS (SELECT c_nationkey, sum(total) AS total FROM c JOIN customer ON c_custkey = o_custkey GROUP BY 1) SELECT n_name, round(total, 2) AS total FROM n JOIN nation ON n_nationkey = c_nationkey")
@@ -117,31 +134,36 @@ def cte_chain(spark, sf_dir):
     return nations.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", F.round("total", 2).alias("total"))
 
 
-@query("WITH RECURSIVE up(k, step) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 500 = 0 UNION ALL SELECT o.o_orderkey, step + 1 FROM up JOIN orders o ON o.o_orderkey = up.k + 1 WHERE step < 4) SELECT k, step FROM up")
+@query("""WITH RECURSIVE tree(k, step) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey // 2 = c_custkey OR c_custkey // 2 NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT c.c_custkey, step + 1 FROM tree JOIN customer c ON c.c_custkey // 2 = tree.k AND c.c_custkey <> tree.k) SELECT k, step FROM tree""")
 def recursive_cte(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("evenkeel_orders")
-    return spark.sql("WITH RECURSIVE up(k, step) AS (SELECT o_orderkey, 0 FROM evenkeel_orders WHERE o_orderkey % 500 = 0 UNION ALL SELECT o.o_orderkey, step + 1 FROM up JOIN evenkeel_orders o ON o.o_orderkey = up.k + 1 WHERE step < 4) SELECT k, step FROM up")
+    """Customers as a tree in which half of a key is its parent: from every root to every leaf."""
+    return spark.sql(
+        """WITH RECURSIVE tree(k, step) AS (SELECT c_custkey, 0 FROM {customer} WHERE c_custkey div 2 = c_custkey OR NOT EXISTS (SELECT 1 FROM {customer} p WHERE p.c_custkey = {customer}.c_custkey div 2)
+        UNION ALL SELECT c.c_custkey, step + 1 FROM tree JOIN {customer} c ON c.c_custkey div 2 = tree.k AND c.c_custkey <> tree.k) SELECT k, step FROM tree""",
+        customer=table(spark, sf_dir, "customer"),
+    )
 
 
-@query("SELECT r_name, (SELECT string_agg(n_name, '|' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) AS nations FROM region")
+@query("SELECT c_custkey, (SELECT string_agg(o_orderstatus, '|' ORDER BY o_orderstatus) FROM orders WHERE o_custkey = c_custkey) AS states FROM customer")
 def array_subquery(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("nations"))
-    return table(spark, sf_dir, "region").join(nations, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("r_name", "nations")
+    states = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderstatus")), "|").alias("states"))
+    return table(spark, sf_dir, "customer").join(states, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "states")
 
 
-@query("SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings")
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
 def unnest_explode(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.slice("embedding", 1, 3)).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
 
 
-@query("SELECT vec_id, x FROM embeddings LEFT JOIN LATERAL (SELECT unnest(CASE WHEN label = 3 THEN NULL ELSE embedding[1:2] END) AS x) u ON true")
+@query("SELECT vec_id, x FROM embeddings LEFT JOIN LATERAL (SELECT unnest(CASE WHEN label = 3 THEN NULL ELSE embedding END) AS x) u ON true")
 def unnest_outer(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode_outer(F.when(F.col("label") != 3, F.slice("embedding", 1, 2))).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode_outer(F.when(F.col("label") != 3, F.col("embedding"))).alias("x"))
 
 
-@query("SELECT vec_id, i - 1 AS pos, embedding[i] AS x FROM embeddings, range(1, 5) r(i)")
+@query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings")
 def unnest_offset(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
 
 
 @query("SELECT p_partkey, p_size IN (1, 5, 9) AS picked, NOT coalesce(p_brand IN ('Brand#1', 'Brand#2'), false) AS other_brand FROM part")
@@ -201,7 +223,7 @@ def fn_try_cast(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.substring("event_type", 1, 1), F.col("user_id").cast("string")).try_cast("int").alias("never"), F.when(F.col("user_id") % 2 == 0, "12").otherwise("x").try_cast("int").alias("some"), F.col("value").cast("decimal(18,1)").alias("d"), F.col("user_id").cast("string").alias("s"), (F.col("user_id") % 2).cast("boolean").alias("flag"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none, 'k' AS keys FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none, array_to_string(json_keys(props), ',') AS keys FROM events")
 def fn_json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.none").alias("none"), F.array_join(f.object_keys("props"), ",").alias("keys"))
 
@@ -247,15 +269,21 @@ def fn_week_sunday(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", f.week_start_sunday("o_orderdate").alias("week"))
 
 
+@query("""SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter_hour, time_bucket(INTERVAL 2 WEEK, ts, TIMESTAMP '1969-12-29') AS fortnight, time_bucket(INTERVAL 5 MONTH, ts, TIMESTAMP '1970-01-01') AS five_months,
+  ts + INTERVAL 9 HOUR AS tokyo FROM events""")
+def fn_time_slice(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", f.time_slice("ts", 15, "minute").alias("quarter_hour"), f.time_slice("ts", 2, "week").alias("fortnight"), f.time_slice("ts", 5, "month").alias("five_months"), f.convert_timezone("UTC", "Asia/Tokyo", "ts").alias("tokyo"))
+
+
 @query("SELECT event_id, year(ts) AS y, quarter(ts) AS q, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, dayofweek(ts) + 1 AS dow, dayofyear(ts) AS doy, weekofyear(ts) AS iso_week FROM events")
 def fn_extract(spark, sf_dir):
     parts = {"y": F.year, "q": F.quarter, "m": F.month, "d": F.dayofmonth, "h": F.hour, "mi": F.minute, "dow": F.dayofweek, "doy": F.dayofyear, "iso_week": F.weekofyear}
     return table(spark, sf_dir, "events").select("event_id", *(fn("ts").cast("long").alias(name) for name, fn in parts.items()))
 
 
-@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS text, strftime(ts, '%j') AS day_of_year, CAST(ts AS DATE) AS back, CAST(NULL AS DATE) AS bad FROM events")
+@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS text, strftime(ts, '%j') AS day_of_year, CAST(ts AS DATE) AS back, TRY_CAST('2024-02-' || (20 + event_id % 12) AS DATE) AS bad FROM events")
 def fn_date_format(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", f.format_date("%d/%m/%Y %H:%M", "ts").alias("text"), f.format_date("%j", "ts").alias("day_of_year"), f.parse_date("%Y-%m-%d", F.date_format("ts", "yyyy-MM-dd")).alias("back"), f.parse_date("%Y-%m-%d", F.lit("2024-02-31")).alias("bad"))
+    return table(spark, sf_dir, "events").select("event_id", f.format_date("%d/%m/%Y %H:%M", "ts").alias("text"), f.format_date("%j", "ts").alias("day_of_year"), f.parse_date("%Y-%m-%d", F.date_format("ts", "yyyy-MM-dd")).alias("back"), f.parse_date("%Y-%m-%d", F.concat(F.lit("2024-02-"), (20 + F.col("event_id") % 12).cast("string"))).alias("bad"))
 
 
 @query("SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds, epoch_us(ts) // 1000 AS millis, epoch_us(ts) AS micros, CAST(ts AS DATE) - DATE '1970-01-01' AS days FROM events")
@@ -277,16 +305,16 @@ def fn_array_hof(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(add(F.transform(F.slice(e, 1, 8), lambda x: x * 2)), 5).alias("doubled"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("positive"), F.round(add(e), 5).alias("total"))
 
 
-@query("SELECT vec_id, embedding[1] AS first, embedding[3] AS third, CAST(NULL AS FLOAT) AS outside, embedding[-1] AS last FROM embeddings")
+@query("SELECT vec_id, embedding[1] AS first, embedding[3] AS third, embedding[61 + vec_id % 8] AS outside, embedding[-1] AS last FROM embeddings")
 def fn_array_access(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", f.array_offset("embedding", 0).alias("first"), f.array_offset("embedding", 2, safe=False).alias("third"), f.array_offset("embedding", 999).alias("outside"), F.element_at("embedding", -1).alias("last"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", f.array_offset("embedding", 0).alias("first"), f.array_offset("embedding", 2, safe=False).alias("third"), F.get("embedding", (60 + F.col("vec_id") % 8).cast("int")).alias("outside"), F.element_at("embedding", -1).alias("last"))
 
 
-@query("SELECT c_custkey, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS even_segment, 2 AS size FROM customer")
+@query("SELECT c_custkey, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS even_segment, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS size FROM customer")
 def fn_struct_map(spark, sf_dir):
     pair = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")))
     named = table(spark, sf_dir, "customer").select(F.struct("c_custkey").alias("row"), pair.alias("m"))
-    return named.select("row.c_custkey", F.col("m")["name"].alias("name"), F.col("m")["segment"].alias("even_segment"), F.size("m").alias("size"))
+    return named.select("row.c_custkey", F.col("m")["name"].alias("name"), F.col("m")["segment"].alias("even_segment"), F.size(F.map_filter("m", lambda _, v: v.isNotNull())).alias("size"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS word, coalesce(nullif(o_orderkey % 3, 0), 0) AS zero, nullif(o_orderkey % 3, 0) AS gone,

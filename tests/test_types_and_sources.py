@@ -1,3 +1,7 @@
+import math
+import struct
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,7 +9,7 @@ from pyspark.sql import types as T
 from evenkeel.functions import canonical, types, warehouse
 from evenkeel.functions.canonical import NULL, encode, plain_scalar, signature
 from evenkeel.operators import compare, history, reconcile, sql_text
-from evenkeel.sources import jobs
+from evenkeel.sources import jobs, tables
 
 
 @pytest.mark.parametrize(
@@ -33,7 +37,6 @@ def one(spark, value, kind, **options):
 
 def test_text_forms(spark):
     from datetime import date, datetime
-    from decimal import Decimal
 
     assert one(spark, None, T.StringType()) == NULL and one(spark, "null", T.StringType()) == "null" and one(spark, "", T.StringType()) == ""
     assert one(spark, " a|b\\ ", T.StringType()) == "a\\|b\\\\" and one(spark, "007", T.StringType()) == "007"
@@ -50,14 +53,48 @@ def test_text_forms(spark):
     assert len({r[0] for r in a.select(signature(a)).collect()}) == 2
 
 
-def test_both_forms_of_doubles_agree(spark):
+def doubles():
     import random
 
     rng = random.Random(2)
-    values = [0.0, -0.0, 1e-3, 9.999e-4, 1e7, 9999999.5, 1.00000001, 1.000000001, 123456.12345678, 1e-9, -2.5, -100.0, 1e22, float("nan"), float("inf"), None]
-    values += [round(rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 12), rng.randrange(0, 12)) for _ in range(3000)] + [rng.uniform(-2, 2) * 10 ** rng.randrange(-5, 9) for _ in range(2000)]
-    df = spark.createDataFrame([(v,) for v in values], "c double")
-    assert df.where(~canonical._double(F.col("c")).eqNullSafe(canonical._number(F.col("c")))).count() == 0
+    values = [0.0, 1e-3, 9.999e-4, 1e7, 9999999.5, 1.00000001, 1.000000001, 1.0000000011, 123456.12345678, 1e-9, -2.5, -100.0, 1e22, 1e-21, 9e-22, 5e-324, 1.7e308, float("nan"), float("inf"), -float("inf")]
+    values += [round(rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 12), rng.randrange(0, 12)) for _ in range(3000)] + [rng.uniform(-2, 2) * 10 ** rng.randrange(-25, 22) for _ in range(3000)]
+    return values + [math.nextafter(v, 4.0) for v in values[20:]]
+
+
+def test_texts_of_doubles_are_equal_only_for_equal_doubles(spark):
+    values = {struct.pack(">d", v + 0.0): v for v in doubles()}
+    rows = spark.createDataFrame([(v,) for v in values.values()], "c double").select("c", encode("c", T.DoubleType()).alias("t")).collect()
+    assert len({r.t for r in rows}) == len(values)
+    assert all(float(r.t) == r.c for r in rows if r.c == r.c)
+
+
+def test_numbers_of_other_types_have_the_same_text(spark):
+    for v in ("0", "5", "-2.5", "100", "12345678", "0.000125", "99999999.5"):
+        forms = [one(spark, float(v), T.DoubleType()), one(spark, Decimal(v), T.DecimalType(30, 10)), one(spark, float(v), T.DoubleType(), coarse=True)]
+        assert set(forms) == {v}
+    assert one(spark, -0.0, T.DoubleType()) == "0" and one(spark, 0.1, T.FloatType()) == "0.1"
+
+
+def test_no_two_values_share_a_text(spark):
+    df = spark.createDataFrame([(None,), (NULL,), ("\\" + NULL,), ("a|b",), ("a\\|b",), ("",)], "c string")
+    assert len({r[0] for r in df.select(encode("c", T.StringType())).collect()}) == 6
+    nested = spark.createDataFrame([((["a|", "b"],), "x"), ((["a"],), '","b"],"x')], "n struct<l: array<string>>, t string")
+    assert len({r[0] for r in nested.select(signature(nested)).collect()}) == 2
+    times = spark.sql("SELECT timestamp_ntz '2024-01-01 00:00:00.000001' AS c UNION ALL SELECT timestamp_ntz '2024-01-01 00:00:00.000999'")
+    assert times.select(encode("c", T.TimestampNTZType())).distinct().count() == 2 and times.select(encode("c", T.TimestampNTZType(), coarse=True)).distinct().count() == 1
+
+
+def test_nested_json_in_order(spark):
+    texts = ['{"Skill":["Data Science","Analytics"],"a":{"z":1.50,"b":[3, 10, 2e2]}}', ' {"a": {"b":[10,200,3.0],"z":1.5}, "Skill ": ["Analytics", "Data Science"]}', "[1]", "{bad", "[" * 3000, None]
+    out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "c string").select(canonical.json_in_order(F.col("c"))).collect()]
+    assert out[0] == out[1] == '{"a":{"b":[10,200,3],"z":1.5},"Skill":["Analytics","Data Science"]}' and out[2] == "[1]" and out[3:] == [None] * 3
+
+
+def test_folded_values_and_hashes(spark):
+    assert one(spark, "  AbC ", T.StringType(), fold=True) == "abc"
+    df = spark.createDataFrame([(" AB12CD ", "ab12cd")], "a string, b string")
+    assert df.select(canonical.hash_value(F.col("a")) == canonical.hash_value(F.col("b"))).first()[0]
 
 
 def test_plain_scalars(spark):
@@ -153,7 +190,9 @@ def test_upserts_and_status(spark):
     stored = spark.createDataFrame([("a", 1, "x"), ("b", 1, None)], "validation_id string, validation_ts int, run_by string")
     new = spark.createDataFrame([("a", 2, None), ("c", 1, "z"), ("b", 1, "w")], "validation_id string, validation_ts int, run_by string")
     assert {tuple(r) for r in history.upsert(stored, new).collect()} == {("a", 2, "x"), ("b", 1, "w"), ("c", 1, "z")}
-    assert {tuple(r) for r in history.latest_by(stored.union(new), "validation_id", "validation_ts").where("validation_id = 'a'").collect()} == {("a", 2, None)}
+    jobs_new = spark.createDataFrame([("a", "RUN", None, 1), ("a", "DONE", None, 2), ("b", None, "ok", 1), (None, "NEW", "x", 1)], "validation_id string, state string, note string, at int")
+    jobs_old = spark.createDataFrame([("a", "OLD", "first", 0), ("b", "OLD", "first", 0)], jobs_new.schema)
+    assert {tuple(r) for r in history.job_upsert(jobs_old, jobs_new, order="at").collect()} == {("a", "DONE", "first", 2), ("b", None, "ok", 1), (None, "NEW", "x", 1)}
     df = spark.createDataFrame([(None, None), ("pass", "None"), ("PASS", "error"), ("PASS", "FAIL")], "a string, b string")
     assert [r[0] for r in df.select(history.overall_status(["a", "b"])).collect()] == ["ERROR", "PASS", "ERROR", "FAIL"]
 
@@ -169,3 +208,42 @@ def test_formats():
     assert warehouse.java_pattern("%d/%m/%Y at %H") == "dd/MM/yyyy 'a''t' HH"
     with pytest.raises(ValueError, match="%Q"):
         warehouse.java_pattern("%Q")
+
+
+def test_signs_null_keys_and_odd_names(spark):
+    df = spark.createDataFrame([(-100, 100), (0, 1), (95, 100), (-95, -100)], "a int, b int")
+    assert [r[0] for r in df.select(compare.ratio_status(F.col("a"), F.col("b"), 0.95)).collect()] == ["FAIL", "FAIL", "PASS", "PASS"]
+    s = spark.createDataFrame([(None, 1, "x"), (1, None, "y"), (2, 2, "z")], "`k.a` int, k2 int, `v.1` string")
+    t = spark.createDataFrame([(None, 1, "X"), (1, None, "y"), (3, 3, "z")], "`k.a` int, k2 int, `v.1` string")
+    assert {tuple(r) for r in compare.column_differences(s, t, ["k.a", "k2"]).collect()} == {(None, 1, "v.1", "x", "X")}
+    assert [r[1] for r in compare.keys_missing(s, t, ["k.a", "k2"]).collect()] == [2]
+    assert {r.status for r in compare.group_compare(s, s, ["k.a"]).collect()} == {"MATCH"}
+
+
+def test_a_failing_check_is_an_error_and_the_others_go_on(spark, tmp_path):
+    s, t = pair(spark)
+    broken = reconcile.TablePair(s, t, options=reconcile.Options(categorical_columns=("none",)).with_metrics("row_count,hash"))
+    record, details = reconcile.validate(broken)
+    assert (record.first().row_count, record.first().hash_validation) == ("PASS", "ERROR") and details["errors"].first().check == "hash"
+    s.createOrReplaceTempView("job_s")
+    t.createOrReplaceTempView("job_t")
+    (tmp_path / "a.csv").write_text("source_table,target_table,validation_type,metrics,case_sensitive,include_timestamp\njob_s,job_t,deep,row_count;hash,no,0\njob_s,missing,deep,all,no,0\njob_s,job_s,deep,hash,no,1\n")
+    out = reconcile.run_jobs(spark, jobs.table_jobs(spark, str(tmp_path / "a.csv"))).collect()
+    assert [(r.row_count, r.schema_check, r.hash_validation) for r in out] == [("PASS", None, "FAIL"), ("ERROR", "ERROR", "ERROR"), (None, None, "PASS")]
+    assert reconcile.run_config(spark, {"tables": []}).count() == 0
+
+
+def test_query_results_are_kept_and_deleted(spark, tmp_path):
+    s, t = pair(spark)
+    record, _ = reconcile.validate_queries(spark, "SELECT * FROM {a}", "SELECT * FROM {b}", reconcile.Options().with_metrics("row_count"), folder=str(tmp_path), a=s, b=t)
+    assert record.first().row_count == "PASS" and list(tmp_path.iterdir()) == []
+
+
+def test_catalog_and_database(spark, tmp_path):
+    assert "spark_catalog" in {r.catalog for r in tables.catalogs(spark).collect()}
+    assert "default" in {r.schema for r in tables.schemas(spark, "spark_catalog").collect()}
+    assert tables.tables(spark, "spark_catalog", "default").columns == ["catalog", "schema", "table"]
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id AS ID", "id % 7 AS G").write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    got = tables.jdbc(spark, url, "T", split_on="ID", parts=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.count() == 100 and got.rdd.getNumPartitions() == 4 and got.where("G = 3").count() == 14
