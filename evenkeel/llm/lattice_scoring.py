@@ -1,25 +1,35 @@
 """Language-model scores by subword lattices.
 
-A word is spelled by pieces of an existing vocabulary: one that begins with a space, then others, then a stop. Its
-probability is the sum over all segmentations, by a forward recursion in log space. Any byte can stand alone, so every
-word can be spelled. Words that occur in training texts are arcs of their own beside the pieces: a count c of N tokens
-gives such an arc (c - D) / N, and what the discount D frees goes to the spelled words. A text's probability is the product
-over its words and the end, summed over classes of text (say, languages) that have weights of their own. The class is
-never read when scoring. Each sequence of choices spells one text, so the probabilities of all texts sum to at most 1.
+A word is a path through a lattice of arcs of three sizes, and its probability is the sum over all paths, in log space:
+
+1. pieces of an existing vocabulary: one that begins with a space, then others, then a stop. Any byte can stand alone, so every
+   stem can be spelled. All segmentations count, by a forward recursion.
+2. a whole stem, where training words have it: a word without the ASCII punctuation at its end, which is spelled byte by byte,
+   each by the one before it.
+3. a whole word, where training texts have it.
+
+Arcs of a size get (c - D(c)) / N of their counts (modified Kneser-Ney: discounts for 1, 2 and 3 or more from the counts of counts;
+a stem counts once for each of its distinct words), and what D frees goes to the arcs of the next smaller size. So what is
+gathered grows with the corpus, and a word never seen is carried by its stem and pieces.
+
+A text's probability is the product over its words and the end, summed over classes of text (say, languages) that have weights of
+their own. The class is never read when scoring. Each sequence of choices spells one text, so the probabilities of all texts
+sum to at most 1.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased.
 
 The vocabulary is not trained. The file at hand holds merge ranks and no probabilities, so the pieces' weights are fitted
-by expectation maximisation over all segmentations of the distinct words of all training texts, in tasks that return one
+by expectation maximisation over all segmentations of the distinct stems of all training texts, in tasks that return one
 row for each class and piece.
 
-Words are counted over all texts (partial counts in each task, then a shuffle on the word). The HEAD most frequent words,
-a fixed number, are broadcast; all others meet their counts and scores in a shuffle join, in which no word is frequent.
+Words are counted over all texts (partial counts in each task, then a shuffle on the word), and meet their stems in a shuffle join.
+The HEAD most frequent words, a fixed number, are broadcast; all others meet their counts and scores in a shuffle join, in
+which no word is frequent.
 
 Results that are defined: a null text is an empty one, with the end as its only token; a null id counts as a training row;
 repeated rows are scored each and counted each; an empty table gives no rows; without training texts all words are
-unknown and pieces equally likely; a null class is a class; beyond the most frequent MAX_CLASSES - 1 classes the others
-are one; other columns are ignored.
+unknown and pieces equally likely; a null class is a class; all classes take part, and more than MOST_CLASSES raise an
+error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +44,10 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import cut, discard, distinct_words, text_groups
 
-HEAD, ROUNDS, SMOOTHING, MAX_CLASSES = 1 << 17, 3, 0.05, 8
+HEAD, ROUNDS, SMOOTHING = 1 << 17, 4, 0.05
+#: A word has a count and a score for each class.
+MOST_CLASSES = 128
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LONG = 192  # bytes; longer words are segmented one by one
 
 
@@ -188,7 +201,7 @@ def _counting(classes: int):
     def run(batches):
         for batch in batches:
             texts, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for begin, end in text_groups(texts):
+            for begin, end in text_groups(texts, 6_000_000 // max(classes, 4)):
                 buffer, starts, ends, place, begins = distinct_words(texts[begin:end])
                 which = np.repeat(numbers[begin:end], np.diff(begins))
                 counts = np.bincount(place * (classes + 1) + which, minlength=len(starts) * (classes + 1)).reshape(-1, classes + 1)
@@ -215,20 +228,20 @@ def _joined(batches, rows: int = 1 << 17):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def fit(words: DataFrame, classes: int, pieces: list[bytes], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log probabilities (classes x pieces) from the distinct words of each class: word, c0, c1, ..."""
+def fit(stems: DataFrame, classes: int, pieces: list[bytes], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Log probabilities (classes x pieces) from the distinct stems of each class: stem, k0, k1, ..."""
     lattice = Lattice(pieces)
     logp = np.array([lattice.weights(np.ones(lattice.size))] * classes)
-    rows = words.select("word", *(F.col(f"c{i}") > 0 for i in range(classes)))
+    rows = stems.select(F.col("stem").cast("binary"), *(F.col(f"k{i}") > 0 for i in range(classes)))
     for _ in range(rounds):
 
         def expect(batches, logp=logp):
             own = _lattice(pieces)
             total = np.zeros((classes, own.size))
             for batch in _joined(batches):
-                all_words = np.array([*batch.column(0).to_pylist(), None], object)[:-1]
+                named = np.array([*batch.column(0).to_pylist(), None], object)[:-1]
                 for i in range(classes):
-                    chosen = all_words[batch.column(i + 1).to_numpy(zero_copy_only=False).astype(bool)]
+                    chosen = named[batch.column(i + 1).to_numpy(zero_copy_only=False).astype(bool)]
                     if len(chosen):
                         total[i] += own.score(chosen.tolist(), logp[i], np.ones(len(chosen)))
                         total[i, own.stop] += len(chosen)
@@ -243,6 +256,59 @@ def fit(words: DataFrame, classes: int, pieces: list[bytes], rounds: int = ROUND
     return logp
 
 
+def discounts(of_counts: np.ndarray) -> np.ndarray:
+    """D(0) to D(3 and more) from the numbers of arcs that have a count of 1, 2, 3 and 4."""
+    n1, n2, n3, n4 = np.maximum(of_counts.astype(float), 1.0)
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0.0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [0.95, 1.95, 2.95])])
+
+
+class Level:
+    """Arcs of one size: the log probability of counts, and that of all smaller arcs together, by class."""
+
+    def __init__(self, row, names: list[str]) -> None:
+        self.total = np.array([row[f"t{x}"] or 0 for x in names], float)
+        self.discount = np.array([discounts(np.array([row[f"n{k}{x}"] for k in (1, 2, 3, 4)])) for x in names])
+        freed = np.array([[row[f"n1{x}"], row[f"n2{x}"], row[f"v{x}"] - row[f"n1{x}"] - row[f"n2{x}"]] for x in names], float)
+        self.freed = np.maximum((freed * self.discount[:, 1:]).sum(axis=1), 1e-9)
+
+    @staticmethod
+    def figures(names: list[str]) -> list[Column]:
+        each = [F.count(F.when(F.col(x) == k, 1)).alias(f"n{k}{x}") for x in names for k in (1, 2, 3, 4)]
+        return [*each, *(F.sum(x).alias(f"t{x}") for x in names), *(F.count(F.when(F.col(x) > 0, 1)).alias(f"v{x}") for x in names)]
+
+    def join(self, i: int, counts: np.ndarray, smaller: np.ndarray, total: float) -> np.ndarray:
+        """log of an arc's own share, or else of a path of smaller arcs."""
+        own = counts - self.discount[i][np.minimum(counts, 3)]
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(own / total), log(self.freed[i] / total) + smaller)
+
+
+def tail_weights(words: DataFrame, classes: int) -> np.ndarray:
+    """log p(next | last, class) of the bytes of tails: classes x 256 x 256, where 0 is a tail's begin and its end. From distinct words."""
+    own = F.transform(F.filter(F.split("tail", ""), lambda x: x != ""), F.ascii)
+    edge = F.array(F.lit(0))
+    steps = F.arrays_zip(F.concat(edge, own).alias("last"), F.concat(own, edge).alias("next"))
+    rows = words.select(*(F.col(f"c{i}") for i in range(classes)), F.explode(steps).alias("x"))
+    found = rows.groupBy("x.last", "x.next").agg(*(F.count_if(F.col(f"c{i}") > 0).alias(f"c{i}") for i in range(classes))).collect()  # 33 * 33 rows at most
+    symbols = np.array([0, *PUNCTUATION.encode()])
+    counts = np.zeros((classes, 256, 256))
+    counts[:, symbols[:, None], symbols] = 0.05
+    for r in found:
+        counts[:, r.last, r.next] += [r[f"c{i}"] for i in range(classes)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log(counts / counts.sum(axis=2, keepdims=True))
+
+
+def tail_scores(tails: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """tails x classes."""
+    known: dict[bytes, np.ndarray] = {}
+    for tail in set(tails):
+        codes = np.frombuffer(b"\0" + tail + b"\0", np.uint8)
+        known[tail] = weights[:, codes[:-1], codes[1:]].sum(axis=1)
+    return np.array([known[t] for t in tails]).reshape(len(tails), weights.shape[0])
+
+
 def score(
     docs: DataFrame,
     held_out: Column,
@@ -258,47 +324,55 @@ def score(
     kind = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"), kind.alias("kind"))
     pieces = vocabulary(model_path)
-    sizes = rows.where(~F.col("held_out")).groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(MAX_CLASSES - 1).collect()
-    kinds = [r.kind for r in sizes]
-    number = F.lit(len(kinds))
+    kinds = [r.kind for r in rows.where(~F.col("held_out")).select("kind").distinct().orderBy("kind").limit(MOST_CLASSES + 1).collect()]
+    if len(kinds) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    classes = max(len(kinds), 1)
+    number = F.lit(0)
     for i, k in enumerate(kinds):
         number = F.when(F.col("kind").eqNullSafe(F.lit(k).cast("string")), i).otherwise(number)
-    classes = len(kinds) + 1  # the last: all other kinds
     numbered = rows.select("text", F.when(F.col("held_out"), classes).otherwise(number).alias("number"))
-    c = [f"c{i}" for i in range(classes)]
+    c, k = [f"c{i}" for i in range(classes)], [f"k{i}" for i in range(classes)]
     words = numbered.mapInArrow(_counting(classes), "word binary, uses long, " + ", ".join(f"{x} long" for x in c)).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("uses", *c)))
-    words = cut(words, "words")
+    stem = F.rtrim(F.col("word").cast("string"), F.lit(PUNCTUATION))
+    words = cut(words.select("*", stem.alias("stem"), F.substring(F.col("word").cast("string"), F.length(stem) + 1, F.length("word")).alias("tail")), "words")
     ends_of = {r.number: r.n for r in numbered.groupBy("number").agg(F.count("*").alias("n")).collect()}
     ends = np.array([ends_of.get(i, 0) for i in range(classes)], float)
-    stats = words.agg(F.count(F.when(sum(F.col(x) for x in c) > 0, 1)).alias("v"), *(F.sum(x).alias(f"s{x}") for x in c), *(F.count(F.when(F.col(x) == k, 1)).alias(f"n{k}{x}") for x in c for k in (1, 2)), *(F.count(F.when(F.col(x) > 0, 1)).alias(f"v{x}") for x in c)).first()
-    tokens = np.array([stats[f"s{x}"] or 0 for x in c], float) + ends
+    stats = words.agg(F.count(F.when(sum(F.col(x) for x in c) > 0, 1)).alias("v"), *Level.figures(c)).first()
+    of_words = Level(stats, c)
+    tokens = of_words.total + ends
     n, v = int(tokens.sum()), stats.v + bool(ends.sum())
-    once, twice, distinct = (np.array([stats[f"{k}{x}"] for x in c], float) for k in ("n1", "n2", "v"))
-    discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)
-    spelled = np.maximum(discount * distinct, 1e-9)  # tokens' worth of mass for words by their pieces
-    live = [i for i in range(classes) if ends[i]]
-    if live:
-        logp = fit(words, classes, pieces, rounds)
-    else:
-        live, tokens, ends, spelled = [0], np.ones(classes), np.full(classes, 0.5), np.full(classes, 0.5)
-        logp = fit(words, classes, pieces, 0)
-    share = np.log10(ends[live] / ends[live].sum())
-    s = [f"s{i}" for i in live]
-
-    def scoring(batches):
+    stems = cut(words.groupBy("stem").agg(*(F.count_if(F.col(x) > 0).alias(y) for x, y in zip(c, k))), "stems")
+    of_stems = Level(stems.agg(*Level.figures(k)).first(), k)
+    logp = fit(stems, classes, pieces, rounds if kinds else 0)
+    tails = tail_weights(words, classes)
+    if not kinds:
+        tokens, ends, of_words.freed, of_stems.total, of_stems.freed = (np.full(1, x) for x in (1.0, 0.5, 0.5, 1.0, 1.0))
+    stem_total = np.maximum(of_stems.total, of_stems.freed)
+    share = np.log10(ends / ends.sum())
+    s = [f"s{i}" for i in range(classes)]
+
+    def spelling(batches):
+        """Stems with their log probabilities, as an arc or by pieces."""
         lattice = _lattice(pieces)
         for batch in _joined(batches):
             named = batch.column(0).to_pylist()
-            found = []
-            for i in live:
-                arcs = np.maximum(batch.column(2 + i).to_numpy() - discount[i], 0)
-                with np.errstate(divide="ignore"):
-                    found.append(np.logaddexp(np.log(arcs / tokens[i]), np.log(spelled[i] / tokens[i]) + lattice.score(named, logp[i])) / log(10))
-            total = np.sum([batch.column(2 + i).to_numpy() for i in range(classes)], axis=0)
-            yield from pa.table([batch.column(0), batch.column(1), pa.array(total), *map(pa.array, found)], names=["word", "uses", "c", *s]).to_batches(1 << 14)
-
-    scored = cut(words.mapInArrow(scoring, "word binary, uses long, c long, " + ", ".join(f"{x} double" for x in s)), "scored-words")
-    discard(words)
+            found = [of_stems.join(i, batch.column(1 + i).to_numpy(), lattice.score(named, logp[i]), stem_total[i]) for i in range(classes)]
+            yield from pa.table([batch.column(0), *map(pa.array, found)], names=["stem", *s]).to_batches(1 << 14)
+
+    def scoring(batches):
+        """Words with their log10 probabilities, as an arc or by stem and tail."""
+        for batch in batches:
+            ending = tail_scores(batch.column(2).to_pylist(), tails)
+            counts = [batch.column(3 + i).to_numpy() for i in range(classes)]
+            found = [of_words.join(i, counts[i], batch.column(3 + classes + i).to_numpy() + ending[:, i], tokens[i]) / log(10) for i in range(classes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sum(counts, axis=0)), *map(pa.array, found)], names=["word", "uses", "c", *s])
+
+    doubles = ", ".join(f"{x} double" for x in s)
+    spelled = cut(stems.select(F.col("stem").cast("binary").alias("stem"), *k).mapInArrow(spelling, f"stem binary, {doubles}"), "stem-scores")
+    met = words.select("word", "uses", F.col("tail").cast("binary").alias("tail"), *c, F.col("stem").cast("binary").alias("stem")).join(spelled, "stem")
+    scored = cut(met.select("word", "uses", "tail", *c, *s).mapInArrow(scoring, f"word binary, uses long, c long, {doubles}"), "scored-words")
+    discard(words, stems, spelled)
     step = F.floor(F.log2("uses") * 64)
     level, room = 1 << 20, head
     for r in scored.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 64 steps to a doubling
@@ -310,7 +384,7 @@ def score(
     table = np.array([[r.c, *(r[x] for x in s)] for r in top], float).reshape(len(top), 1 + len(s))
     frequent = spark.sparkContext.broadcast(({bytes(r.word): i for i, r in enumerate(top)}, table))
     least = log10(n + v + 1)
-    start = np.array([log10(ends.sum() + 1) - least if n else -least, *(share + np.log10(ends[live] / tokens[live]))])
+    start = np.array([log10(ends.sum() + 1) - least if n else -least, *(share + np.log10(ends / tokens))])
     known_end = int(n > 0)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     fields = f"row long, doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, " + ", ".join(f"{x} double" for x in s) + ", word binary, times long"
