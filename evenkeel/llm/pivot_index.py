@@ -4,10 +4,14 @@ Each vector is described by its nearest reference points in order (the first `de
 list for each pivot holds the vectors that it describes. Two vectors of a list are candidates if they share at least
 `shared` pivots; candidates are verified by their cosine in double precision. A pair that shares enough pivots
 must share one of the rarest `depth - shared + 1` of either, so a vector enters only those lists, and a pair is
-counted in the list of its rarest shared pivot alone.
+counted in the list of its rarest shared pivot alone. A list of more than `block` entries is split by a second pivot, and
+one that is still longer by a third, each among the pivots that come after in popularity: a pair is then counted in the
+list of its two or three rarest shared pivots. So lists stay short when rows grow beyond what the pivots tell apart: their number
+goes up to the third power of the pivots'.
 
-Equal vectors become one first. A list is split into blocks of rows and a task gets two blocks, so no list has to fit
-into one task. Tasks return counts of links and a spanning forest of what they linked, never all pairs.
+Equal vectors become one first. A list of three pivots that is still long is a crowd of vectors that mostly do link; it is split
+into blocks of rows and a task gets two blocks, so no list has to fit into one task. Counting every link of a crowd takes time
+with the square of its size. Tasks return counts of links and a spanning forest of what they linked, never all pairs.
 
 The reference points are a bounded sample of the vectors (their number grows with the square root of the rows, to
 MAX_PIVOTS at most); all vectors are indexed. Recall is measured in the tests against brute force.
@@ -70,7 +74,8 @@ def _verifying(cosine: float, shared: int):
     """Of two blocks of a list: each row's weight of links to the other block (b is null), and edges (n is 0) that span what is linked."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, low, high = key
+        *named, low, high = key
+        named = [p for p in named if p >= 0]
         left = pdf[pdf["block"] == low]
         right = pdf[pdf["block"] == high]
         found: list[tuple] = []
@@ -80,15 +85,14 @@ def _verifying(cosine: float, shared: int):
             rows_, cols_ = [], []
             for i in range(0, len(x), 256):
                 a = p[i : i + 256]
-                count = np.zeros((len(a), len(q)), np.int8)
-                rarer = np.zeros((len(a), len(q)), bool)
+                count, rare = (np.zeros((len(a), len(q)), np.int8) for _ in range(2))
                 for c in range(a.shape[1]):
                     for d in range(q.shape[1]):
                         equal = a[:, c, None] == q[None, :, d]
                         count += equal
-                        if c + 1 < a.shape[1]:
-                            rarer |= equal & (a[:, c] != pivot)[:, None] & (np.argmax(a == pivot, axis=1) > c)[:, None]
-                r, s = np.nonzero((count >= min(shared, p.shape[1])) & ~rarer)
+                        rare += equal & (a[:, c, None] <= named[-1])
+                # here and nowhere else: the list's pivots are the rarest that the two share
+                r, s = np.nonzero((count >= min(shared, p.shape[1])) & (rare == len(named)))
                 if low == high:
                     r, s = r[r + i < s], s[r + i < s]
                 near = np.einsum("ij,ij->i", x[i + r], y[s]) >= cosine
@@ -130,13 +134,25 @@ def _links(nodes: DataFrame, cosine: float, depth: int, shared: int, block: int)
     # lists are named by popularity from here on: 0 is the rarest pivot
     ranked = described.withColumn("pivots", F.array_sort(F.transform("pivots", lambda p: by_rank[p].cast("short"))))
     prefix = max(1, min(depth, len(pivots)) - min(shared, len(pivots)) + 1)
-    entries = ranked.withColumn("pivot", F.explode(F.slice("pivots", 1, prefix)))
-    sizes = {r.pivot: r.n for r in entries.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    blocks = F.array(*(F.lit(-(-sizes.get(p, 0) // block)) for p in range(len(pivots))))
-    dealt = entries.withColumn("blocks", blocks[F.col("pivot")]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("blocks", F.lit(1))).cast("int"))
+    names = ["p1", "p2", "p3"]
+    entries = ranked.select("*", F.posexplode(F.slice("pivots", 1, prefix)).alias("at", "p1"))
+    entries = entries.withColumns({"p2": F.lit(-1).cast("short"), "p3": F.lit(-1).cast("short")})
+    dealt = None
+    for level in range(1, max(1, min(3, shared, len(pivots))) + 1):
+        sizes = cut(entries.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > block), "long-lists")
+        last = level == min(3, shared, len(pivots)) or sizes.isEmpty()
+        met = entries.join(sizes, names, "left")
+        short = (met if last else met.where("n is null")).withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")).drop("n", "at")
+        dealt = short if dealt is None else dealt.unionByName(short)
+        if last:
+            break
+        # the next pivot: one of those after the last, as long as enough are left to make up the shared ones
+        entries = met.where("n is not null").drop("n", names[level]).withColumn("begin", F.col("at") + 1).drop("at").select("*", F.posexplode(F.slice("pivots", F.col("begin") + 1, F.greatest(F.lit(prefix + level) - F.col("begin"), F.lit(0)))).alias("step", names[level]))
+        entries = entries.withColumn("at", F.col("begin") + F.col("step")).drop("begin", "step")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "weight", "v", "pivots", "block")
-    return pairs.groupBy("pivot", "low", "high").applyInPandas(_verifying(cosine, shared), "a long, b long, n long")
+    pairs = pairs.select(*names, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "weight", "v", "pivots", "block")
+    return pairs.groupBy(*names, "low", "high").applyInPandas(_verifying(cosine, shared), "a long, b long, n long")
 
 
 def near_vectors(

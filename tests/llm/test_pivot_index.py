@@ -74,3 +74,37 @@ def test_odd_vectors(spark):
     for i in (1, 2, 3, 4, 5, 6):
         assert (i, 0, i, True) in out
     assert pi.near_vectors(df.limit(0)).count() == 0
+
+
+def planted(n, crowd, dims=48, seed=11):
+    """Random vectors, copies at several cosines, and a crowd of near copies."""
+    rng = np.random.default_rng(seed)
+    rows = list(rng.normal(size=(n, dims)))
+    for target in (0.955, 0.97, 0.99):
+        for base in rows[: n // 5]:
+            u, b = rng.normal(size=dims), base / np.linalg.norm(base)
+            u -= (u @ b) * b
+            rows.append(target * b + np.sqrt(1 - target**2) * u / np.linalg.norm(u))
+    rows += [rows[0] + 0.05 * rng.normal(size=dims) for _ in range(crowd)] + [rows[1]] * 20
+    return [(i, v.tolist()) for i, v in enumerate(rows)]
+
+
+def test_split_lists_find_what_whole_lists_find(spark):
+    """Lists of 8 entries are split by a second and a third pivot and into blocks; nothing is lost or counted twice."""
+    df = spark.createDataFrame(planted(400, 60), "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in pi.near_vectors(df, block=100_000).collect()}
+    assert {tuple(r) for r in pi.near_vectors(df, block=8).collect()} == whole and max(r[1] for r in whole) >= 60
+
+
+def test_the_query_on_a_table_with_planted_links(spark, tmp_path):
+    """The registered query against its own SQL: the tables at hand hold hardly any links."""
+    spark.createDataFrame(planted(1500, 200), "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*.parquet"))
+    (tmp_path / "sf").mkdir()
+    part.rename(tmp_path / "sf" / "embeddings.parquet")
+    out = {r.vec_id: r for r in queries.op7_pivot_index(spark, str(tmp_path / "sf")).collect()}
+    names, want = oracle.duck(str(tmp_path / "sf"), oracles.OP7)
+    want = {r[names.index("vec_id")]: dict(zip(names, r)) for r in want}
+    assert set(out) == set(want) and all(out[i].n_links <= want[i]["n_links"] for i in want)
+    assert sum(out[i].n_links for i in want) >= 0.97 * sum(w["n_links"] for w in want.values()) > 40_000
+    assert sum(out[i].component_id == want[i]["component_id"] for i in want) >= 0.97 * len(want)
