@@ -134,11 +134,11 @@ def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, most:
     return out
 
 
-def chunks(texts: list, most: int = 1 << 20):
-    """Lists of (index, lowered bytes) of about `most` bytes; a longer text stands alone, whole."""
+def chunks(texts: list, most: int = 1 << 20, encode=lowered):
+    """Lists of (index, bytes) of about `most` bytes; a longer text stands alone, whole."""
     part, size = [], 0
     for i, text in enumerate(texts):
-        raw = lowered(text)
+        raw = encode(text)
         if part and size + len(raw) > most:
             yield part
             part, size = [], 0

@@ -51,9 +51,20 @@ def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def page_sites(pages: DataFrame) -> DataFrame:
+    """doc_id, host and path (its first segment) of the documents that pages show."""
+    url, number = F.col("url"), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$"
+    path = host_reputation.path_of(url)
+    found = pages.select(F.regexp_extract(path, number, 1).try_cast("long").alias("doc_id"), host_reputation.host_of(url).alias("host"), F.regexp_extract(F.regexp_replace(path, number, "/"), "^(/[^/]*)", 1).alias("path"))
+    return found.where("doc_id is not null")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's posterior quality; its source is the host and its language the path."""
-    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Every document's posterior quality, from the labels of documents whose remainder isn't 2."""
+    apart = lattice_scoring.held_out_by("doc_id", 5, 2)
+    labels = table(spark, sf_dir, "labels").where(~apart)
+    found = quality_classifier.score(table(spark, sf_dir, "documents"), labels, sites=page_sites(table(spark, sf_dir, "pages")))
+    return found.withColumn("held_out", apart)
 
 
 def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_each_stage_against_its_operators_decisions(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality", "language", "duplicates", "mixing", "packing"]
 
-    accepted = {r.doc_id for r in quality_classifier.score(docs, labels).collect() if r.accepted}
+    accepted = {r.doc_id for r in quality_classifier.score(docs, labels, sites=queries.page_sites(queries.table(spark, sf_dir, "pages"))).collect() if r.accepted}
     kept = stages["quality"](spark, docs, sf_dir).cache()
     assert kept.columns == docs.columns and rows_of(kept) == Counter({tuple(r): 1 for r in docs.collect() if r.doc_id in accepted})
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
