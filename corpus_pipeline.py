@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf_language, harmonic_packing, prefix_join, quality_classifier, soft_mixing
+from evenkeel.llm import crf_language, harmonic_packing, prefix_join, quality_classifier, queries, soft_mixing
 from evenkeel.llm.common import cut, shared_folder
 
 #: Mean probability that a text's words have its language; clean texts of one language are far above, texts of two halves near 0.5.
@@ -44,8 +44,11 @@ def _only(numbered: DataFrame, kept: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("__id"), "quality")
-    known = rows.select("__row", "doc_id").join(labels, F.col("doc_id") == F.col("__id")).select("__row", "quality")
-    found = quality_classifier.score(rows, known, id_col="__row", label_id_col="__row")
+    ids = rows.select("__row", "doc_id")
+    known = ids.join(labels, F.col("doc_id") == F.col("__id")).select("__row", "quality")
+    sites = queries.page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("doc_id", "__id")
+    sites = ids.join(sites, F.col("doc_id") == F.col("__id")).select(F.col("__row").alias("doc_id"), "host", "path")
+    found = quality_classifier.score(rows, known, id_col="__row", label_id_col="__row", sites=sites)
     return _only(rows, found.where("accepted").select(F.col("doc_id").alias("__kept")))
 
 
