@@ -9,7 +9,7 @@ has the largest mean marginal, which is its score.
 The model is fitted on a sample of labelled rows with a fixed bound (`per_language` rows of at most `most_chars` characters
 for each language, in the order of a hash; a language that has longer texts only gives `most_chars` characters of each, from
 the first letter on); every text is labelled whole. Every label with a letter in a text is learned; more than MOST_LANGUAGES
-raise an error. Scoring needs no shuffle: the model (about 1 MB for each language, whatever the input) goes to the tasks.
+raise an error. A very long text is labelled in pieces at once, with the same marginals. Scoring needs no shuffle: the model (about 1 MB for each language, whatever the input) goes to the tasks.
 
 The CRF has to choose a learned language. With `evidence`, labelling also tells how far a text's words look like its language
 at all: a word is recognised if most of its byte 4-grams are in two or more distinct sampled texts of that language; the
@@ -35,6 +35,9 @@ PER_LANGUAGE, MOST_CHARS, EPOCHS, LEXICON = 200, 20_000, 24, 400
 #: Training holds about 6 MB for each language on the driver.
 MOST_LANGUAGES = 128
 UNKNOWN = "und"
+#: Texts of more words than PIECE are labelled in pieces that meet by exact messages, which cost the third power of the
+#: languages; with more than MOST_SPLIT languages they go word by word instead.
+PIECE, MOST_SPLIT = 2048, 32
 _TABLE, _ORDERS = 1 << 16, (2, 3, 4)
 
 
@@ -134,32 +137,71 @@ def emissions(model: Model, buffer: np.ndarray, starts: np.ndarray, ends: np.nda
     return out
 
 
-def marginals(scores: np.ndarray, begins: np.ndarray, moves: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+def _messages(seen: np.ndarray, step: np.ndarray, at: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces that texts are cut into (in order; heads: where one begins): what comes to each from before and from after.
+
+    A piece is a product of its words' transfer matrices, one for each piece in a step; what passes on is a vector times those.
+    """
+    k = len(step)
+    products = np.broadcast_to(np.eye(k, dtype=seen.dtype), (len(at), k, k)).copy()
+    for t in range(sizes.max()):
+        some = np.flatnonzero(sizes > t)
+        words = seen[at[some] + t]
+        move = np.broadcast_to(step, (len(some), k, k))
+        if t == 0:
+            move = np.where(heads[some, None, None], np.full((k, k), 1 / k, step.dtype), move)
+        found = products[some] @ (move * words[:, None, :])
+        products[some] = found / found.max(axis=(1, 2), keepdims=True)
+    before, after = np.ones((2, len(at), k), seen.dtype)
+    last = np.ones(k, seen.dtype)
+    for i in range(len(at)):
+        last = np.ones(k, seen.dtype) if heads[i] else last
+        before[i] = 1 if heads[i] else last @ step
+        last = last @ products[i]
+        last /= last.sum()
+    for i in range(len(at) - 1, 0, -1):
+        if not heads[i]:
+            after[i - 1] = products[i] @ after[i]
+            after[i - 1] /= after[i - 1].sum()
+    return before, after
+
+
+def marginals(scores: np.ndarray, begins: np.ndarray, moves: np.ndarray, pairs: np.ndarray | None = None, piece: int = PIECE) -> np.ndarray:
     """P(language of word | text) of texts laid end to end; begins has an end. pairs: gets expected transitions added.
 
-    All texts advance together, one word each step, longest first.
+    All texts advance together, one word each step, longest first. Texts of more than `piece` words advance in pieces, which
+    meet by exact messages; so a text of millions of words takes a few thousand steps.
     """
-    sizes = np.diff(begins)
-    order = np.argsort(-sizes, kind="stable")
-    at, sizes = begins[:-1][order], sizes[order]
-    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
+    k = scores.shape[1]
+    at, sizes = begins[:-1], np.diff(begins)
     seen = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
     step = np.exp(moves - moves.max())
+    before = after = np.ones((len(at), k), seen.dtype)
+    if pairs is None and k <= MOST_SPLIT and len(sizes) and sizes.max() > piece:
+        n = np.maximum(-(-sizes // piece), 1)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own, size = np.repeat(at, n) + nth * piece, np.minimum(np.repeat(sizes, n) - nth * piece, piece)
+        before, after = np.ones((2, len(own), k), seen.dtype)
+        cut_up = np.repeat(n > 1, n)
+        before[cut_up], after[cut_up] = _messages(seen, step, own[cut_up], size[cut_up], nth[cut_up] == 0)
+        at, sizes = own, size
+    order = np.argsort(-sizes, kind="stable")
+    at, sizes, before, back = at[order], sizes[order], before[order], after[order].copy()
+    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
     forward = np.empty_like(seen)
     for t, n in enumerate(live):
         i = at[:n] + t
-        a = seen[i] if t == 0 else (a[:n] @ step) * seen[i]  # noqa: F821
+        a = before[:n] * seen[i] if t == 0 else (a[:n] @ step) * seen[i]  # noqa: F821
         a /= a.sum(axis=1, keepdims=True)
         forward[i] = a
-    back = np.ones((len(sizes), seen.shape[1]))
     for t in range(len(live) - 1, 0, -1):
         n = live[t]
         i = at[:n] + t
         onward = seen[i] * back[:n]
         onward /= onward.sum(axis=1, keepdims=True)
         if pairs is not None:
-            before = forward[i - 1]
-            pairs += step * ((before / ((before @ step) * onward).sum(axis=1, keepdims=True)).T @ onward)
+            earlier = forward[i - 1]
+            pairs += step * ((earlier / ((earlier @ step) * onward).sum(axis=1, keepdims=True)).T @ onward)
         forward[i] *= back[:n]
         back[:n] = onward @ step.T
         back[:n] /= back[:n].sum(axis=1, keepdims=True)

@@ -75,3 +75,24 @@ def test_code_switched_words_and_odd_texts(spark, sf_dir):
     assert cl.label(df, model).count() == 8 and cl.label(df.limit(0), model).count() == 0
     assert cl.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in cl.label(df, None).collect()} == {"und"}
+
+
+def test_long_texts_in_pieces_have_the_same_marginals():
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 7, 8, 9, 50, 0, 333, 2]
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    scores, moves = 3 * rng.normal(size=(begins[-1], 4)), 2 * rng.normal(size=(4, 4))
+    whole = cl.marginals(scores, begins, moves)
+    for piece in (1, 2, 8, 100):
+        assert np.allclose(cl.marginals(scores, begins, moves, piece=piece), whole)
+
+
+def test_a_text_of_two_million_words(spark):
+    import time
+
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("le chat est sur la table", "fr")] * 20)]
+    model = cl.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    text = "the cat sat on a mat " * 250_000 + "le chat est la " * 150_000
+    begun = time.time()
+    r = cl.label(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert r.lang_pred == "en" and r.n_words == 2_100_000 and r.n_switches >= 1 and time.time() - begun < 60
