@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession):
+    """Spark deletes a query's shuffle files when it has ended; a table that is written needs them no more."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor costs only a re-read."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evenkeel-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.evenkeel_path = path
@@ -60,17 +73,18 @@ def first_by_hash(df: DataFrame, rows: int, total: int, *columns: str) -> DataFr
     return df.where(key.cast("double") <= bound).orderBy(key, *columns).limit(rows)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of finished shuffles now: Spark deletes their files once the driver has collected its garbage, which a driver
-    with little to do may not do for half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written() -> int:
+    """How many tables of cut() there are: a mark for release()."""
+    return len(_WRITTEN)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that cut() has written in this process. Call it when no result that reads them is needed any more."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete every table that cut() has written in this process since a mark, but for one. Call it when no result that reads them is needed any more."""
+    kept = [keep.evenkeel_path] if keep is not None else []
+    for path in _WRITTEN[since:]:
+        if path not in kept:
+            _delete(spark, path)
+    _WRITTEN[since:] = kept
 
 
 # ---------------------------------------------------------------- words

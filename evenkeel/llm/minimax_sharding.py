@@ -8,8 +8,8 @@ Greedy filling only needs the ordered prefix sums of group sizes, so the driver
 a few hundred cells for each round, whatever the size of the corpus. The cuts are then 15 key literals.
 
 Groups above the mean of the shards that are left (at most one for each shard) first get a shard of their own;
-no contiguous order could place them better. Slots are numbered by the counts of 1,024 buckets of row hashes
-in each shard, so no window sees a whole shard or a whole group of copies.
+no contiguous order could place them better. Slots are numbered by the counts of 1,024 buckets of row numbers
+(written with the rows) in each shard, so no window sees a whole shard, a group of copies or repeated rows.
 
 Results that are defined: a null text has no bytes and counts as an empty text; a null id is a value like any other;
 repeated rows each get a slot; an empty table gives no rows; fewer groups than shards leave shards empty; other
@@ -133,7 +133,7 @@ def boundaries(groups: DataFrame, shards: int) -> list[str]:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), group_key (MD5 of the text)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("key")), "shard-rows")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("key"), F.monotonically_increasing_id().alias("row")), "shard-rows")
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     left = groups.agg(F.sum("bytes")).first()[0] or 0
     alone: list[str] = []
@@ -148,11 +148,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         number = F.when(F.col("key") >= start, len(alone) + i + 1).otherwise(number)
     for i, key in enumerate(alone):
         number = F.when(F.col("key") == key, i).otherwise(number)
-    placed = rows.withColumn("shard", number.cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int"))
+    placed = rows.withColumn("shard", number.cast("int")).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # shards x buckets rows at most
-    within = W.partitionBy("shard", "bucket").orderBy("key", "doc_id")
+    within = W.partitionBy("shard", "bucket").orderBy("row")
     return (
         placed.withColumn("nth", F.row_number().over(within) - 1)
         .join(F.broadcast(base), ["shard", "bucket"])

@@ -18,7 +18,8 @@ over tasks by the adaptive skew join.
 
 Results that are defined: a null, empty or blank text has an empty set and links with nothing (its component is its
 own id); fewer than k words count as one shingle; equal sets are one component whatever t; the component of a row
-is the least id reachable; rows that share an id must hold the same text; rows with a null id come back with a null
+is the least id reachable; ids are integers, and rows that share an id hold the same text (else an error where both
+texts have no lesser id); rows with a null id come back with a null
 component; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import components, cut, discard, shingles, tidy
+from evenkeel.llm.common import components, cut, discard, shingles
 
 CELLS, PARTS = 1 << 21, 512
 SALTS, BUCKETS = 32, 64
@@ -177,6 +178,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # equal sets: one node each, named by the least id
     named = about.where("digest is not null and id is not null")
     nodes = cut(named.groupBy("digest", "head", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "sets")
+    twice = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"rows with the id {twice.node} hold different texts")
     # groups: the same prefix and size
     members = cut(nodes.groupBy("head", "n").agg(F.min("node").alias("grp"), F.count("*").alias("members")).join(nodes.select("head", "n", "node"), ["head", "n"]).select("grp", "members", "node"), "members")
     heads = members.where("grp = node").select("grp").hint("shuffle_hash")
@@ -184,10 +188,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # most shingles of a prefix are in no other: they are dropped before anything wider is moved
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("at", "token")).select("token", "grp", "n", (F.col("n") - F.col("at")).alias("r"))
     common = cut(posted.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token"), "common")
-    tidy(spark)
     posted = cut(posted.join(common, "token"), "postings")
     discard(groups, common)
-    tidy(spark)
     # a size class and the next: two sizes that differ by no more than 1/t meet in the class of the larger
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + F.lit(1e-9)).cast("int")
     lists = posted.withColumn("own", own).withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1)))
@@ -197,14 +199,11 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = cut(lists.join(busy, ["token", "cls"]).select("token", "cls", "grp", "n", "r", "pivot"), "lists")
     discard(posted, busy)
 
-    tidy(spark)
     candidates = lists.select(F.col("grp").alias("g")).distinct()
     wanted = members.join(candidates, F.col("grp") == F.col("g"), "left_semi").select("node").union(members.where("members > 1").select("node")).distinct()
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
     sets = cut(texts.mapInArrow(_sets(k, shared), "node long, n int, buckets array<int>, tokens array<long>"), "whole-sets")
 
-    tidy(spark)
-
     def expand(group_pairs: DataFrame) -> DataFrame:
         """Group pairs (g, h): the head of each with all members of the other."""
         one = group_pairs.join(members, F.col("h") == F.col("grp")).select(F.col("g").alias("a"), F.col("node").alias("b"))

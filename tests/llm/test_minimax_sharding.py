@@ -83,3 +83,10 @@ def test_odd_tables(spark, texts):
     validate(rows, texts)
     if len(texts) == 100:
         assert len({r.shard for r in rows}) == 16
+
+
+def test_repeated_rows_are_dealt_over_windows(spark):
+    """All rows equal, ids too: slots are gapless and no bucket holds them all."""
+    df = spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'same' AS text")
+    out = ms.shard(df).collect()
+    assert sorted(r.slot for r in out) == list(range(4000)) and len({r.shard for r in out}) == 1

@@ -102,3 +102,9 @@ def test_odd_tables(spark):
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in pj.near_documents(df).collect()), key=str)
     assert out == [(3, 2, 3), (3, 2, 3), (4, 2, 3), (None, 2, None)]
     assert pj.near_documents(df.limit(0)).count() == 0
+
+
+def test_one_id_with_two_texts_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="id 1 "):
+        pj.near_documents(df)
