@@ -14,14 +14,12 @@ So rows with a null or repeated doc_id are each judged by their own text; a null
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import crf_language, harmonic_packing, prefix_join, quality_classifier, queries, soft_mixing
-from evenkeel.llm.common import cut, shared_folder
+from evenkeel.llm.common import cut, release, written
 
 #: Mean probability that a text's words have its language; clean texts of one language are far above, texts of two halves near 0.5.
 LEAST_LANGUAGE_SCORE = 0.6
@@ -89,10 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/evenkeel-pipeline-{uuid.uuid4().hex}"
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what the stage wrote on its way, and its input, are needed no more
+        release(spark, mark, keep=docs)
     return docs
