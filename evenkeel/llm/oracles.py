@@ -36,6 +36,19 @@ SELECT page_id, host, path, rule, CASE
   WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN rates USING (host)"""
 
+OP5 = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM words),
+nodes AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node <> b.node
+  GROUP BY a.node, a.n, b.node, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN least ON least.node = nodes.node"""
+
 OP7 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
   AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
@@ -43,4 +56,4 @@ reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
 FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id"""
 
-ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op7_pivot_index": OP7}
+ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op5_grouped_prefix_join": OP5, "op7_pivot_index": OP7}

@@ -1,9 +1,15 @@
+import importlib.util
+import os
 import random
 
 import pytest
 
+from evenkeel.llm import oracles, queries
 from evenkeel.llm import prefix_join as pj
-from evenkeel.llm import queries
+
+spec = importlib.util.spec_from_file_location("llm_oracle", os.path.join(os.path.dirname(__file__), "oracle.py"))
+oracle = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(oracle)
 
 
 def brute(docs, k, percent):
@@ -57,6 +63,10 @@ def test_whole_table_at_90_on_three_words(spark, sf_dir):
     assert got(queries.op5_grouped_prefix_join(spark, sf_dir)) == brute(docs, 3, 90)
 
 
+def test_against_sql(spark, sf_dir):
+    oracle.same(queries.op5_grouped_prefix_join(spark, sf_dir), sf_dir, oracles.OP5)
+
+
 def family_docs():
     """Copies, near copies on both sides of the thresholds, chains, shared passages and short texts."""
     rng = random.Random(4)
