@@ -43,7 +43,7 @@ def classifier(labelled: DataFrame, id_col: str, text_col: str, domain_col: str,
     """Domains, their log priors, and (word, l0, l1, ...): log p(word | domain) less its mean over domains."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).where("domain is not null")
     # rows with words can be drawn, and the one with the least hash always is
-    rows = rows.withColumn("h", F.when(F.size(words_of(F.col("text"))) > 0, F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 30))))
+    rows = rows.withColumn("h", F.when(F.col("text").rlike(r"[^ \t-\r]"), F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 30))))
     sized = cut(rows.groupBy("domain").agg(F.count("*").alias("n"), F.count("h").alias("usable"), F.min("h").alias("least")), "domain-sizes")
     sizes = sized.select("domain", "n").collect()
     if not sizes:
@@ -54,7 +54,8 @@ def classifier(labelled: DataFrame, id_col: str, text_col: str, domain_col: str,
     share = F.least(F.lit(1.0), F.lit(float(max(sample // len(domains), LEAST))) / F.col("usable")) * float(1 << 30)
     bounds = sized.where("usable > 0").select(F.col("domain").alias("of"), F.greatest(share, F.col("least") + 1.0).alias("bound"))
     chosen = rows.join(F.broadcast(bounds), F.col("domain") == F.col("of")).where(F.col("h") < F.col("bound"))
-    counts = chosen.select("domain", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)))
+    # the outer form, as Spark would else ask every row for words before it draws
+    counts = chosen.select("domain", F.explode_outer(words_of(F.col("text"))).alias("word")).groupBy("word").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)))
     counts = cut(counts, "domain-words")
     sums = counts.agg(F.count("*").alias("v"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains)))).first()
     if not sums.v:
