@@ -56,4 +56,7 @@ reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
 FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id"""
 
-ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op5_grouped_prefix_join": OP5, "op7_pivot_index": OP7}
+OP12 = """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size FROM documents)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d"""
+
+ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op5_grouped_prefix_join": OP5, "op7_pivot_index": OP7, "op12_exact_runs": OP12}
