@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf_language, exact_dedup, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier, soft_mixing
+from evenkeel.llm import conversation_repair, crf_language, exact_dedup, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier, soft_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,11 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id.doc_id", F.col("doc_id.apart").alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 
+def op11_integer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the damage of the contract, repaired."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_exact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: of equal texts the one with the largest doc_id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_soft_mixing": op9_soft_mixing,
     "op10_crf_language": op10_crf_language,
+    "op11_integer_repair": op11_integer_repair,
     "op12_exact_runs": op12_exact_runs,
 }
 
