@@ -26,6 +26,7 @@ from evenkeel.llm.common import cut
 FAN = 16
 _ENTRY = "part int, sha binary, size long, other long, best_id long, best_row long, n long"
 _COLUMNS = ("part", "sha", "size", "other", "best_id", "best_row", "n")
+_ARROW = pa.schema([(c, pa.int32() if c == "part" else pa.binary() if c == "sha" else pa.int64()) for c in _COLUMNS])
 _KEY = ("sha", "size", "other")
 
 
@@ -33,7 +34,7 @@ def _merged(batches):
     """Entries of sorted runs, equal texts of a part as one: the last one's identifier and the sum of the numbers."""
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_arrays(batch.columns, schema=_ARROW)
         if held is not None:
             table = pa.concat_tables([held, table])
         table = table.combine_chunks()

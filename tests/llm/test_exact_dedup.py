@@ -35,6 +35,15 @@ def test_groups(spark, keep, parts):
     assert all(r.doc_id == r.keep_id for r in stays)
 
 
+def test_runs_longer_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = exact_groups(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(20)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute(ROWS)
+
+
 def test_empty_table_and_bad_option(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_groups(df).count() == 0
