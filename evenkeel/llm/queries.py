@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import conversation_repair, crf_language, exact_dedup, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier, soft_mixing
+from evenkeel.llm import conversation_repair, conversation_trie, crf_language, exact_dedup, harmonic_packing, host_reputation, lattice_scoring, media_columns, minimax_sharding, oracles, pivot_index, prefix_join, quality_classifier, soft_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,11 @@ def op12_exact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_lcp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations."""
+    return conversation_trie.trie(conversation_trie.rebuilt(conversation_trie.paths(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_subword_lattice": op1_subword_lattice,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -115,6 +120,7 @@ QUERIES = {
     "op10_crf_language": op10_crf_language,
     "op11_integer_repair": op11_integer_repair,
     "op12_exact_runs": op12_exact_runs,
+    "op13_lcp_forest": op13_lcp_forest,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
