@@ -192,8 +192,11 @@ def damaged(conversations: DataFrame) -> DataFrame:
 _ORDER = ("conv_id", "dated", "turn", "role", "text")
 
 
-def _faulted(rows: DataFrame) -> DataFrame:
-    """Equal rows as one with their number, the fault of the first of them, dealt out by ranges of conversation and turn. Written."""
+def _faulted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal rows as one with their number, written; and these with the fault of the first of them, dealt out by ranges of conversation and turn.
+
+    The ranges aren't written: files are read back in any order.
+    """
     counted = cut(rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").cast("long").alias("n")).withColumn("same", F.sha2(F.concat_ws(":", F.length("role").cast("string"), "role", "text"), 256)), "turns")
     at = F.struct(F.col("turn").isNotNull(), F.col("turn"))
     often = counted.where("n > 0").groupBy("conv_id", "same").agg(F.count("*").alias("times"), F.min(at).alias("first")).where("times > 1")
@@ -202,7 +205,7 @@ def _faulted(rows: DataFrame) -> DataFrame:
     end = F.substring(F.rtrim(F.col("text"), F.lit(SPACE)), -1, 1)
     fault = F.when(end == "", _BLANK).when(F.col("first").isNotNull() & (at > F.col("first")), _DUPLICATE).when(~end.isin(".", "!", "?"), _CUT).otherwise(0)
     found = met.select("conv_id", F.col("turn").isNotNull().alias("dated"), "turn", "role", "text", "n", fault.alias("fault"))
-    return cut(found.repartitionByRange("conv_id", "dated", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions(*_ORDER), "faults")
+    return counted, found.repartitionByRange("conv_id", "dated", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions(*_ORDER)
 
 
 _SEGMENT = "conv_id long, part int, whole boolean, rows long, low long, high long, turns long, blank long, duplicate long, truncated long, illegal long, head string, tail string, cost long, audit string, repaired_sha256 string, starts array<int>, ends array<int>, costs array<long>, series array<string>"
@@ -343,15 +346,15 @@ def repair(rows: DataFrame) -> DataFrame:
 
     A row for each conversation: gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
     """
-    rows = _faulted(rows)
-    found = cut(rows.mapInArrow(_segments, _SEGMENT), "segments")
+    counted, ranged = _faulted(rows)
+    found = cut(ranged.mapInArrow(_segments, _SEGMENT), "segments")
     gaps = F.when(F.col("low").isNull(), 0).otherwise(F.col("high") - F.col("low") + 1 - F.col("turns"))
     whole = found.where("whole").select(*(gaps.cast("long").alias(c) if c == "gaps" else F.col(c) for c in _FIGURES))
     # the conversations at the ends of tasks: two for each task, and those with very long texts
     kinds = ", ".join(f"{c} {'string' if c == 'audit' else 'long'}" for c in _FIGURES[:-1])
     edges = cut(found.where("not whole").groupBy("conv_id").applyInPandas(_joined, kinds), "edges")
     wanted = edges.select(F.col("conv_id").alias("of"), "audit")
-    texts = rows.join(wanted.select("of"), F.col("conv_id").eqNullSafe(F.col("of")), "left_semi").select("conv_id", F.lit(None).cast("string").alias("audit"), "dated", "turn", "role", "text", "n")
+    texts = counted.join(wanted.select("of"), F.col("conv_id").eqNullSafe(F.col("of")), "left_semi").select("conv_id", F.lit(None).cast("string").alias("audit"), F.col("turn").isNotNull().alias("dated"), "turn", "role", "text", "n")
     heads = wanted.select(F.col("of").alias("conv_id"), "audit", F.lit(None).cast("boolean").alias("dated"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n"))
     lines = texts.union(heads).repartition("conv_id").sortWithinPartitions("conv_id", "dated", "turn", "role", "text")
     digests = lines.mapInArrow(_streamed, "of long, repaired_sha256 string")

@@ -163,7 +163,15 @@ def test_long_conversations_lie_in_many_tasks(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice([f"t{t}.", "same.", "open", ""])) for c, n in ((1, 3000), (2, 700), (3, 2)) for t in range(n)]
     rows += [(4, 1, "user", "again and again.")] * 900 + [(5, None, "assistant", f"{i}.") for i in range(500)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert figures(cr.repair(cr.damaged(df))) == expected(rows)
+    want = expected(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert figures(cr.repair(cr.damaged(df))) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_long_texts_are_not_held(spark, monkeypatch):
