@@ -1,12 +1,14 @@
 """One text form for values of any type, so that rows of two systems can be compared by a hash.
 
-By default the forms are exact: two values have the same text only if they are equal. `coarse` forms round numbers to eight
+By default the forms are exact but for padding: two values have the same text only if they are equal, where spaces around a
+text, a JSON text or its keys don't count. trim=False counts these too. `coarse` forms round numbers to eight
 decimals and cut times to milliseconds, for systems that don't keep more.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -35,47 +37,103 @@ def _double(c: Column) -> Column:
     return F.when(((size < 1e7) & (size >= 1e-3)) | (size == 0), _short(c.cast("string"))).otherwise(wide)
 
 
-def _ordered(value) -> str:
-    """JSON with keys in order and list members in the order of their own text; numbers without an exponent or idle zeros."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k.strip(), ensure_ascii=False)}:{_ordered(value[k])}" for k in sorted(value, key=lambda k: (k.strip().lower(), k))) + "}"
+class _Object(list):
+    """The pairs of a JSON object; a key may be there twice."""
+
+
+#: Numbers beyond so many places are written with an exponent.
+_MOST_PLACES = 400
+
+
+def _number(value: Decimal) -> str:
+    """All digits of a number, without an exponent or idle zeros."""
+    sign, digits, exponent = value.as_tuple()
+    if not any(digits):
+        return "0"
+    if abs(value.adjusted()) > _MOST_PLACES:
+        all_digits = "".join(map(str, digits)).lstrip("0")
+        few = all_digits.rstrip("0")
+        return f"{'-' if sign else ''}{few}E{exponent + len(all_digits) - len(few)}"
+    text = format(value, "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
+def _quoted(text: str, trim: bool) -> str:
+    """A JSON string; halves of surrogate pairs, which UTF-8 can't hold, stay escaped."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text.strip() if trim else text, ensure_ascii=False))
+
+
+def _ordered(value, trim: bool) -> str:
+    """JSON with keys in order and list members in the order of their own text; numbers without an exponent or idle zeros. Repeated keys all stay."""
+    if isinstance(value, _Object):
+        pairs = sorted((k.strip().lower(), k, _ordered(v, trim)) for k, v in value)
+        return "{" + ",".join(f"{_quoted(k, trim)}:{v}" for _, k, v in pairs) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(sorted(map(_ordered, value), key=lambda t: (t.lower(), t))) + "]"
+        return "[" + ",".join(sorted((_ordered(v, trim) for v in value), key=lambda t: (t.lower(), t))) + "]"
     if isinstance(value, Decimal):
-        return format(value.normalize() + 0, "f")
-    return json.dumps(value.strip() if isinstance(value, str) else value, ensure_ascii=False)
+        return _number(value)
+    return _quoted(value, trim) if isinstance(value, str) else json.dumps(value)
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _json_text(text: str | None, trim: bool) -> str | None:
+    try:
+        return _ordered(json.loads(text, parse_float=Decimal, parse_int=Decimal, parse_constant=_no_constant, object_pairs_hook=_Object), trim) if text is not None else None
+    except (ValueError, RecursionError, ArithmeticError):
+        return None
 
 
 @F.pandas_udf(T.StringType())
-def _json_order(texts: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            return _ordered(json.loads(text, parse_float=Decimal, parse_int=Decimal)) if text is not None else None
-        except (ValueError, RecursionError, ArithmeticError):
-            return None
+def _json_trimmed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _json_text(t, True))
 
-    return texts.map(one)
 
+@F.pandas_udf(T.StringType())
+def _json_exact(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _json_text(t, False))
 
-def json_in_order(c: Column) -> Column:
+
+def json_in_order(c: Column, trim: bool = True) -> Column:
     """A JSON object or array with keys and list members in order at every depth; null if the text is none.
 
-    The one place outside llm where Python runs: only for columns whose JSON is to be put in order, in Arrow batches.
+    trim: spaces around keys and texts don't count. The one place outside llm where Python runs: only for columns whose JSON is to be put in order, in Arrow batches.
     """
-    return _json_order(F.when(c.rlike(r"^\s*[{\[]"), c))
+    return (_json_trimmed if trim else _json_exact)(F.when(c.rlike(r"^\s*[{\[]"), c))
 
 
-def _nested(c: Column, kind: T.DataType) -> Column:
-    """Structs, arrays and maps as JSON; entries of maps by key."""
+def _uneven(kind: T.DataType) -> bool:
+    """Whether equal values of the type can differ in form: -0 and 0, and the order of a map."""
+    if isinstance(kind, T.StructType):
+        return any(_uneven(f.dataType) for f in kind)
+    return isinstance(kind, (T.FloatType, T.DoubleType, T.MapType)) or isinstance(kind, T.ArrayType) and _uneven(kind.elementType)
+
+
+def _even(c: Column, kind: T.DataType) -> Column:
+    """The value with 0 for -0 and the entries of maps by key, at every depth."""
+    if not _uneven(kind):
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _even(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_even(c.getField(f.name), f.dataType).alias(f.name) for f in kind)))
     if isinstance(kind, T.MapType):
-        c = F.map_from_entries(F.array_sort(F.map_entries(c)))
-    return F.to_json(c, {"ignoreNullFields": "false"})
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_even(e["key"], kind.keyType).alias("key"), _even(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return F.when(c == 0, F.lit(0).cast(kind)).otherwise(c)
+
+
+def _nested(c: Column, kind: T.DataType) -> Column:
+    """Structs, arrays and maps as JSON; entries of maps by key, times with every digit."""
+    return F.to_json(_even(c, kind), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
 
 
-def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: bool = False, escape: bool = True, coarse: bool = False, fold: bool = False) -> Column:
+def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: bool = False, escape: bool = True, coarse: bool = False, fold: bool = False, trim: bool = True) -> Column:
     """The text form of a column. Null is <NULL>.
 
-    Text: a backslash or pipe is escaped, and so is the text <NULL> itself, so that joined values stay apart. fold: case doesn't count.
+    Text: a backslash or pipe is escaped, and so is the text <NULL> itself, so that joined values stay apart. fold: case doesn't count. trim: spaces around it don't count.
     """
     c = F.col(f"`{name}`")
     if isinstance(kind, T.BinaryType):
@@ -96,9 +154,9 @@ def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: boo
         out = _double(c)
     else:
         nested = isinstance(kind, (T.MapType, T.StructType, T.ArrayType))
-        out = _nested(c, kind) if nested else F.trim(c.cast("string"))
+        out = _nested(c, kind) if nested else F.trim(c.cast("string")) if trim else c.cast("string")
         if sort_json:
-            out = F.coalesce(json_in_order(out), out)
+            out = F.coalesce(json_in_order(out, trim), out)
         out = F.lower(out) if fold else out
         if escape:
             out = F.replace(F.replace(out, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))

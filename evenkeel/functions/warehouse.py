@@ -188,8 +188,12 @@ def time_slice(c, n: int, unit: str) -> Column:
         return F.add_months(F.lit("1970-01-01").cast("date"), index.cast("int")).cast("timestamp_ntz")
     seconds = n * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit]
     shift = 3 * 86400 if unit == "week" else 0
-    since = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("second", t).cast("timestamp_ntz"))
-    return F.timestamp_add("SECOND", (F.floor((since + shift) / seconds) * seconds - shift).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    since = F.timestamp_diff("SECOND", origin, F.date_trunc("second", t).cast("timestamp_ntz")) + shift
+    begin = since - F.pmod(since, F.lit(seconds)) - shift
+    # in days and seconds, as a number of seconds after 2038 is no integer of 32 bits
+    days = F.floor(begin / 86400)
+    return origin + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), (begin - days * 86400).cast("decimal(18,6)"))
 
 
 def convert_timezone(source: str, target: str, c) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,17 +96,50 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return _unpivoted(row, columns, {"null_count": "long", "min": "double", "max": "double", "avg": "double"})
 
 
+def _paired(source: DataFrame, target: DataFrame, columns: Sequence[str], figures) -> DataFrame:
+    """One row with aggregates of both sides from one pass. figures: (column of the source, of the target, index) to aggregates.
+
+    Each side keeps its own types, so that nothing is rounded on the way.
+    """
+    kinds = [{f.name: f.dataType for f in df.schema} for df in (source, target)]
+    none = lambda side, c: F.lit(None).cast(kinds[side][c])
+    left = source.select(F.lit(0).alias("side"), *(x for i, c in enumerate(columns) for x in (F.col(f"`{c}`").alias(f"s{i}"), none(1, c).alias(f"t{i}"))))
+    right = target.select(F.lit(1).alias("side"), *(x for i, c in enumerate(columns) for x in (none(0, c).alias(f"s{i}"), F.col(f"`{c}`").alias(f"t{i}"))))
+    return left.unionAll(right).agg(*figures)
+
+
+def _extremes(columns: Sequence[str]) -> list[Column]:
+    return [f(x).alias(f"{side}_{name}_{i}") for i in range(len(columns)) for side, x in (("source", F.col(f"s{i}")), ("target", F.col(f"t{i}"))) for name, f in (("min", F.min), ("max", F.max), ("avg", lambda x: F.avg(x.cast("double"))))]
+
+
+def stats_status(pairs: Sequence[tuple[Column, Column]], threshold: float | None) -> Column:
+    """PASS if each pair of figures does."""
+    passed = F.lit(True)
+    for s, t in pairs:
+        passed = passed & (ratio_status(s, t, threshold) == "PASS")
+    return F.when(passed, F.lit("PASS")).otherwise(F.lit("FAIL"))
+
+
 def numeric_stats_compare(source: DataFrame, target: DataFrame, threshold: float | None = None, digits: int = 4) -> DataFrame:
-    """Statistics of the common numeric columns side by side, rounded, with a status."""
+    """Statistics of the common numeric columns side by side, with a status.
+
+    Figures are shown as rounded doubles. The status compares the extremes of whole numbers and decimals as they are, and rounds only doubles and averages.
+    """
     left, right = aligned(source, target)
     columns = [c for c in numeric_columns(left) if c in numeric_columns(right)]
-    s, t = numeric_stats(left, columns), numeric_stats(right, columns)
-    figures = ["min", "max", "avg"]
-    both = s.select("column", F.col("null_count").alias("source_null_count"), *(F.round(f, digits).alias(f"source_{f}") for f in figures)).join(t.select("column", F.col("null_count").alias("target_null_count"), *(F.round(f, digits).alias(f"target_{f}") for f in figures)), "column")
-    passed = F.lit(True)
-    for f in figures:
-        passed = passed & (ratio_status(F.col(f"source_{f}"), F.col(f"target_{f}"), threshold) == "PASS")
-    return both.withColumn("status", F.when(passed, F.lit("PASS")).otherwise(F.lit("FAIL")))
+    shown = [f"{side}_{f}" for side in ("source", "target") for f in ("min", "max", "avg")]
+    if not columns:
+        return source.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{n} double" for n in ("source_null_count", *shown[:3], "target_null_count", *shown[3:])) + ", status string")
+    nulls = [F.count_if((F.col("side") == side) & F.col(f"{x}{i}").isNull()).alias(f"{name}_null_count_{i}") for i in range(len(columns)) for side, (x, name) in enumerate((("s", "source"), ("t", "target")))]
+    row = _paired(left, right, columns, [*_extremes(columns), *nulls])
+    kinds = {f.name: f.dataType for f in row.schema}
+    exact = lambda n: F.round(n, digits) if isinstance(kinds[n], (T.DoubleType, T.FloatType)) else F.col(n)
+    each = []
+    for i, c in enumerate(columns):
+        status = stats_status([(exact(f"source_{f}_{i}"), exact(f"target_{f}_{i}")) for f in ("min", "max", "avg")], threshold)
+        figures = [F.round(F.col(f"{n}_{i}").cast("double"), digits).alias(n) for n in shown]
+        each.append(F.struct(F.lit(c).alias("column"), F.col(f"source_null_count_{i}").alias("source_null_count"), *figures[:3], F.col(f"target_null_count_{i}").alias("target_null_count"), *figures[3:], status.alias("status")))
+    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def null_counts(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -124,21 +157,16 @@ def null_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 def profile(source: DataFrame, target: DataFrame) -> list[dict]:
     """For the source and for the target: rows, nulls of each common column, and min, max and avg of numeric ones.
 
-    One aggregation over both sides; two rows come to the driver.
+    One aggregation over both sides; one row comes to the driver. Extremes keep their types, so whole numbers and decimals are exact.
     """
     left, right = aligned(source, target, include_complex=True)
-    numeric = [c for c in numeric_columns(left) if c in numeric_columns(right)]
-    sides = []
-    for side, df in enumerate((left, right)):
-        nulls = [F.col(f"`{c}`").isNull().alias(f"n{i}") for i, c in enumerate(left.columns)]
-        sides.append(df.select(F.lit(side).alias("side"), *nulls, *(F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(numeric))))
-    figures = [F.count_if(f"n{i}").alias(f"n{i}") for i in range(len(left.columns))]
-    figures += [f(f"v{i}").alias(f"{name}{i}") for i in range(len(numeric)) for name, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
-    found = {r.side: r for r in sides[0].unionAll(sides[1]).groupBy("side").agg(F.count("*").alias("rows"), *figures).collect()}
-    out = []
-    for r in (found.get(0), found.get(1)):
-        out.append({"rows": r.rows if r else 0, "nulls": {c: r[f"n{i}"] if r else 0 for i, c in enumerate(left.columns)}, "stats": {c: {k: r[f"{k}{i}"] if r else None for k in ("min", "max", "avg")} for i, c in enumerate(numeric)}})
-    return out
+    columns = left.columns
+    numeric = [i for i, c in enumerate(columns) if c in numeric_columns(left) and c in numeric_columns(right)]
+    figures = [F.count_if(F.col("side") == side).alias(f"rows{side}") for side in range(2)]
+    figures += [F.count_if((F.col("side") == side) & F.col(f"{x}{i}").isNull()).alias(f"{x}n{i}") for i in range(len(columns)) for side, x in enumerate("st")]
+    figures += [f(F.col(f"{x}{i}")).alias(f"{x}{name}{i}") for i in numeric for x in "st" for name, f in (("min", F.min), ("max", F.max), ("avg", lambda c: F.avg(c.cast("double"))))]
+    r = _paired(left, right, columns, figures).first()
+    return [{"rows": r[f"rows{side}"], "nulls": {c: r[f"{x}n{i}"] for i, c in enumerate(columns)}, "stats": {columns[i]: {k: r[f"{x}{k}{i}"] for k in ("min", "max", "avg")} for i in numeric}} for side, x in enumerate("st")]
 
 
 def hash_counts(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
@@ -247,6 +275,45 @@ def mismatched_columns(source: DataFrame, target: DataFrame, keys: Sequence[str]
     return column_differences(source, target, keys, **options).groupBy("column").agg(F.count("*").alias("rows"))
 
 
+def column_fingerprints(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """Which columns differ where rows have no keys, from the rows that have no equal on the other side.
+
+    column, source_fingerprint and target_fingerprint (of the column's values in those rows, in no order), and rows: how many
+    rows meet when the column alone doesn't count, so it is where they differ. No join: a row's hash is the XOR of
+    its columns' hashes, which gives the hash without a column at once, and everything is added up.
+    """
+    left, right = aligned(source, target, columns)
+    names = left.columns
+    lanes = range(2)
+
+    def hashed(df: DataFrame, side: int) -> DataFrame:
+        kinds = {f.name: f.dataType for f in df.schema}
+        texts = [encode(c, kinds[c], **options) for c in names]
+        own = [F.array(*(F.xxhash64(F.lit(f"{i}/{lane}"), t) for i, t in enumerate(texts))).alias(f"own{lane}") for lane in lanes]
+        rows = df.select(*own)
+        whole = [F.aggregate(f"own{lane}", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"row{lane}") for lane in lanes]
+        return rows.select(*whole, "own0", "own1", F.lit(1 - side).alias("s"), F.lit(side).alias("t"))
+
+    both = hashed(left, 0).unionAll(hashed(right, 1)).groupBy("row0", "row1", "own0", "own1").agg((F.sum("s") - F.sum("t")).alias("more")).where("more <> 0")
+    each = both.select("more", "row0", "row1", F.posexplode(F.arrays_zip("own0", "own1")).alias("at", "h"))
+    without = [F.col(f"row{lane}").bitwiseXOR(F.col(f"h.own{lane}")).alias(f"rest{lane}") for lane in lanes]
+    # a value's lane counts as often as its row is over; halves are summed apart, which can't overflow
+    halves = [F.sum(F.greatest(sign * F.col("more"), F.lit(0)) * half).alias(f"{side}_{name}{lane}") for side, sign in (("source", 1), ("target", -1)) for lane in lanes for name, half in (("high", F.shiftright(f"h.own{lane}", 32)), ("low", F.col(f"h.own{lane}").bitwiseAND(F.lit((1 << 32) - 1))))]
+    over = [F.sum(F.greatest(sign * F.col("more"), F.lit(0))).alias(side) for side, sign in (("source", 1), ("target", -1))]
+    rested = each.select("at", "more", "h", *without).groupBy("at", "rest0", "rest1").agg(*over, *halves)
+    total = rested.groupBy("at").agg(F.sum(F.least("source", "target")).alias("rows"), *(F.sum(f"{side}_{name}{lane}").alias(f"{side}_{name}{lane}") for side in ("source", "target") for lane in lanes for name in ("high", "low")))
+    mark = lambda side: F.md5(F.concat_ws(":", *((F.col(f"{side}_high{lane}").cast("decimal(38,0)") * (1 << 32) + F.col(f"{side}_low{lane}")).cast("decimal(38,0)").cast("string") for lane in lanes)))
+    return total.select(F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1).alias("column"), mark("source").alias("source_fingerprint"), mark("target").alias("target_fingerprint"), "rows")
+
+
+def mismatched_without_keys(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """column and the number of rows that differ in it alone. Where no row differs in one column alone: the columns with unequal fingerprints, and 0."""
+    found = column_fingerprints(source, target, columns, **options)
+    any_row = F.max("rows").over(Window.partitionBy())
+    judged = found.withColumn("any_row", any_row)
+    return judged.where((F.col("rows") > 0) | ((F.col("any_row") == 0) & (F.col("source_fingerprint") != F.col("target_fingerprint")))).select("column", "rows")
+
+
 def keys_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the source whose keys the target hasn't. Null keys are equal."""
     there = target.select(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys))).distinct()

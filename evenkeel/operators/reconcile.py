@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.operators import compare
+from evenkeel.operators import compare, hash_tree
 from evenkeel.sources.tables import materialised
 
 CHECKS = ("row_count", "schema", "numeric", "hash")
 ROW_GUARD = 1_000_000
 
+#: A record with the messages of what couldn't run, one for each check or for the whole pair.
+ERRORS = "array<struct<check: string, message: string>>"
 RECORD = "validation_id string, validation_ts timestamp, validation_type string, src_table_name string, tgt_table_name string, row_count string, schema_check string, numeric_check string, hash_validation string, run_by string"
 
 
@@ -37,6 +39,10 @@ class Options:
     primary_keys: tuple[str, ...] = ()
     column_differences: bool = False
     row_guard: int | None = None
+    #: Spaces around texts don't count.
+    trim: bool = True
+    #: So many whole rows of each side without an equal on the other are in details["row_examples"]; the job runners ask for 50.
+    examples: int = 0
 
     def with_metrics(self, metrics: str | Sequence[str]) -> Options:
         """Checks by name; `all` is all of them; separated by comma or semicolon."""
@@ -88,21 +94,31 @@ def _status(passed: bool | None) -> str | None:
     return None if passed is None else "PASS" if passed else "FAIL"
 
 
+def _same(s, t, threshold: float | None) -> bool:
+    """ratio_status for two figures on the driver; whole numbers and decimals are compared as they are."""
+    if s is None or t is None or s == t or s != s and t != t:
+        return s is None and t is None or s is not None and t is not None
+    least, most = sorted((abs(s), abs(t)))
+    return bool(threshold) and float(least) >= float(most) * threshold and (s < 0) == (t < 0)
+
+
 def _profiled(source: DataFrame, target: DataFrame, threshold: float | None) -> dict[str, DataFrame]:
     """row_count, numeric and null_counts as compare's operators return them, all from one pass over both sides."""
     spark = source.sparkSession
     s, t = compare.profile(source, target)
     counts = spark.createDataFrame([(s["rows"], t["rows"], s["rows"] - t["rows"])], "source_count long, target_count long, difference long")
-    digits = lambda x: None if x is None else round(x, 4)
-    rows = [(c, s["nulls"][c], *(digits(s["stats"][c][k]) for k in ("min", "max", "avg")), t["nulls"][c], *(digits(t["stats"][c][k]) for k in ("min", "max", "avg"))) for c in s["stats"]]
-    numeric = spark.createDataFrame(rows, "column string, " + ", ".join(f"{x}_null_count long, {x}_min double, {x}_max double, {x}_avg double" for x in ("source", "target")))
-    passed = F.lit(True)
-    for k in ("min", "max", "avg"):
-        passed = passed & (compare.ratio_status(F.col(f"source_{k}"), F.col(f"target_{k}"), threshold) == "PASS")
+    digits = lambda x: None if x is None else round(float(x), 4)
+    exact = lambda x: digits(x) if isinstance(x, float) else x
+    rows = []
+    for c in s["stats"]:
+        mine, other = s["stats"][c], t["stats"][c]
+        passed = all(_same(exact(mine[k]), exact(other[k]), threshold) for k in ("min", "max", "avg"))
+        rows.append((c, s["nulls"][c], *(digits(mine[k]) for k in ("min", "max", "avg")), t["nulls"][c], *(digits(other[k]) for k in ("min", "max", "avg")), "PASS" if passed else "FAIL"))
+    numeric = spark.createDataFrame(rows, "column string, " + ", ".join(f"{x}_null_count long, {x}_min double, {x}_max double, {x}_avg double" for x in ("source", "target")) + ", status string")
     nulls = [(c, n, t["nulls"][c]) for c, n in s["nulls"].items() if n or t["nulls"][c]]
     return {
         "row_count": counts.withColumn("status", compare.ratio_status(F.col("source_count"), F.col("target_count"), threshold)),
-        "numeric": numeric.withColumn("status", F.when(passed, F.lit("PASS")).otherwise(F.lit("FAIL"))),
+        "numeric": numeric,
         "null_counts": spark.createDataFrame(nulls, "column string, source_null_count long, target_null_count long"),
     }
 
@@ -150,12 +166,18 @@ def validate(pair: TablePair, run_by: str | None = None, validation_type: str =
         if options.row_guard and not options.categorical_columns and source.limit(options.row_guard + 1).count() > options.row_guard:
             raise GuardExceeded(f"more than {options.row_guard} rows and no categorical columns")
         if options.column_differences and options.primary_keys:
-            details["mismatched_columns"] = compare.mismatched_columns(source, target, options.primary_keys)
+            details["mismatched_columns"] = compare.mismatched_columns(source, target, options.primary_keys, trim=options.trim)
         if options.categorical_columns:
-            details["groups"] = compare.group_compare(source, target, options.categorical_columns, columns)
+            details["groups"] = compare.group_compare(source, target, options.categorical_columns, columns, trim=options.trim)
             return _status(details["groups"].where("status <> 'MATCH'").isEmpty())
-        details["row_hash"] = compare.row_hashes(source, target, columns, options.threshold)
-        return details["row_hash"].first().status
+        details["row_hash"] = compare.row_hashes(source, target, columns, options.threshold, trim=options.trim)
+        verdict = details["row_hash"].first()
+        if verdict.source_not_in_target_count or verdict.target_not_in_source_count:
+            if options.examples:
+                details["row_examples"] = hash_tree.unmatched_rows(source, target, columns, options.examples, trim=options.trim)
+            if options.column_differences and not options.primary_keys:
+                details["mismatched_columns"] = compare.mismatched_without_keys(source, target, columns, trim=options.trim)
+        return verdict.status
 
     for name, check in zip(CHECKS, (row_count, schema, numeric, hashes)):
         if getattr(options, name):
@@ -187,41 +209,103 @@ def validate_queries(spark: SparkSession, source_sql: str, target_sql: str, opti
         return validate(TablePair(source, target, *names, options=options), run_by)[0], {}
 
 
-def _failed(spark: SparkSession, names: Sequence[str], kind: str | None, options: Options, run_by: str | None) -> DataFrame:
-    """The record of a pair that can't be read: ERROR for every check asked for."""
-    status = ["ERROR" if getattr(options, c) else None for c in CHECKS]
-    return spark.createDataFrame([(str(uuid.uuid4()), datetime.now(timezone.utc).replace(tzinfo=None), kind, *names, *status, run_by)], RECORD)
+def _record(spark: SparkSession, names: Sequence[str], kind: str, status: Sequence[str | None], errors: Sequence[tuple[str, str]], run_by: str | None) -> tuple:
+    return (str(uuid.uuid4()), datetime.now(timezone.utc).replace(tzinfo=None), kind, *names, *status, run_by, [tuple(e) for e in errors])
+
 
+def _message(e: Exception) -> str:
+    return (str(e) or type(e).__name__)[:2000]
 
-def _record(spark: SparkSession, names: Sequence[str], options: Options, kind: str, run_by: str | None, **filters) -> DataFrame:
+
+def _run(spark: SparkSession, job: Callable[[], tuple[Sequence[str], str, Options, dict]], run_by: str | None) -> tuple[tuple, dict[str, DataFrame]]:
+    """A record with its messages, and the details, of one row of a job file or a config. Whatever is wrong with the row ends this row alone."""
+    names, kind, options = ("", ""), "", Options()
     try:
+        names, kind, options, filters = job()
         pair = TablePair(spark.table(names[0]), spark.table(names[1]), *names, options=options, **filters)
-        return validate(pair, run_by, kind)[0]
-    except Exception:  # one bad pair doesn't end the others' run
-        return _failed(spark, names, kind, options, run_by)
+        found, details = validate(pair, run_by, kind)
+        r = found.first()
+        errors = [(e.check, e.message) for e in details["errors"].collect()] if "errors" in details else []
+        return (*r, errors), details
+    except Exception as e:  # one bad pair doesn't end the others' run
+        named = e.args[0] if isinstance(e, _BadRow) else None
+        names, kind, options = (named.names, named.kind, named.options) if named else (names, kind, options)
+        cause = named.cause if named else e
+        asked = ["ERROR" if getattr(options, c) else None for c in CHECKS]
+        return _record(spark, names, kind, asked if any(asked) else ["ERROR"] * len(CHECKS), [("pair", _message(cause))], run_by), {}
+
+
+@dataclass(frozen=True)
+class _Named:
+    names: tuple[str, str]
+    kind: str
+    options: Options
+    cause: Exception
+
+
+class _BadRow(ValueError):
+    """What was known of a row before it failed."""
+
+
+def _options(row: dict) -> Options:
+    base = Options(threshold=threshold_of(row.get("row_threshold")), include_timestamp=bool(row.get("include_timestamp", False)), case_sensitive=bool(row.get("case_sensitive", False)), categorical_columns=tuple(column_list(row.get("categorical_columns"))), primary_keys=tuple(column_list(row.get("primary_keys"))), examples=compare.SAMPLE_ROWS)
+    return base.with_metrics(row.get("metrics") or "row_count,schema")
+
 
+def _table_name(row: dict, side: str) -> str:
+    """Its name, or catalog, schema and table."""
+    parts = [row.get(f"{side}_{p}") for p in ("catalog", "schema", "table")]
+    name = row.get(side) or (".".join(parts) if all(parts) else parts[2] if parts[2] and f"{side}_catalog" not in row else "")
+    if not name:
+        raise ValueError(f"no {side} table")
+    return name
 
-def _all(spark: SparkSession, records: Sequence[DataFrame]) -> DataFrame:
-    """Records are a row each."""
-    return spark.createDataFrame([r for df in records for r in df.collect()], RECORD)
+
+def _job(row: dict):
+    """What a row asks for. A failure keeps what is known of the row, for its record."""
+
+    def parsed():
+        names, kind, options = ["", ""], str(row.get("validation_type") or "deep").strip().lower(), Options()
+        try:
+            for i, side in enumerate(("source", "target")):
+                names[i] = str(row.get(side) or row.get(f"{side}_table") or "")
+            names = [_table_name(row, side) for side in ("source", "target")]
+            if row.get("problem"):
+                raise ValueError(row["problem"])
+            options = _options(row).of_type(kind)
+            apart = "use_separate_where" not in row or row["use_separate_where"]
+            filters = {"where": row.get("where") or row.get("where_clause") or "1=1", "source_where": row.get("source_where") if apart else None, "target_where": row.get("target_where") if apart else None}
+        except Exception as e:
+            raise _BadRow(_Named(tuple(names), kind, options, e)) from e
+        return names, kind, options, filters
+
+    return parsed
+
+
+def _tables(spark: SparkSession, rows: Iterable[dict], run_by: str | None) -> tuple[DataFrame, list[dict[str, DataFrame]]]:
+    found = [_run(spark, _job(row), run_by) for row in rows]
+    return spark.createDataFrame([r for r, _ in found], f"{RECORD}, errors {ERRORS}"), [d for _, d in found]
+
+
+def run_config_detailed(spark: SparkSession, config: dict, run_by: str | None = None) -> tuple[DataFrame, list[dict[str, DataFrame]]]:
+    """run_config's records, and the details of each in the same order (none for a pair that can't be read)."""
+    rows = [row if isinstance(row, dict) else {"source": str(row)} for row in config.get("tables") or []]
+    return _tables(spark, ({"use_separate_where": False} | row for row in rows), run_by)
 
 
 def run_config(spark: SparkSession, config: dict, run_by: str | None = None) -> DataFrame:
-    """Records for a config: {"tables": [{"source", "target", "validation_type", "metrics", "where", ...}]}; none for no tables."""
-    records = []
-    for row in config.get("tables") or []:
-        names = [row.get(side) or ".".join(row[f"{side}_{p}"] for p in ("catalog", "schema", "table")) for side in ("source", "target")]
-        options = Options(threshold=threshold_of(row.get("row_threshold")), include_timestamp=row.get("include_timestamp", False), case_sensitive=row.get("case_sensitive", False), categorical_columns=tuple(column_list(row.get("categorical_columns"))), primary_keys=tuple(column_list(row.get("primary_keys")))).with_metrics(row.get("metrics") or "row_count,schema")
-        apart = row.get("use_separate_where")
-        records.append(_record(spark, names, options, row.get("validation_type", "deep"), run_by, where=row.get("where") or row.get("where_clause") or "1=1", source_where=row.get("source_where") if apart else None, target_where=row.get("target_where") if apart else None))
-    return _all(spark, records)
+    """Records for a config: {"tables": [{"source", "target", "validation_type", "metrics", "where", ...}]}; none for no tables.
+
+    A row that is wrong in any way has ERROR and its message in `errors`; the others go on.
+    """
+    return run_config_detailed(spark, config, run_by)[0]
+
+
+def run_jobs_detailed(spark: SparkSession, jobs: DataFrame, run_by: str | None = None) -> tuple[DataFrame, list[dict[str, DataFrame]]]:
+    """run_jobs' records, and the details of each in the same order."""
+    return _tables(spark, (row.asDict(recursive=True) for row in jobs.toLocalIterator()), run_by)
 
 
 def run_jobs(spark: SparkSession, jobs: DataFrame, run_by: str | None = None) -> DataFrame:
-    """Records for the rows of a job file (sources.jobs.table_jobs or coordinate_jobs), in their order."""
-    records = []
-    for row in jobs.toLocalIterator():
-        job = row.asDict()
-        options = Options(threshold=job.get("row_threshold"), include_timestamp=job["include_timestamp"], case_sensitive=job["case_sensitive"], categorical_columns=tuple(job["categorical_columns"]), primary_keys=tuple(job.get("primary_keys") or ())).with_metrics(job["metrics"] or "row_count,schema")
-        records.append(_record(spark, (job["source_table"], job["target_table"]), options, job["validation_type"], run_by, source_where=job.get("source_where"), target_where=job.get("target_where")))
-    return _all(spark, records)
+    """Records for the rows of a job file (sources.jobs.table_jobs or coordinate_jobs), in their order. A wrong row is an ERROR with its message."""
+    return run_jobs_detailed(spark, jobs, run_by)[0]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.canonical import encode, hash_value, plain_scalar, row_hash, signature
 from evenkeel.operators import compare, reconcile
+from evenkeel.plans.forms import hash_sql, int_sql, number_sql, text_sql, time_sql
 from evenkeel.plans.registry import query, table
 from evenkeel.streaming import increments
 
@@ -36,31 +35,10 @@ t AS (SELECT * REPLACE (CASE WHEN o_orderkey % 101 = 0 THEN o_totalprice + 1 ELS
   CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority) FROM orders WHERE o_orderkey % 100 <> 0)"""
 
 
-def number_sql(c: str) -> str:
-    """Numbers of the test tables have no exponent in DuckDB's text."""
-    return f"coalesce(rtrim(rtrim(CAST({c} AS VARCHAR), '0'), '.'), '<NULL>')"
-
-
-def text_sql(c: str) -> str:
-    return rf"coalesce(replace(replace(trim({c}), '\', '\\'), '|', '\|'), '<NULL>')"
-
-
-def time_sql(c: str) -> str:
-    return f"coalesce(rtrim(rtrim(strftime({c}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), '<NULL>')"
-
-
-def int_sql(c: str) -> str:
-    return f"coalesce(CAST({c} AS VARCHAR), '<NULL>')"
-
-
 LINE_SQL = {c: number_sql(c) for c in ("l_discount", "l_extendedprice", "l_quantity", "l_tax")} | {c: int_sql(c) for c in ("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")} | {c: text_sql(c) for c in ("l_linestatus", "l_returnflag")} | {"l_shipdate": time_sql("l_shipdate")}
 ORDER_SQL = {"o_custkey": int_sql("o_custkey"), "o_orderdate": time_sql("o_orderdate"), "o_orderkey": int_sql("o_orderkey"), "o_orderpriority": text_sql("o_orderpriority"), "o_orderstatus": text_sql("o_orderstatus"), "o_totalprice": number_sql("o_totalprice")}
 
 
-def hash_sql(forms: dict[str, str]) -> str:
-    return "upper(md5(" + " || '|' || ".join(forms[c] for c in sorted(forms)) + "))"
-
-
 _SIDES = f"""WITH {_LINES},
 both_sides AS (SELECT {hash_sql(LINE_SQL)} AS row_hash, 1 AS s, 0 AS t FROM s UNION ALL SELECT {hash_sql(LINE_SQL)}, 0, 1 FROM t),
 c AS (SELECT row_hash, sum(s) AS n_s, sum(t) AS n_t FROM both_sides GROUP BY row_hash)"""
@@ -327,4 +305,4 @@ def dates_only_hash(spark, sf_dir):
 def stream_window_counts(spark, sf_dir):
     """An extension: the events table as a stream, counted by day of event time."""
     counts = increments.windowed_counts(increments.stream(spark, f"{sf_dir}/events.parquet"))
-    return increments.run(counts, increments.checkpoint_folder(spark, f"evenkeel_stream_{uuid.uuid4().hex}"))
+    return increments.run(counts, increments.checkpoint_folder(spark, "evenkeel-stream"))

@@ -33,31 +33,34 @@ def _metrics(name: str = "metrics"):
     return F.when(F.array_contains(own, "all"), every).otherwise(own).alias("metrics")
 
 
-def table_jobs(spark: SparkSession, path: str) -> DataFrame:
+def table_jobs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """source_table, target_table, validation_type, metrics, case_sensitive, include_timestamp, categorical_columns.
 
-    A type that is neither shallow nor deep raises when the row is read.
+    strict: a type that is neither shallow nor deep raises when the row is read. Without it the type stays as it is, and the runner
+    makes it the ERROR of its row.
     """
     df = _csv(spark, path)
     if "categorical_columns" not in df.columns:
         df = df.withColumn("categorical_columns", F.lit(None).cast("string"))
     kind = F.lower(F.trim("validation_type"))
-    kind = F.when(kind.isin("shallow", "deep"), kind).otherwise(F.raise_error(F.concat(F.lit("validation type must be shallow or deep: "), F.coalesce(kind, F.lit("")))).cast("string"))
+    if strict:
+        kind = F.when(kind.isin("shallow", "deep"), kind).otherwise(F.raise_error(F.concat(F.lit("validation type must be shallow or deep: "), F.coalesce(kind, F.lit("")))).cast("string"))
     return df.select(F.trim("source_table").alias("source_table"), F.trim("target_table").alias("target_table"), kind.alias("validation_type"), _metrics(), _flag("case_sensitive"), _flag("include_timestamp"), _names("categorical_columns"))
 
 
 def coordinate_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """The layout with catalog, schema and table of each side, filters, a threshold (above 1: a percentage) and keys."""
+    """The layout with catalog, schema and table of each side, filters, a threshold (above 1: a percentage) and keys. problem: why a row can't run."""
     df = _csv(spark, path)
     for c in ("where_clause", "use_separate_where", "source_where", "target_where", "metrics", "case_sensitive", "include_timestamp", "row_threshold", "categorical_columns", "primary_keys"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
     name = lambda side: F.concat_ws(".", *(F.trim(f"{side}_{p}") for p in ("catalog", "schema", "table"))).alias(f"{side}_table")
     share = F.col("row_threshold").try_cast("double")
+    wrong = F.when(F.nullif(F.trim("row_threshold"), F.lit("")).isNotNull() & share.isNull(), F.concat(F.lit("row_threshold is no number: "), F.trim("row_threshold")))
     apart = F.coalesce(F.lower(F.trim("use_separate_where")).isin(*_FLAGS), F.lit(False))
     shared = F.coalesce(F.nullif(F.trim("where_clause"), F.lit("")), F.lit("1=1"))
     side = lambda c: F.when(apart, F.coalesce(F.nullif(F.trim(c), F.lit("")), shared)).otherwise(shared).alias(c)
-    return df.select(name("source"), name("target"), F.lower(F.trim("validation_type")).alias("validation_type"), side("source_where"), side("target_where"), _metrics(), _flag("case_sensitive"), _flag("include_timestamp"), F.when(share > 1, share / 100).otherwise(share).alias("row_threshold"), _names("categorical_columns"), _names("primary_keys"))
+    return df.select(name("source"), name("target"), F.lower(F.trim("validation_type")).alias("validation_type"), side("source_where"), side("target_where"), _metrics(), _flag("case_sensitive"), _flag("include_timestamp"), F.when(share > 1, share / 100).otherwise(share).alias("row_threshold"), _names("categorical_columns"), _names("primary_keys"), wrong.alias("problem"))
 
 
 def query_file(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Where tables come from: catalog listings, JDBC sources, and results of queries kept for the length of a comparison."""
+"""Where tables come from and go to: catalog listings, tables made anew, JDBC sources, and results of queries kept for the length of a comparison."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.sources import files
+
 
 def _quoted(*parts: str) -> str:
     return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
@@ -41,6 +43,39 @@ def jdbc(spark: SparkSession, url: str, relation: str, split_on: str | None = No
     return reader.load()
 
 
+def materialise(df: DataFrame, name: str, provider: str = "parquet", location: str | None = None) -> DataFrame:
+    """Create or replace the table catalog.schema.name (catalog and schema are the current ones where they are left out) by df; its rows.
+
+    The schema is made where it is missing. Rows are written to a table beside it first, which then takes the name, so a write that
+    fails leaves the old table, and nothing else, behind. Catalogs that replace tables by themselves do that instead.
+    location: a folder below which the table's files lie; without it the catalog's own place.
+    """
+    spark = df.sparkSession
+    parts = name.split(".")
+    catalog = parts[-3] if len(parts) > 2 else spark.catalog.currentCatalog()
+    schema = parts[-2] if len(parts) > 1 else spark.catalog.currentDatabase()
+    place, table = _quoted(catalog, schema), parts[-1]
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {place}")
+    if catalog != "spark_catalog":
+        df.writeTo(f"{place}.{_quoted(table)}").using(provider).createOrReplace()
+        return spark.table(f"{place}.{_quoted(table)}")
+    mark = uuid.uuid4().hex[:10]
+    staged = f"{place}.{_quoted(f'{table}__{mark}')}"
+    writer = df.write.format(provider)
+    if location is not None:
+        writer = writer.option("path", f"{location.rstrip('/')}/{table}__{mark}")
+    try:
+        writer.saveAsTable(staged)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        if location is not None:
+            files.delete(spark, f"{location.rstrip('/')}/{table}__{mark}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {place}.{_quoted(table)}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {_quoted(schema, table)}")
+    return spark.table(f"{place}.{_quoted(table)}")
+
+
 @contextmanager
 def materialised(folder: str, *frames: DataFrame) -> Iterator[list[DataFrame]]:
     """The frames written as Parquet below a shared folder and read back, deleted at the end: a slow or remote query runs once."""
@@ -53,5 +88,4 @@ def materialised(folder: str, *frames: DataFrame) -> Iterator[list[DataFrame]]:
             out.append(spark.read.schema(df.schema).parquet(f"{path}/{i}"))
         yield out
     finally:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        files.delete(spark, path)
