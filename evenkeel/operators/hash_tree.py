@@ -56,32 +56,62 @@ class _Tree:
     def _hashes(self) -> DataFrame:
         return self.sides[0].select("row_hash", "s", "t").unionAll(self.sides[1].select("row_hash", "s", "t"))
 
-    def _in_buckets(self, df: DataFrame) -> DataFrame:
-        """Rows of unequal buckets: a lookup in a list of 2^BITS flags."""
-        unequal = set(self.buckets)
-        marked = "".join("1" if b in unequal else "0" for b in range(1 << BITS))
+    def _in_buckets(self, df: DataFrame, buckets: Sequence[int]) -> DataFrame:
+        """Rows of some buckets: a lookup in a list of 2^BITS flags."""
+        wanted = set(buckets)
+        marked = "".join("1" if b in wanted else "0" for b in range(1 << BITS))
         return df.where(F.substring(F.lit(marked), _bucket(0) + 1, F.lit(1)) == "1")
 
+    def smaller(self, buckets: Sequence[int]) -> list:
+        """The unequal smaller buckets of some buckets: bucket0, bucket1, n_s, n_t; MOST_SENT + 1 at most."""
+        sums = self._in_buckets(self.both, buckets).groupBy(_bucket(0), _bucket(1)).agg(*_sums()).where(_UNEQUAL)
+        return sums.select("bucket0", "bucket1", "n_s", "n_t").limit(MOST_SENT + 1).collect()
+
+    def within(self, df: DataFrame, chosen: Sequence[tuple[int, int]]) -> DataFrame:
+        """Rows of some smaller buckets, of MOST_SENT at most."""
+        sent = F.broadcast(df.sparkSession.createDataFrame([tuple(x) for x in chosen], "b0 int, b1 int"))
+        near = self._in_buckets(df, sorted({x[0] for x in chosen}))
+        return near.join(sent, (_bucket(0) == F.col("b0")) & (_bucket(1) == F.col("b1")), "left_semi")
+
     def narrowed(self) -> list[DataFrame]:
-        """Both sides' rows of unequal buckets (row_hash, s, t, v0, ...)."""
+        """Both sides' hashes of unequal buckets (row_hash, s, t)."""
+        sides = [df.select("row_hash", "s", "t") for df in self.sides]
         if not self.buckets:
-            return [df.limit(0) for df in self.sides]
-        parts = [self._in_buckets(df) for df in self.sides]
-        if len(self.buckets) > 1 << BITS - 1:
-            return parts  # most differ: a second level would read everything for little
-        unequal = self._in_buckets(self.both).groupBy(_bucket(0), _bucket(1)).agg(*_sums()).where(_UNEQUAL).select("bucket0", "bucket1")
-        small = unequal.limit(MOST_SENT + 1).collect()
-        if len(small) > MOST_SENT:
-            return parts
-        sent = F.broadcast(unequal.sparkSession.createDataFrame([(r.bucket0, r.bucket1) for r in small], "b0 int, b1 int"))
-        return [df.join(sent, (_bucket(0) == F.col("b0")) & (_bucket(1) == F.col("b1")), "left_semi") for df in parts]
+            return [df.limit(0) for df in sides]
+        if len(self.buckets) <= 1 << BITS - 1:  # where most differ a second level would read everything for little
+            small = self.smaller(self.buckets)
+            if len(small) <= MOST_SENT:
+                return [self.within(df, [(r.bucket0, r.bucket1) for r in small]) for df in sides]
+        return [self._in_buckets(df, self.buckets) for df in sides]
+
+    def first_of(self, side: int, most: int) -> list[tuple[int, int]] | None:
+        """Smaller buckets that hold the `most` least unmatched hashes of a side, from the first unequal bucket on; None if more than MOST_SENT are needed.
+
+        An unequal smaller bucket in which a side has no fewer rows than the other has an unmatched row of that side.
+        """
+        some = 16
+        while True:
+            small = self.smaller(self.buckets[:some])
+            if len(small) > MOST_SENT:
+                return None
+            chosen, sure = [], 0
+            for r in sorted(small, key=lambda r: (r.bucket0, r.bucket1)):
+                own, other = (r.n_s, r.n_t) if side == 0 else (r.n_t, r.n_s)
+                if own:
+                    chosen.append((r.bucket0, r.bucket1))
+                    sure += own >= other
+                if sure >= most:
+                    return chosen
+            if some >= len(self.buckets):
+                return chosen
+            some *= 8
 
 
 def row_hashes(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, threshold: float | None = None, **options) -> DataFrame:
     """What compare.row_hashes returns: counts of matched and unmatched rows, similarity and a status."""
     tree = _Tree(source, target, columns, options)
     n_s, n_t = tree.total
-    left, right = (df.select("row_hash", "s", "t") for df in tree.narrowed())
+    left, right = tree.narrowed()
     sides = left.unionAll(right).groupBy("row_hash").agg(F.sum("s").alias("n_s"), F.sum("t").alias("n_t"))
     more = lambda a, b: F.coalesce(F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0))), F.lit(0))
     out = sides.agg(more("n_s", "n_t").alias("source_not_in_target_count"), more("n_t", "n_s").alias("target_not_in_source_count"))
@@ -95,17 +125,25 @@ def row_hashes(source: DataFrame, target: DataFrame, columns: Sequence[str] | No
 def unmatched_rows(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, most: int = SAMPLE_ROWS, **options) -> DataFrame:
     """Up to `most` whole rows of each side that have no equal on the other: those with the least hashes.
 
-    side (source or target), row_hash, surplus (how many more of it the side has) and the columns under the source's names. Rows travel
-    with their hash through the tree's last pass, so none is encoded again.
+    side (source or target), row_hash, surplus (how many more of it the side has) and the columns under the source's names. The first unequal
+    buckets hold them, so rows of those alone are read on, and travel with their hash: none is encoded again. Only where that
+    takes more buckets than may be sent are the hashes compared first and their rows looked up.
     """
     tree = _Tree(source, target, columns, options)
-    parts = tree.narrowed()
     out = []
-    for side, (name, df) in enumerate(zip(("source", "target"), parts)):
+    for side, name in enumerate(("source", "target")):
+        own, other = tree.sides[side], tree.sides[1 - side].select("row_hash")
         values = F.struct(*(F.col(f"v{i}") for i in range(len(tree.columns))))
-        own = df.select("row_hash", F.lit(1).alias("n"), values.alias("row"))
-        other = parts[1 - side].select("row_hash", F.lit(-1).alias("n"), F.lit(None).cast(own.schema["row"].dataType).alias("row"))
-        counted = own.unionAll(other).groupBy("row_hash").agg(F.sum("n").alias("surplus"), F.first("row", ignorenulls=True).alias("row")).where("surplus > 0")
-        first = counted.orderBy("row_hash").limit(most)
+        chosen = tree.first_of(side, most) if tree.buckets else []
+        if chosen is None:
+            sides = own.select("row_hash", F.lit(1).alias("n")).unionAll(other.select("row_hash", F.lit(-1).alias("n")))
+            first = sides.groupBy("row_hash").agg(F.sum("n").alias("surplus")).where("surplus > 0").orderBy("row_hash").limit(most)
+            rows = own.select("row_hash", values.alias("row")).join(F.broadcast(first), "row_hash")
+            first = rows.groupBy("row_hash", "surplus").agg(F.first("row").alias("row"))
+        else:
+            near = [tree.within(df, chosen) if chosen else df.limit(0) for df in (own.select("row_hash", values.alias("row")), other)]
+            kind = near[0].schema["row"].dataType
+            both = near[0].select("row_hash", F.lit(1).alias("n"), "row").unionAll(near[1].select("row_hash", F.lit(-1).alias("n"), F.lit(None).cast(kind).alias("row")))
+            first = both.groupBy("row_hash").agg(F.sum("n").alias("surplus"), F.first("row", ignorenulls=True).alias("row")).where("surplus > 0").orderBy("row_hash").limit(most)
         out.append(first.select(F.lit(name).alias("side"), "row_hash", "surplus", *(F.col(f"row.v{i}").alias(c) for i, c in enumerate(tree.columns))))
     return out[0].unionByName(out[1])

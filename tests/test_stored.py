@@ -103,8 +103,9 @@ def test_columns_without_keys(spark, sf_dir):
     assert compare.mismatched_without_keys(s.limit(0), s.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("changed", [0, 1, 5000])
-def test_tree(spark, changed):
+@pytest.mark.parametrize(("changed", "sent"), [(0, 10**5), (1, 10**5), (5000, 10**5), (5000, 40)])
+def test_tree(spark, monkeypatch, changed, sent):
+    monkeypatch.setattr(hash_tree, "MOST_SENT", sent)
     s = spark.range(6000).selectExpr("id % 5500 AS id", "concat('t', id) AS t", "CASE WHEN id % 7 = 0 THEN NULL ELSE id * 0.5D END AS x")
     t = s.withColumn("t", F.when(F.col("id") < changed, F.concat("t", F.lit("?"))).otherwise(F.col("t"))).where(f"NOT (id = 5400 AND {changed} > 0)")
     t = t.unionByName(s.where(f"id = 3 AND {changed} = 1"))
