@@ -8,7 +8,7 @@
 
 Stages 1 to 4 return the columns of their input. A row keeps its columns by meeting its decision on a number of its own,
 written with the row before anything is decided (language carries the whole row instead);
-the columns that a decision needs on the way have names of their own, so names of the input can't clash with them.
+the columns that a decision needs on the way have names that no column of the input begins with, so they can't clash.
 So rows with a null or repeated doc_id are each judged by their own text; a null doc_id is the last that stays of copies.
 """
 
@@ -29,25 +29,29 @@ LEAST_LANGUAGE_EVIDENCE = 0.5
 TEMPER = 0.7
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a written number, __row."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of docs with a written number, and the number's name, with which no column of docs begins."""
+    name = "row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def _only(numbered: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of numbered whose __row is in kept (__kept), without __row."""
-    return numbered.join(kept.hint("shuffle_hash"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+def _only(numbered: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows of numbered whose number is in kept (one column), without the number."""
+    kept = kept.toDF(f"{row}_kept")
+    return numbered.join(kept, F.col(row) == F.col(f"{row}_kept"), "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
+    rows, row = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("__id"), "quality")
-    ids = rows.select("__row", "doc_id")
+    ids = rows.select(F.col(row).alias("__row"), "doc_id")
     known = ids.join(labels, F.col("doc_id") == F.col("__id")).select("__row", "quality")
     sites = queries.page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("doc_id", "__id")
     sites = ids.join(sites, F.col("doc_id") == F.col("__id")).select(F.col("__row").alias("doc_id"), "host", "path")
-    found = quality_classifier.score(rows, known, id_col="__row", label_id_col="__row", sites=sites)
-    return _only(rows, found.where("accepted").select(F.col("doc_id").alias("__kept")))
+    found = quality_classifier.score(rows, known, id_col=row, label_id_col="__row", sites=sites)
+    return _only(rows, row, found.where("accepted").select("doc_id"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,21 +63,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    found = prefix_join.near_documents(rows, id_col="__row", k=5, percent=80).select(F.col("doc_id").alias("__found"), "component_id")
-    named = rows.select("__row", F.col("doc_id").alias("__id")).join(found.hint("shuffle_hash"), F.col("__row") == F.col("__found"))
+    rows, row = _numbered(docs)
+    found = prefix_join.near_documents(rows, id_col=row, k=5, percent=80).select(F.col("doc_id").alias("__found"), "component_id")
+    named = rows.select(F.col(row).alias("__row"), F.col("doc_id").alias("__id")).join(found, F.col("__row") == F.col("__found"))
     least = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__least"))
-    return _only(rows, least.select(F.col("__least.__row").alias("__kept")))
+    return _only(rows, row, least.select("__least.__row"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    rates = soft_mixing.mix(rows, rows, id_col="__row", temper=TEMPER, grow=True)
+    rows, row = _numbered(docs)
+    rates = soft_mixing.mix(rows, rows, id_col=row, temper=TEMPER, grow=True)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     repeats = F.greatest(F.lit(1), F.floor(F.col("rate") + chance)).cast("int")
-    times = rates.select(F.col("doc_id").alias("__id"), repeats.alias("__times"))
-    met = rows.join(times.hint("shuffle_hash"), F.col("__row") == F.col("__id"))
-    return met.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    times = rates.select(F.col("doc_id").alias(f"{row}_id"), repeats.alias(f"{row}_times"))
+    met = rows.join(times, F.col(row) == F.col(f"{row}_id"))
+    return met.withColumn(f"{row}_nth", F.explode(F.sequence(F.lit(1), F.col(f"{row}_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
