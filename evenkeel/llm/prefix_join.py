@@ -12,6 +12,10 @@ A document is its set of distinct k-word shingles. Two link when the Jaccard sim
    the earliest position); once components are known, only pairs that lie in different components are still formed.
    So a family of m near copies costs about m pairs, not m squared, and no pair that could join two components
    is left out: components are exact.
+5. A list of more than CROWD groups that are still apart (templated pages share rare paragraphs by the thousand without linking)
+   isn't joined with itself. Its members are split by what they hold in the parts of a second partition: two sets that link differ in
+   no more than (1 - t) / (1 + t) of their sizes' sum, so of one part more than that, taken by the shingles' hashes, one is the same in
+   both. Only members with an equal part meet, and those of a list's largest component only with others.
 
 What a list's counts decide is written before the list's rows meet it, so that a list with a third of all rows is dealt
 over tasks by the adaptive skew join.
@@ -34,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import components, cut, discard, shingles
+from evenkeel.llm.common import components, cut, discard, mix, shingles
 
 CELLS, PARTS = 1 << 21, 512
 SALTS, BUCKETS = 32, 64
+#: Groups of a list that are paired with one another; larger ones are split first.
+CROWD = 32
 
 
 def least_size(n: int, percent: int) -> int:
@@ -135,6 +141,38 @@ def _sets(k: int, shared):
     return run
 
 
+def parts_of(cls: int, percent: int) -> int:
+    """One more than the shingles in which two linked sets of the size class can differ: sizes are below (1/t)^(cls + 1)."""
+    most = (100 / percent) ** (cls + 1)
+    return int(2 * most * (100 - percent) / (100 + percent) + 1e-6) + 1
+
+
+def _parted(percent: int):
+    """For each node and size class a row for each part: the part's number and class, and a hash of what the set holds in it."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                nodes, classes, components = (some.column(c).to_pylist() for c in ("node", "cls", "component"))
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                for node, cls, component, found in zip(nodes, classes, components, some.column("tokens").to_pylist()):
+                    own = np.array(found, np.int64).view(np.uint64)
+                    spread = mix(own)
+                    parts = parts_of(cls, percent)
+                    place = (spread % np.uint64(parts)).astype(np.int64)
+                    held = np.zeros(parts, np.uint64)
+                    np.add.at(held, place, mix(spread ^ np.uint64(0x5851F42D4C957F2D)))
+                    number = np.bincount(place, minlength=parts).astype(np.uint64)
+                    name = mix((np.uint64(cls) << np.uint64(32)) + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number * np.uint64(0xD1342543DE82EF95))
+                    for column, values in zip(out, (np.full(parts, node), np.full(parts, component), np.full(parts, len(own)), held.view(np.int64), name.view(np.int64))):
+                        column.append(values)
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["node", "component", "n", "held", "part"])
+
+    return run
+
+
 # ---------------------------------------------------------------- candidates and links
 
 
@@ -168,6 +206,22 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(F.col(f"{a}.r"), F.col(f"{b}.r")) >= need)
 
 
+def _equal_parts(parted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that hold the same in one part and may link by their sizes.
+
+    Where many nodes of one component share a part they meet only those of others, so a family of near copies costs no square.
+    """
+    key = ["held", "part"]
+    sizes = parted.groupBy(*key, "component").agg(F.count("*").alias("own"))
+    top = sizes.groupBy(*key).agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("own", "component")).alias("most")).where("kinds > 1").select(*key, "most")
+    met = parted.join(top, key)
+    first = met.where("component <> most").select(*key, F.struct("node", "component", "n").alias("p"))
+    second = met.select(*key, F.struct("node", "component", "n", "most").alias("q"))
+    once = (F.col("q.component") == F.col("q.most")) | (F.col("p.node") < F.col("q.node"))
+    fit = F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
+    return first.join(second, key).where((F.col("p.component") != F.col("q.component")) & once & fit).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id. percent: the threshold t in hundredths."""
     spark = docs.sparkSession
@@ -183,7 +237,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"rows with the id {twice.node} hold different texts")
     # groups: the same prefix and size
     members = cut(nodes.groupBy("head", "n").agg(F.min("node").alias("grp"), F.count("*").alias("members")).join(nodes.select("head", "n", "node"), ["head", "n"]).select("grp", "members", "node"), "members")
-    heads = members.where("grp = node").select("grp").hint("shuffle_hash")
+    heads = members.where("grp = node").select("grp")
     groups = cut(named.select("id", "n", "prefix").join(heads, F.col("id") == F.col("grp"), "left_semi").select(F.col("id").alias("grp"), "n", "prefix"), "groups")
     # most shingles of a prefix are in no other: they are dropped before anything wider is moved
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("at", "token")).select("token", "grp", "n", (F.col("n") - F.col("at")).alias("r"))
@@ -199,9 +253,10 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = cut(lists.join(busy, ["token", "cls"]).select("token", "cls", "grp", "n", "r", "pivot"), "lists")
     discard(posted, busy)
 
+    group_classes = members.where("grp = node").join(nodes.select("node", "n"), "node").select("grp", own.alias("cls"))
     candidates = lists.select(F.col("grp").alias("g")).distinct()
     wanted = members.join(candidates, F.col("grp") == F.col("g"), "left_semi").select("node").union(members.where("members > 1").select("node")).distinct()
-    texts = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
+    texts = rows.join(wanted, F.col("id") == F.col("node"), "left_semi")
     sets = cut(texts.mapInArrow(_sets(k, shared), "node long, n int, buckets array<int>, tokens array<long>"), "whole-sets")
 
     def expand(group_pairs: DataFrame) -> DataFrame:
@@ -220,18 +275,27 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = cut(members.join(first_labels, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component")), "known")
     spread = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_lists = lists.select("token", "cls", "grp", "n", "r").join(spread, "grp")
-    mixed = cut(open_lists.groupBy("token", "cls").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token", "cls"), "mixed")
-    open_lists = cut(open_lists.join(mixed, ["token", "cls"], "left_semi"), "open-lists")
-    side = F.struct("grp", "n", "r", "low", "high")
+    mixed = cut(open_lists.groupBy("token", "cls").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("size")).where("l <> h").select("token", "cls", "size"), "mixed")
+    open_lists = cut(open_lists.join(mixed, ["token", "cls"]), "open-lists")
+    split = spread.where("low <> high").join(members.where("grp = node").select("grp", "members"), "grp")
+    crowded = open_lists.where(F.col("size") > CROWD).select("grp", "cls").union(split.where(F.col("members") > CROWD).join(group_classes, "grp").select("grp", "cls"))
+    crowded = cut(crowded.distinct(), "crowded")
+    side = F.struct("grp", "n", "r", "low", "high", "crowd")
     apart = (F.col("p.low") != F.col("q.low")) | (F.col("p.low") != F.col("p.high")) | (F.col("q.low") != F.col("q.high"))
-    first, second = open_lists.select("token", "cls", side.alias("p")), open_lists.select("token", "cls", side.alias("q"))
-    rest = first.join(second, ["token", "cls"]).where((F.col("p.grp") < F.col("q.grp")) & apart & _may_link("p", "q", percent)).select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).distinct()
-    rest = rest.union(spread.where("low <> high").select(F.col("grp").alias("g"), F.col("grp").alias("h")))
+    # two that are split in this size class meet by their parts
+    few = open_lists.where(F.col("size") <= CROWD).join(crowded.withColumn("crowd", F.lit(True)), ["grp", "cls"], "left").withColumn("crowd", F.col("crowd").isNotNull())
+    first, second = few.select("token", "cls", side.alias("p")), few.select("token", "cls", side.alias("q"))
+    rest = first.join(second, ["token", "cls"]).where((F.col("p.grp") < F.col("q.grp")) & ~(F.col("p.crowd") & F.col("q.crowd")) & apart & _may_link("p", "q", percent)).select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).distinct()
+    rest = rest.union(split.where(F.col("members") <= CROWD).select(F.col("grp").alias("g"), F.col("grp").alias("h")))
     left, right = known.select(F.col("grp").alias("g"), F.col("node").alias("a"), F.col("component").alias("ca")), known.select(F.col("grp").alias("h"), F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = rest.join(left, "g").join(right, "h").where("ca <> cb").select("a", "b")
+    parted = None
+    if not crowded.isEmpty():
+        parted = cut(crowded.join(known, "grp").join(sets.select("node", "tokens"), "node").select("node", "cls", "component", "tokens").mapInArrow(_parted(percent), "node long, component long, n long, held long, part long"), "parts")
+        rest = rest.union(_equal_parts(parted, percent))
     more = _verified(rest, sets, percent)
     labels = cut(components(more.union(first_labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))), "labels")
-    discard(members, lists, sets, links, first_labels, known, mixed, open_lists, more)
+    discard(members, lists, sets, links, first_labels, known, mixed, open_lists, more, crowded, *([parted] if parted is not None else []))
 
     # back to rows: sets with copies over salts, so that no group of copies meets in one task
     done = nodes.join(labels, "node", "left").select("digest", "n", "node", "copies", F.coalesce("component", "node").alias("component"))

@@ -2,6 +2,7 @@ import importlib.util
 import os
 import random
 
+import numpy as np
 import pytest
 
 from evenkeel.llm import oracles, queries
@@ -118,3 +119,58 @@ def test_one_id_with_two_texts_is_an_error(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f")], "doc_id long, text string")
     with pytest.raises(ValueError, match="id 1 "):
         pj.near_documents(df)
+
+
+def paragraphs(n, rng, shared=40, own=12):
+    texts = [" ".join(f"p{p}w{int(x)}" for x in rng.integers(0, 10**6, 40)) for p in range(shared)]
+    return [[texts[i] for i in rng.permutation(shared)[:own]] for _ in range(n)]
+
+
+def test_templated_pages_cost_no_square(spark, monkeypatch):
+    """Pages of shared paragraphs: many meet in every list and nothing links. A list joined with itself had 240 pairs a page here."""
+    counted = []
+    real = pj._verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.distinct().count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(pj, "_verified", counting)
+    costs = []
+    for n in (400, 1600):
+        docs = [(i, " ".join(p)) for i, p in enumerate(paragraphs(n, np.random.default_rng(n)))]
+        counted.clear()
+        out = pj.near_documents(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=90).collect()
+        assert all(r.component_id == r.doc_id for r in out)
+        costs.append(list(counted))
+    # the star has a pair for each entry of a list at most; after it come few pairs a page
+    assert costs[1][0] < 1600 * 2 * 60 and costs[0][1] < 400 and costs[1][1] < 4 * 1600, costs
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_crowded_lists_lose_no_link(spark, monkeypatch, percent):
+    monkeypatch.setattr(pj, "CROWD", 1)
+    rng = np.random.default_rng(percent)
+    docs, made = [], paragraphs(60, rng, shared=14, own=5)
+    for i, page in enumerate(made):
+        words = " ".join(page).split()
+        docs.append((3 * i, " ".join(words)))
+        for j in (1, 2):  # a few words fewer, at the end or in the middle
+            cut = int(rng.integers(1, 40))
+            at = int(rng.integers(0, len(words) - cut))
+            docs.append((3 * i + j, " ".join(words[:at] + words[at + cut :])))
+    docs += [(1000 + i, " ".join(rng.permutation("a b c d e f g h".split())[: int(rng.integers(1, 8))])) for i in range(60)]
+    out = {r.doc_id: r.component_id for r in pj.near_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), k=2, percent=percent).collect()}
+    sets = {}
+    for i, text in docs:
+        w = text.split()
+        sets[i] = {tuple(w[a : a + 2]) for a in range(len(w) - 1)} or {tuple(w)}
+    best = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        before = dict(best)
+        for a, b in links:
+            best[a] = best[b] = min(best[a], best[b])
+        if best == before:
+            break
+    assert links and out == best
