@@ -6,10 +6,12 @@ features and of transitions between languages are learned together by gradients
 (forward-backward); words are labelled by their marginals, again by forward-backward over the whole text. A text's language
 has the largest mean marginal, which is its score.
 
-The model is fitted on a sample of labelled rows with a fixed bound (`per_language` rows of at most `most_chars` characters
-for each language, in the order of a hash; a language that has longer texts only gives `most_chars` characters of each, from
-the first letter on); every text is labelled whole. Every label with a letter in a text is learned; more than MOST_LANGUAGES
-raise an error. A very long text is labelled in pieces at once, with the same marginals. Scoring needs no shuffle: the model (about 1 MB for each language, whatever the input) goes to the tasks.
+The model is fitted on a sample of labelled rows with a fixed bound: `per_language` rows for each language, in the order of a hash,
+of each longer text a window of `most_chars` characters, drawn by the hash among those with a letter. Every text is
+labelled whole, and every label with a letter in a text is learned, whatever their number. As the cost of a word grows with the square of
+the languages, many languages get smaller samples (sample_bounds) and smaller tables of n-grams (table_size), so that what
+training takes and holds stays bounded. A very long text is labelled in pieces at once, with the same marginals. Scoring needs no shuffle:
+the model (about 1 MB for each language up to 128, then 100 MB) goes to the tasks.
 
 The CRF has to choose a learned language. With `evidence`, labelling also tells how far a text's words look like its language
 at all: a word is recognised if most of its byte 4-grams are in two or more distinct sampled texts of that language; the
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import cut, distinct_words, span_hashes, text_groups
 
 PER_LANGUAGE, MOST_CHARS, EPOCHS, LEXICON = 200, 20_000, 24, 400
-#: Training holds about 6 MB for each language on the driver.
-MOST_LANGUAGES = 128
+#: Up to so many languages have whole tables of n-grams.
+FULL_LANGUAGES = 128
+#: Sampled words times the square of the languages; words times languages that training holds at once; a label's rows at least.
+MOST_COST, HELD, LEAST_ROWS = 20_000_000_000, 1 << 24, 20
 UNKNOWN = "und"
 #: Texts of more words than PIECE are labelled in pieces that meet by exact messages, which cost the third power of the
 #: languages; with more than MOST_SPLIT languages they go word by word instead.
@@ -54,13 +58,21 @@ class Model:
     usual: list[float] = field(default_factory=list)  # for each language: median share of recognised words in its texts
 
 
-def gram_codes(buffer: np.ndarray) -> list[np.ndarray]:
+def table_size(languages: int) -> int:
+    """Places of a table of n-grams: a power of two, so that all languages' tables stay within those of FULL_LANGUAGES."""
+    return max(_TABLE >> max(0, -(-languages // FULL_LANGUAGES) - 1).bit_length(), 256)
+
+
+def gram_codes(buffer: np.ndarray, size: int = _TABLE) -> list[np.ndarray]:
     """Table places of the n-grams that begin at each byte of a buffer in which spaces separate words."""
     x = buffer.astype(np.uint32)
     two = x[:-1] << np.uint32(8) | x[1:]
     three = two[:-1] << np.uint32(8) | x[2:]
     four = three[:-1] << np.uint32(8) | x[3:]
     spread = np.uint32(2654435761)
+    if size < _TABLE:
+        shift = np.uint32(33 - size.bit_length())
+        return [(codes * spread >> shift).astype(np.int64) for codes in (two, three, four)]
     return [two.astype(np.int64), (three * spread >> np.uint32(16)).astype(np.int64), (four * spread >> np.uint32(16)).astype(np.int64)]
 
 
@@ -130,7 +142,7 @@ def emissions(model: Model, buffer: np.ndarray, starts: np.ndarray, ends: np.nda
     """words x languages: sums of weights."""
     out = lexicon_rows(model, span_hashes(buffer, starts, ends)) @ model.lexical + model.bias
     text, first, last = spaced(buffer, starts, ends)
-    for order, codes, table in zip(_ORDERS, gram_codes(text), model.grams):
+    for order, codes, table in zip(_ORDERS, gram_codes(text, model.grams.shape[1]), model.grams):
         total = np.zeros((len(codes) + 1, table.shape[1]))
         np.cumsum(table[codes], axis=0, dtype=np.float64, out=total[1:])
         out += total[np.maximum(last + 2 - order, first - 1)] - total[first - 1]
@@ -212,69 +224,116 @@ def marginals(scores: np.ndarray, begins: np.ndarray, moves: np.ndarray, pairs:
     return forward
 
 
+class _Part:
+    """Some of the sampled texts: their distinct words, and places of them."""
+
+    def __init__(self, texts: list[str], truth: list[int]):
+        self.buffer, self.starts, self.ends, self.place, self.first = distinct_words(texts)
+        self.truth = np.repeat(np.array(truth, np.int64), np.diff(self.first))
+        self.hashes = span_hashes(self.buffer, self.starts, self.ends)
+        self.lexical: np.ndarray | None = None
+
+    def grams(self, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order the table places of all words' n-grams, and the word of each."""
+        text, s, e = spaced(self.buffer, self.starts, self.ends)
+        out = []
+        for order, codes in zip(_ORDERS, gram_codes(text, size)):
+            n = np.maximum(e + 2 - order - (s - 1), 0)
+            at = np.repeat(s - 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((codes[at], np.repeat(np.arange(len(s)), n)))
+        return out
+
+    def emissions(self, model: Model) -> np.ndarray:
+        return block_emissions(model, self.buffer, self.starts, self.ends)
+
+
+def block_emissions(model: Model, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind=np.float64) -> np.ndarray:
+    """emissions() of words that follow one another in the buffer, in blocks of bounded size."""
+    k = len(model.languages)
+    out = np.zeros((len(starts), k), kind)
+    for i in range(0, len(starts), block := 50_000 // (max(k, 4) // 4)):
+        a, b = starts[i : i + block], ends[i : i + block]
+        out[i : i + block] = emissions(model, buffer[a[0] : b[-1]], a - a[0], b - a[0])
+    return out
+
+
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, lexicon: int = LEXICON) -> Model:
-    """Fit by full-batch Adam; every word of a text has the text's label."""
+    """Fit by full-batch Adam; every word of a text has the text's label. Texts are gone through in parts of bounded size."""
     languages = sorted(set(labels))
     k = len(languages)
+    size = table_size(k)
     number = {x: i for i, x in enumerate(languages)}
-    buffer, starts, ends, place, first = distinct_words(texts)
-    truth = np.repeat([number[x] for x in labels], np.diff(first))
-    hashes = span_hashes(buffer, starts, ends)
-    text, s, e = spaced(buffer, starts, ends)
-    grams = []
-    for order, codes in zip(_ORDERS, gram_codes(text)):
-        n = np.maximum(e + 2 - order - (s - 1), 0)
-        at = np.repeat(s - 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        grams.append((codes[at], np.repeat(np.arange(len(s)), n)))
-    uses = np.stack([np.bincount(place[truth == i], minlength=len(hashes)) for i in range(k)], axis=1)
+    parts = [_Part(texts[a:b], [number[x] for x in labels[a:b]]) for a, b in text_groups(texts, HELD // k)]
+    # a language's most frequent words
+    every = np.unique(np.concatenate([p.hashes for p in parts]))
+    uses = np.zeros((len(every), k), np.int32)
+    for p in parts:
+        np.add.at(uses, (np.searchsorted(every, p.hashes)[p.place], p.truth), 1)
     top = np.zeros(uses.shape, bool)
     for i in range(k):
-        best = np.argsort(-uses[:, i], kind="stable")[:lexicon]
+        best = np.lexsort((every, -uses[:, i]))[:lexicon]
         top[best, i] = uses[best, i] > 1
     chosen = np.flatnonzero(top.any(axis=1))
-    chosen = chosen[np.argsort(hashes[chosen])]
-    model = Model(languages, np.zeros((len(_ORDERS), _TABLE, k), np.float32), hashes[chosen], top[chosen].astype(np.float32), np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
-    lexical = lexicon_rows(model, hashes)
-    begun = first[:-1][np.diff(first) > 0]
-    stay = np.diag(np.bincount(truth, minlength=k) - np.bincount(truth[begun], minlength=k))
+    model = Model(languages, np.zeros((len(_ORDERS), size, k), np.float32), every[chosen], top[chosen].astype(np.float32), np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
+    del uses, top, every
+    stay = np.zeros((k, k))
+    for p in parts:
+        begun = p.first[:-1][np.diff(p.first) > 0]
+        stay += np.diag(np.bincount(p.truth, minlength=k) - np.bincount(p.truth[begun], minlength=k))
+    total = max(sum(len(p.truth) for p in parts), 1)
+    kept = parts[0].grams(size) if len(parts) == 1 else None
     names = ("grams", "lexical", "bias", "moves")
     speed = {"grams": 0.15, "lexical": 0.1, "bias": 0.05, "moves": 0.2}
-    mean, square = ({n: np.zeros(getattr(model, n).shape) for n in names} for _ in range(2))
+    mean, square = ({n: np.zeros(getattr(model, n).shape, np.float32 if n == "grams" else float) for n in names} for _ in range(2))
     for epoch in range(1, epochs + 1):
         pairs = np.zeros((k, k))
-        rest = -marginals(emissions(model, buffer, starts, ends)[place], first, model.moves, pairs)
-        rest[np.arange(len(truth)), truth] += 1
-        by_word = np.stack([np.bincount(place, rest[:, i], len(hashes)) for i in range(k)], axis=1)
-        slope = {"grams": np.stack([np.stack([np.bincount(codes, by_word[owner, i], _TABLE) for i in range(k)], axis=1) for codes, owner in grams]), "lexical": lexical.T @ by_word, "bias": rest.sum(axis=0), "moves": stay - pairs}
+        slope = {"grams": np.zeros(model.grams.shape), "lexical": np.zeros((k, k)), "bias": np.zeros(k)}
+        for p in parts:
+            rest = -marginals(p.emissions(model)[p.place], p.first, model.moves, pairs)
+            rest[np.arange(len(p.truth)), p.truth] += 1
+            by_word = np.stack([np.bincount(p.place, rest[:, i], len(p.hashes)) for i in range(k)], axis=1)
+            for order, (codes, owner) in enumerate(kept or p.grams(size)):
+                for i in range(k):
+                    slope["grams"][order, :, i] += np.bincount(codes, by_word[owner, i], size)
+            slope["lexical"] += lexicon_rows(model, p.hashes).T @ by_word
+            slope["bias"] += rest.sum(axis=0)
+        slope["moves"] = stay - pairs
         for n in names:
             value = getattr(model, n)
-            g = slope[n] / len(truth) - 1e-5 * value
+            g = slope[n] / total - 1e-5 * value
             mean[n] = 0.9 * mean[n] + 0.1 * g
             square[n] = 0.99 * square[n] + 0.01 * g * g
             value += (speed[n] * (mean[n] / (1 - 0.9**epoch)) / (np.sqrt(square[n] / (1 - 0.99**epoch)) + 1e-7)).astype(value.dtype)
     return model
 
 
+def sample_bounds(languages: int, per_language: int, most_chars: int) -> tuple[int, int]:
+    """Rows of a language and characters of a row, within what MOST_COST leaves for a language (six characters a word)."""
+    chars = 6 * MOST_COST // languages**3
+    if per_language * most_chars <= chars:
+        return per_language, most_chars
+    rows = max(min(per_language, chars // 200), min(per_language, LEAST_ROWS))
+    return rows, max(min(most_chars, chars // rows), 40)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order_col: str = "doc_id", per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> Model | None:
     """The model from a bounded sample; None if no row has a label and a text with a letter."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col), F.lit(11)).alias("h"))
-    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("long", F.length("text") > most_chars)
-    kinds = rows.groupBy("label", "long").agg(F.count("*").alias("n"), F.min("h").cast("double").alias("least"))
-    # false comes before true: long texts count only where a label has no others
-    sizes = kinds.groupBy("label").agg(F.min(F.struct("long", "n", "least")).alias("of")).select("label", "of.*")
-    sizes = cut(sizes, "labels")
+    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = cut(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").cast("double").alias("least")), "labels")
     labels = sizes.count()
     if not labels:
         return None
-    if labels > MOST_LANGUAGES:
-        raise ValueError(f"{labels} labels; at most {MOST_LANGUAGES} can be learned")
+    per_language, most_chars = sample_bounds(labels, per_language, most_chars)
     # a share of the hash range that holds about twice the rows wanted, and one at least; then the first of them
     full = 2.0**64
     bound = F.greatest(F.least(2.0 * per_language / F.col("n"), F.lit(1.0)) * full - full / 2, "least")
-    bounds = sizes.select(F.col("label").alias("of"), F.col("long").alias("is_long"), bound.alias("bound"))
-    near = rows.join(F.broadcast(bounds), (F.col("label") == F.col("of")) & (F.col("long") == F.col("is_long"))).where(F.col("h").cast("double") <= F.col("bound"))
-    begun = F.when(F.col("long"), F.regexp_instr("text", F.lit(r"\p{L}"))).otherwise(1)
-    near = near.select("label", "h", F.substring("text", begun, F.lit(most_chars)).alias("text"))
+    near = rows.join(sizes.select(F.col("label").alias("of"), bound.alias("bound")), F.col("label") == F.col("of")).where(F.col("h").cast("double") <= F.col("bound"))
+    # of a long text one of its windows with a letter
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / most_chars).cast("int")), lambda i: F.substring(F.col("text"), i * most_chars + 1, F.lit(most_chars)))
+    lettered = F.filter(windows, lambda w: w.rlike(r"\p{L}"))
+    window = F.element_at(lettered, (F.pmod(F.col("h"), F.size(lettered)) + 1).cast("int"))
+    near = near.select("label", "h", F.when(F.length("text") > most_chars, window).otherwise(F.col("text")).alias("text"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
     sample = sorted(near.withColumn("place", place).where(F.col("place") <= per_language).collect(), key=lambda r: (r.label, r.place))
     texts, labels = [r.text for r in sample], [r.label for r in sample]
@@ -301,10 +360,8 @@ def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             wide = max(len(names), 4) // 4
             for begin, end in text_groups(texts, 1_500_000 // wide):
                 buffer, starts, ends, place, begins = distinct_words(texts[begin:end])
-                scores = np.zeros((len(starts), len(names)), np.float32)
-                for i in range(0, len(starts), block := 50_000 // wide):
-                    a, b = starts[i : i + block], ends[i : i + block]
-                    scores[i : i + block] = emissions(own, buffer[a[0] : b[-1]], a - a[0], b - a[0])
+                scores = block_emissions(own, buffer, starts, ends, np.float32)
+                block = 50_000 // wide
                 met = np.zeros((len(starts), len(names)), bool)
                 if evidence and own.seen:
                     for i in range(0, len(starts), block):
