@@ -28,8 +28,8 @@ which no word is frequent.
 
 Results that are defined: a null text is an empty one, with the end as its only token; a null id counts as a training row;
 repeated rows are scored each and counted each; an empty table gives no rows; without training texts all words are
-unknown and pieces equally likely; a null class is a class; all classes take part, and more than MOST_CLASSES raise an
-error; other columns are ignored.
+unknown and pieces equally likely; a null class is a class; all classes take part: of more than MOST_CLASSES the most frequent
+ones keep weights of their own, and the others, dealt by a hash, share SHARED weights; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import cut, discard, distinct_words, text_groups
 
 HEAD, ROUNDS, SMOOTHING = 1 << 17, 4, 0.05
-#: A word has a count and a score for each class.
-MOST_CLASSES = 128
+#: A word has a count and a score for each class. With more classes, so many weights are shared by the less frequent ones.
+MOST_CLASSES, SHARED = 128, 32
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LONG = 192  # bytes; longer words are segmented one by one
 
@@ -309,6 +309,25 @@ def tail_scores(tails: list[bytes], weights: np.ndarray) -> np.ndarray:
     return np.array([known[t] for t in tails]).reshape(len(tails), weights.shape[0])
 
 
+def _numbered(rows: DataFrame) -> tuple[int, Column]:
+    """How many weights the training rows' classes (kind) have, and the number of a row's."""
+    training = rows.where(~F.col("held_out"))
+    kinds = [r.kind for r in training.select("kind").distinct().orderBy("kind").limit(MOST_CLASSES + 1).collect()]
+    most = len(kinds) > MOST_CLASSES
+    if most:
+        own = training.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(MOST_CLASSES - SHARED)
+        kinds = [r.kind for r in own.collect()]
+    number = len(kinds) + F.pmod(F.xxhash64("kind"), F.lit(SHARED)).cast("int") if most else F.lit(0)
+    for i, k in enumerate(kinds):
+        number = F.when(F.col("kind").eqNullSafe(F.lit(k).cast("string")), i).otherwise(number)
+    if not most:
+        return len(kinds), number
+    # a shared weight that no class falls to isn't there
+    found = sorted(r.number for r in training.select(number.alias("number")).distinct().collect())
+    compact = {raw: i for i, raw in enumerate(found)}
+    return len(found), F.element_at(F.array(*(F.lit(compact.get(raw, 0)) for raw in range(MOST_CLASSES))), number + 1)
+
+
 def score(
     docs: DataFrame,
     held_out: Column,
@@ -324,13 +343,8 @@ def score(
     kind = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"), kind.alias("kind"))
     pieces = vocabulary(model_path)
-    kinds = [r.kind for r in rows.where(~F.col("held_out")).select("kind").distinct().orderBy("kind").limit(MOST_CLASSES + 1).collect()]
-    if len(kinds) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
-    classes = max(len(kinds), 1)
-    number = F.lit(0)
-    for i, k in enumerate(kinds):
-        number = F.when(F.col("kind").eqNullSafe(F.lit(k).cast("string")), i).otherwise(number)
+    learned, number = _numbered(rows)
+    classes = max(learned, 1)
     numbered = rows.select("text", F.when(F.col("held_out"), classes).otherwise(number).alias("number"))
     c, k = [f"c{i}" for i in range(classes)], [f"k{i}" for i in range(classes)]
     words = numbered.mapInArrow(_counting(classes), "word binary, uses long, " + ", ".join(f"{x} long" for x in c)).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("uses", *c)))
@@ -344,9 +358,9 @@ def score(
     n, v = int(tokens.sum()), stats.v + bool(ends.sum())
     stems = cut(words.groupBy("stem").agg(*(F.count_if(F.col(x) > 0).alias(y) for x, y in zip(c, k))), "stems")
     of_stems = Level(stems.agg(*Level.figures(k)).first(), k)
-    logp = fit(stems, classes, pieces, rounds if kinds else 0)
+    logp = fit(stems, classes, pieces, rounds if learned else 0)
     tails = tail_weights(words, classes)
-    if not kinds:
+    if not learned:
         tokens, ends, of_words.freed, of_stems.total, of_stems.freed = (np.full(1, x) for x in (1.0, 0.5, 0.5, 1.0, 1.0))
     stem_total = np.maximum(of_stems.total, of_stems.freed)
     share = np.log10(ends / ends.sum())

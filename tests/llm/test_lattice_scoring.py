@@ -166,8 +166,27 @@ def test_all_classes_take_part(spark):
 
     out = {r.doc_id: r.score for r in ls.score(df, F.col("doc_id") >= 1000, MODEL, class_col="lang", rounds=1).collect()}
     assert max(out[1000 + i] for i in range(100)) - min(out[1000 + i] for i in range(100)) < 1.5 and min(out.values()) > -5
-    with pytest.raises(ValueError):
-        ls.score(df.withColumn("lang", F.col("doc_id").cast("string")), F.lit(False), MODEL, class_col="lang")
+
+
+def test_more_classes_than_weights(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ls, "MOST_CLASSES", 12)
+    monkeypatch.setattr(ls, "SHARED", 4)
+    # eight classes with two texts keep their weights, 492 with one share four
+    rows = [(i, f"w{i % 500} w{i % 500} common", f"k{i % 500}") for i in range(508)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in ls.score(df, F.col("doc_id") % 100 == 99, MODEL, class_col="lang", rounds=1).collect()}
+    assert len(out) == 508 and all(np.isfinite(r.score) and r.score < 0 for r in out.values())
+    learned, number = ls._numbered(df.select((F.col("doc_id") % 100 == 99).alias("held_out"), F.col("lang").alias("kind")))
+    numbers = {r.lang: r.n for r in df.select("lang", F.lit(False).alias("held_out"), F.col("lang").alias("kind")).select("lang", number.alias("n")).collect()}
+    # the same as with the shared weights' numbers for classes
+    told = df.join(spark.createDataFrame([(k, f"{n:02d}") for k, n in numbers.items()], "lang string, told string"), "lang")
+    monkeypatch.undo()
+    same = {r.doc_id: r.score for r in ls.score(told, F.col("doc_id") % 100 == 99, MODEL, class_col="told", rounds=1).collect()}
+    held = {i for i in out if i % 100 == 99}
+    assert np.allclose([out[i].score for i in out], [same[i] for i in out]) and held
+    assert learned == 12 and set(numbers.values()) == set(range(12)) and len({numbers[f"k{i}"] for i in range(8)}) == 8
 
 
 def test_long_texts_and_words(spark):
