@@ -26,9 +26,9 @@ def test_each_stage_against_its_operators_decisions(spark, sf_dir):
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
     assert len(good - accepted) <= 0.01 * len(good)
 
-    found = {r.doc_id: r for r in crf_language.label(kept, crf_language.fit(kept)).collect()}
+    found = {r.doc_id: r for r in crf_language.label(kept, crf_language.fit(kept), evidence=True).collect()}
     named = stages["language"](spark, kept, sf_dir).cache()
-    assert rows_of(named) == Counter({tuple(r): 1 for r in kept.collect() if found[r.doc_id].lang_pred != "und" and found[r.doc_id].score >= corpus_pipeline.LEAST_LANGUAGE_SCORE})
+    assert rows_of(named) == Counter({tuple(r): 1 for r in kept.collect() if found[r.doc_id].lang_pred != "und" and found[r.doc_id].score >= corpus_pipeline.LEAST_LANGUAGE_SCORE and found[r.doc_id].evidence >= corpus_pipeline.LEAST_LANGUAGE_EVIDENCE})
     assert named.count() >= 0.98 * kept.count()
 
     single = stages["duplicates"](spark, named, sf_dir).cache()

@@ -24,3 +24,16 @@ def test_one_row_of_each_group_of_copies_stays(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = Counter(map(tuple, corpus_pipeline.duplicates(spark, docs, sf_dir).collect()))
     assert out == Counter([(5, one), (None, two), (3, None), (None, "")])
+
+
+@pytest.mark.parametrize("name", ["quality", "language", "duplicates", "mixing"])
+def test_any_names_of_columns(spark, sf_dir, name):
+    docs = queries.table(spark, sf_dir, "documents").where("n_chars between 900 and 1500")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = ["row", "ROW_kept", "__row", "__kept", "__times", "__id", "__nth", "__found", "_row_id", "component_id", "rate", "a.b"]
+    more = docs.selectExpr("*", *(f"doc_id + {i} AS `{c}`" for i, c in enumerate(odd)))
+    out = stage(spark, more, sf_dir)
+    assert out.columns == more.columns
+    rows = out.collect()
+    assert all(r[len(docs.columns) + i] == r.doc_id + i for r in rows for i in range(len(odd)))
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in stage(spark, docs, sf_dir).collect())
