@@ -153,9 +153,9 @@ def encode(name: str, kind: T.DataType, dates_only: bool = False, sort_json: boo
     elif isinstance(kind, T.NumericType):
         out = _double(c)
     else:
-        nested = isinstance(kind, (T.MapType, T.StructType, T.ArrayType))
-        out = _nested(c, kind) if nested else F.trim(c.cast("string")) if trim else c.cast("string")
-        if sort_json:
+        nested = isinstance(kind, (T.MapType, T.StructType, T.ArrayType, T.VariantType))
+        out = F.to_json(c) if isinstance(kind, T.VariantType) else _nested(c, kind) if nested else F.trim(c.cast("string")) if trim else c.cast("string")
+        if sort_json or isinstance(kind, T.VariantType):  # equal variants can differ in the form of their numbers
             out = F.coalesce(json_in_order(out, trim), out)
         out = F.lower(out) if fold else out
         if escape:
@@ -180,6 +180,21 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None, **options) ->
     return F.upper(F.md5(signature(df, columns, **options)))
 
 
+def hash_agg(df: DataFrame, columns: Sequence[str] | None = None, **options) -> Column:
+    """HASH_AGG: an aggregate of any columns that doesn't depend on the order of rows and sees nulls, repeats and every changed value.
+
+    The MD5 of the count and of two sums, of 60-bit lanes of the rows' hashes; tasks send their sums alone. Halves of
+    lanes are summed apart, which can't overflow.
+    """
+    own = row_hash(df, columns, **options)
+    sums = []
+    for i in range(2):
+        lane = F.conv(F.substring(own, 15 * i + 1, 15), 16, 10).cast("long")
+        high, low = F.sum(F.shiftright(lane, 30)), F.sum(lane.bitwiseAND(F.lit((1 << 30) - 1)))
+        sums.append((high.cast("decimal(20,0)") * (1 << 30) + low).cast("decimal(38,0)").cast("string"))
+    return F.upper(F.md5(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums)))
+
+
 def iso_date(c: Column) -> Column:
     """dd-MM-yyyy flipped to yyyy-MM-dd where it is a date; other text as it is."""
     found = F.try_to_timestamp(F.when(c.rlike(r"^\d{2}-\d{2}-\d{4}$"), c), F.lit("dd-MM-yyyy"))

@@ -251,9 +251,18 @@ def group_sample(df: DataFrame, group: dict, columns: Sequence[str] | None = Non
     return df.withColumn("row_hash", row_hash(df, columns, **options)).orderBy("row_hash").limit(n)
 
 
-def column_differences(source: DataFrame, target: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+def _met(a: str, b: str, kind: T.DataType, collation: str | None) -> Column:
+    """Whether two keys are the same; null keys are."""
+    x, y = F.col(a), F.col(b)
+    if collation is not None and isinstance(kind, T.StringType):
+        x, y = F.collate(x, collation), F.collate(y, collation)
+    return x.eqNullSafe(y)
+
+
+def column_differences(source: DataFrame, target: DataFrame, keys: Sequence[str], collation: str | None = None, **options) -> DataFrame:
     """keys, column, source_value, target_value of every difference between rows of equal keys (text forms). Null keys are equal.
 
+    collation: how texts of keys are compared, e.g. UTF8_LCASE or UNICODE_CI (without it: byte by byte); keys are shown as the source has them.
     Values move as they are, which is smaller than their text, and get their text forms where rows of equal keys meet.
     """
     left, right = aligned(source, target)
@@ -263,8 +272,7 @@ def column_differences(source: DataFrame, target: DataFrame, keys: Sequence[str]
     named = {k.lower(): k for k in keys}
     on = [c for c in left.columns if c.lower() in folded]
     s, t = (df.select(*(F.col(f"`{k}`").alias(f"{x}k{i}") for i, k in enumerate(on)), *(F.col(f"`{c}`").alias(f"{x}{i}") for i, c in enumerate(own))) for df, x in ((left, "s"), (right, "t")))
-    same = [F.col(f"sk{i}").eqNullSafe(F.col(f"tk{i}")) for i in range(len(on))]
-    met = s.join(t, same)
+    met = s.join(t, [_met(f"sk{i}", f"tk{i}", kinds[0][k], collation) for i, k in enumerate(on)])
     values = [(c, encode(f"s{i}", kinds[0][c], **options), encode(f"t{i}", kinds[1][c], **options)) for i, c in enumerate(own)]
     each = F.filter(F.array(*(F.when(a != b, F.struct(F.lit(c).alias("column"), a.alias("source_value"), b.alias("target_value"))) for c, a, b in values)), lambda x: x.isNotNull())
     return met.select(*(F.col(f"sk{i}").alias(named[k.lower()]) for i, k in enumerate(on)), F.explode(each).alias("x")).select(*(F.col(f"`{named[k.lower()]}`") for k in on), "x.*")
@@ -314,7 +322,8 @@ def mismatched_without_keys(source: DataFrame, target: DataFrame, columns: Seque
     return judged.where((F.col("rows") > 0) | ((F.col("any_row") == 0) & (F.col("source_fingerprint") != F.col("target_fingerprint")))).select("column", "rows")
 
 
-def keys_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the source whose keys the target hasn't. Null keys are equal."""
+def keys_missing(source: DataFrame, target: DataFrame, keys: Sequence[str], collation: str | None = None) -> DataFrame:
+    """Rows of the source whose keys the target hasn't. Null keys are equal; collation as in column_differences."""
+    kinds = {f.name: f.dataType for f in source.schema}
     there = target.select(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys))).distinct()
-    return source.join(there, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)], "left_anti")
+    return source.join(there, [_met(f"`{k}`", f"__key{i}", kinds.get(k), collation) for i, k in enumerate(keys)], "left_anti")

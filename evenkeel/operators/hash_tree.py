@@ -52,6 +52,8 @@ class _Tree:
         rows = top.select("bucket0", "n_s", "n_t", F.expr(_UNEQUAL).alias("unequal")).collect()
         self.total = sum(r.n_s for r in rows), sum(r.n_t for r in rows)
         self.buckets = sorted(r.bucket0 for r in rows if r.unequal)
+        #: By how many of the first unequal buckets they are in.
+        self.found: dict[int, list] = {}
 
     def _hashes(self) -> DataFrame:
         return self.sides[0].select("row_hash", "s", "t").unionAll(self.sides[1].select("row_hash", "s", "t"))
@@ -63,9 +65,12 @@ class _Tree:
         return df.where(F.substring(F.lit(marked), _bucket(0) + 1, F.lit(1)) == "1")
 
     def smaller(self, buckets: Sequence[int]) -> list:
-        """The unequal smaller buckets of some buckets: bucket0, bucket1, n_s, n_t; MOST_SENT + 1 at most."""
+        """The unequal smaller buckets of some buckets: bucket0, bucket1, n_s, n_t; MOST_SENT + 1 at most. The tables are read for it once."""
+        if len(buckets) in self.found:
+            return self.found[len(buckets)]
         sums = self._in_buckets(self.both, buckets).groupBy(_bucket(0), _bucket(1)).agg(*_sums()).where(_UNEQUAL)
-        return sums.select("bucket0", "bucket1", "n_s", "n_t").limit(MOST_SENT + 1).collect()
+        self.found[len(buckets)] = sums.select("bucket0", "bucket1", "n_s", "n_t").limit(MOST_SENT + 1).collect()
+        return self.found[len(buckets)]
 
     def within(self, df: DataFrame, chosen: Sequence[tuple[int, int]]) -> DataFrame:
         """Rows of some smaller buckets, of MOST_SENT at most."""

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return register
 
 
-from evenkeel.plans import documents, reconciliation, results, warehouse  # noqa: E402, F401  they fill the registry
+from evenkeel.plans import documents, reconciliation, results, values, warehouse  # noqa: E402, F401  they fill the registry

@@ -127,21 +127,57 @@ def sql_complexity(spark, sf_dir):
     return sql_text.complexity(query_log(spark, sf_dir)).select("event_id", "complexity_score", "complexity_level")
 
 
+# A statement for each document, by its number: together they hold every construct, and some in quotes or comments alone.
+_LINT_PARTS = [
+    "SELECT SAFE_DIVIDE(a, {d}), SAFE_CAST(b AS INT64) FROM UNNEST(x) -- QUALIFY IFF(1)",
+    "SELECT a FROM t WHERE x IN UNNEST(y) QUALIFY row_number() OVER (ORDER BY {d}) = 1",
+    "SELECT GENERATE_ARRAY(1, {d}), GENERATE_ARRAY(a, b), COUNTIF(c > 1), 'SAFE_CAST(x)'",
+    "SELECT FORMAT_DATE('%Y', d), FORMAT_DATE('%m', s), TIMESTAMP_ADD(t, INTERVAL {d} DAY)",
+    'SELECT IFF(a > {d}, 1, 0), "UNNEST(x) -- ", f.value FROM t, LATERAL FLATTEN(input => t.a) f',
+    "SELECT STRING_AGG(a, ','), ARRAY_LENGTH(b), SAFE_MULTIPLY(a, {d}), SAFE_ADD(a, b) # TO_HEX(a)",
+    "SELECT SAFE_SUBTRACT(a, {d}), SAFE_NEGATE(a), FARM_FINGERPRINT(b), GENERATE_TIMESTAMP_ARRAY(a, b, c)",
+    "SELECT DATE_TRUNC(d, MONTH), JSON_EXTRACT(j, '$.a'), JSON_EXTRACT_SCALAR(j, '$.b'), JSON_EXTRACT_ARRAY(j) FROM t{d}",
+    "SELECT TO_HEX(a), FROM_HEX(b), TO_BASE64(c), FROM_BASE64(d), NET.HOST(e), `DECLARE {d}`",
+    "DECLARE x DEFAULT {d}; SELECT a[OFFSET(0)], a[SAFE_OFFSET(1)], a[ORDINAL(2)], CAST(b AS BOOL)",
+    "{% call set_sql_header(config) %} SELECT o.get(f, 0), {d}",
+    "SELECT a FROM t WHERE a > {d} LATERAL VIEW explode(b) c",
+    "SELECT a IN LATERAL VIEW explode(b), {d} /* FROM UNNEST(x) */",
+    "SELECT try_divide(a, {d}), count_if(b), 'it''s SAFE_CAST(', \"a # b\" FROM t LATERAL VIEW explode(c) e WHERE a > 1",
+]
+
+
+def _lint_case(spark_sql: bool) -> str:
+    quoted = (lambda t: t.replace("'", "\\'")) if spark_sql else (lambda t: t.replace("'", "''"))
+    kind = "STRING" if spark_sql else "VARCHAR"
+    return f"CASE doc_id % {len(_LINT_PARTS)} " + " ".join(f"WHEN {i} THEN replace('{quoted(t)}', '{{d}}', CAST(doc_id AS {kind}))" for i, t in enumerate(_LINT_PARTS)) + " END"
+
+
 # What each construct looks like in upper-cased text without literals, comments and white space, said apart from the operator's patterns.
 _TRACES = [
-    ("SAFE_DIVIDE", "SAFE_DIVIDE("), ("SAFE_CAST", "SAFE_CAST("), ("UNNEST", "UNNEST("), ("QUALIFY", "QUALIFY"), ("COUNTIF", "COUNTIF("), ("IFF", "IFF("), ("FLATTEN", "LATERALFLATTEN("), ("STRING_AGG", "STRING_AGG("),
-    ("INT64", "INT64"), ("IN_UNNEST", "INUNNEST("), ("ARRAY_LENGTH", "ARRAY_LENGTH("), ("SAFE_MULTIPLY", "SAFE_MULTIPLY("), ("SAFE_ADD", "SAFE_ADD("), ("SAFE_SUBTRACT", "SAFE_SUBTRACT("), ("SAFE_NEGATE", "SAFE_NEGATE("),
-    ("FARM_FINGERPRINT", "FARM_FINGERPRINT("), ("JSON_EXTRACT", "JSON_EXTRACT("), ("JSON_EXTRACT_SCALAR", "JSON_EXTRACT_SCALAR("), ("JSON_EXTRACT_ARRAY", "JSON_EXTRACT_ARRAY("), ("TO_HEX", "TO_HEX("), ("FROM_HEX", "FROM_HEX("),
-    ("TO_BASE64", "TO_BASE64("), ("FROM_BASE64", "FROM_BASE64("), ("DECLARE", "DECLARE"), ("OFFSET", "[OFFSET("), ("SAFE_OFFSET", "[SAFE_OFFSET("), ("ORDINAL", "[ORDINAL("),
+    ("SAFE_DIVIDE", "SAFE_DIVIDE("), ("SAFE_CAST", "SAFE_CAST("), ("UNNEST", "UNNEST("), ("QUALIFY", "QUALIFY"), ("GENERATE_ARRAY", "GENERATE_ARRAY("), ("COUNTIF", "COUNTIF("), ("FORMAT_DATE", "FORMAT_DATE("), ("TIMESTAMP_DIFF", "TIMESTAMP_ADD("), ("IFF", "IFF("), ("FLATTEN", "LATERALFLATTEN("), ("STRING_AGG", "STRING_AGG("),
+    ("INT64", "INT64"), ("IN_UNNEST", "INUNNEST("), ("IN_LATERAL_VIEW", "INLATERALVIEW"), ("WHERE_LATERAL_VIEW", "WHERE%LATERALVIEW"), ("ARRAY_LENGTH", "ARRAY_LENGTH("), ("SAFE_MULTIPLY", "SAFE_MULTIPLY("), ("SAFE_ADD", "SAFE_ADD("), ("SAFE_SUBTRACT", "SAFE_SUBTRACT("), ("SAFE_NEGATE", "SAFE_NEGATE("),
+    ("FARM_FINGERPRINT", "FARM_FINGERPRINT("), ("GENERATE_TIMESTAMP_ARRAY", "GENERATE_TIMESTAMP_ARRAY("), ("DATE_TRUNC", ",MONTH)"), ("JSON_EXTRACT", "JSON_EXTRACT("), ("JSON_EXTRACT_SCALAR", "JSON_EXTRACT_SCALAR("), ("JSON_EXTRACT_ARRAY", "JSON_EXTRACT_ARRAY("), ("TO_HEX", "TO_HEX("), ("FROM_HEX", "FROM_HEX("),
+    ("TO_BASE64", "TO_BASE64("), ("FROM_BASE64", "FROM_BASE64("), ("NET", "NET.HOST("), ("DECLARE", "DECLARE"), ("SET_SQL_HEADER", "SET_SQL_HEADER("), ("GET_FIELD", "O.GET("), ("OFFSET", "[OFFSET("), ("SAFE_OFFSET", "[SAFE_OFFSET("), ("ORDINAL", "[ORDINAL("), ("BOOL", "ASBOOL)"),
 ]
-_FOUND = ", ".join(f"CASE WHEN contains(text, '{trace}') THEN '{name}' END" for name, trace in _TRACES)
+_FOUND = ", ".join(f"CASE WHEN text LIKE '%{trace.replace('_', '!_')}%' ESCAPE '!' THEN '{name}' END" for name, trace in _TRACES)
 
 
-@query(rf"""WITH {_LOG}, bare AS (SELECT event_id, upper(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', '', 'g'), '--[^\n]*', '', 'g'), '\s+', '', 'g')) AS text FROM logged),
-found AS (SELECT event_id, [x FOR x IN [{_FOUND}] IF x IS NOT NULL] AS residual FROM bare)
-SELECT event_id, array_to_string(residual, ',') AS residual, len(residual) = 0 AS is_clean FROM found""")
+@query(rf"""WITH logged AS (SELECT doc_id, {_lint_case(False)} AS sql FROM documents),
+bare AS (SELECT doc_id, upper(regexp_replace(regexp_replace(sql, '''[^'']*''|"[^"]*"|`[^`]*`|--[^\n]*|#[^\n]*|/\*.*?\*/', '', 'g'), '\s+', '', 'g')) AS text FROM logged),
+found AS (SELECT doc_id, [x FOR x IN [{_FOUND}] IF x IS NOT NULL] AS residual FROM bare)
+SELECT doc_id, array_to_string(residual, ',') AS residual, len(residual) = 0 AS is_clean FROM found""")
 def sql_lint_report(spark, sf_dir):
-    return sql_text.remains(query_log(spark, sf_dir)).select("event_id", F.array_join("residual", ",").alias("residual"), "is_clean")
+    log = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_lint_case(True)} AS sql")
+    return sql_text.remains(log).select("doc_id", F.array_join("residual", ",").alias("residual"), "is_clean")
+
+
+@query(f"""WITH k AS (SELECT doc_id, doc_id % {len(_LINT_PARTS)} AS kind FROM documents)
+SELECT doc_id, kind IN (10, 13) AS is_valid, CASE WHEN kind = 10 THEN 'TEMPLATE' END AS reviewed, CASE WHEN kind NOT IN (10, 13) THEN 'RESIDUAL_SYNTAX' END AS error_type,
+  CAST([4, 3, 2, 2, 2, 4, 4, 4, 5, 5, 2, 1, 1, 0][kind + 1] AS INTEGER) AS suggestions FROM k""")
+def sql_lint_kinds(spark, sf_dir):
+    """Whether statements are valid, what people have to look at, and how many suggestions there are."""
+    log = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_lint_case(True)} AS sql")
+    return sql_text.lint(log).select("doc_id", "is_valid", "reviewed", "error_type", F.size("suggestions").alias("suggestions"))
 
 
 @query(f"""WITH {_SCORED} SELECT source_engine, count(*) AS total_queries_processed, count(*) FILTER (event_id % 10 <> 0) AS successful_migrations, count(*) FILTER (event_id % 4 = 0) AS validated_queries,

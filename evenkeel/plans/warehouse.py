@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenkeel.functions import warehouse as f
+from evenkeel.operators.recursion import recursive
 from evenkeel.plans.registry import query, table
+from evenkeel.sources.files import working_folder
 
 # ---- aggregates
 
@@ -137,12 +139,13 @@ def cte_chain(spark, sf_dir):
 @query("""WITH RECURSIVE tree(k, step) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey // 2 = c_custkey OR c_custkey // 2 NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT c.c_custkey, step + 1 FROM tree JOIN customer c ON c.c_custkey // 2 = tree.k AND c.c_custkey <> tree.k) SELECT k, step FROM tree""")
 def recursive_cte(spark, sf_dir):
-    """Customers as a tree in which half of a key is its parent: from every root to every leaf."""
-    return spark.sql(
-        """WITH RECURSIVE tree(k, step) AS (SELECT c_custkey, 0 FROM {customer} WHERE c_custkey div 2 = c_custkey OR NOT EXISTS (SELECT 1 FROM {customer} p WHERE p.c_custkey = {customer}.c_custkey div 2)
-        UNION ALL SELECT c.c_custkey, step + 1 FROM tree JOIN {customer} c ON c.c_custkey div 2 = tree.k AND c.c_custkey <> tree.k) SELECT k, step FROM tree""",
-        customer=table(spark, sf_dir, "customer"),
-    )
+    """Customers as a tree in which half of a key is its parent: from every root to every leaf, a written round for each step."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.expr("c_custkey div 2").alias("parent"))
+    keys = customer.select(F.col("c_custkey").alias("known"))
+    loose = customer.where("c_custkey <> parent").join(keys, F.col("parent") == F.col("known"), "left_anti")
+    roots = customer.where("c_custkey = parent").union(loose).select(F.col("c_custkey").alias("k"), F.lit(0).alias("step"))
+    children = customer.where("c_custkey <> parent")
+    return recursive(roots, lambda rows: children.join(rows, F.col("parent") == F.col("k")).select(F.col("c_custkey").alias("k"), F.col("step") + 1), working_folder(spark, "evenkeel-recursion"))
 
 
 @query("SELECT c_custkey, (SELECT string_agg(o_orderstatus, '|' ORDER BY o_orderstatus) FROM orders WHERE o_custkey = c_custkey) AS states FROM customer")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 _FLAGS = ("1", "true", "yes", "y")
 
 #: Parts of a statement that a semicolon in them doesn't end. Possessive, so that a text of any length needs no deep stack.
-_COMMENT = r"""--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"""
-_QUOTED = r'''"{3}(?:[^"]++|"(?!""))*+"{3}|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|''' + r"'{3}(?:[^']++|'(?!''))*+'{3}|'(?:[^'\\]++|\\.)*+'"
-STATEMENT = rf"""(?s)((?:[^;'"`/-]++|{_COMMENT}|{_QUOTED}|['"`/-])++)"""
+COMMENT = r"""--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"""
+QUOTED = r'''"{3}(?:[^"]++|"(?!""))*+"{3}|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|''' + r"'{3}(?:[^']++|'(?!''))*+'{3}|'(?:[^'\\]++|\\.)*+'"
+STATEMENT = rf"""(?s)((?:[^;'"`/-]++|{COMMENT}|{QUOTED}|['"`/-])++)"""
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -73,4 +73,4 @@ def query_file(spark: SparkSession, path: str) -> DataFrame:
     named = [c for c in ("bq_sql", "sql", "query", "bigquery_sql", "bq_query") if c in df.columns]
     text = F.col(f"`{named[0] if named else df.columns[0]}`")
     statements = F.transform(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return df.select(F.explode(F.filter(statements, lambda s: F.trim(F.regexp_replace(s, rf"(?s){_COMMENT}|\s+", "")) != "")).alias("sql"))
+    return df.select(F.explode(F.filter(statements, lambda s: F.trim(F.regexp_replace(s, rf"(?s){COMMENT}|\s+", "")) != "")).alias("sql"))
