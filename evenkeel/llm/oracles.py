@@ -59,4 +59,20 @@ FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id"""
 OP12 = """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size FROM documents)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d"""
 
-ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op5_grouped_prefix_join": OP5, "op7_pivot_index": OP7, "op12_exact_runs": OP12}
+#: DuckDB has no crc32: it is built from its table of 256 values.
+OP13 = """WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))) AS tab),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(k ORDER BY i) AS k, list(b ORDER BY i) AS b FROM turns GROUP BY c),
+cut AS (SELECT own.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s))), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h FROM own, crc),
+rebuilt AS (SELECT cut.c, list_concat(coalesce(base.k[1:cut.h], []), cut.k[cut.h + 1:]) AS k, list_concat(coalesce(base.b[1:cut.h], []), cut.b[cut.h + 1:]) AS b FROM cut LEFT JOIN own base ON base.c = cut.c - cut.c % 5),
+prefixes AS (SELECT c, k, b, unnest(range(0, len(k) + 1)) AS d FROM rebuilt),
+nodes AS (SELECT k[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN b[d] ELSE 0 END) AS bytes, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(k) = d) AS ends FROM prefixes GROUP BY ALL),
+born AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+placed AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM nodes n LEFT JOIN born ON born.p = n.p),
+upward AS (SELECT p, unnest(range(0, d + 1)) AS k, n_children, saved FROM placed),
+sums AS (SELECT p[1:k] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM upward GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, parent.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM placed x JOIN sums ON sums.p = x.p LEFT JOIN nodes parent ON x.d > 0 AND parent.p = x.p[1:x.d - 1]"""
+
+ORACLES: dict[str, str] = {"op3_host_reputation": OP3, "op5_grouped_prefix_join": OP5, "op7_pivot_index": OP7, "op12_exact_runs": OP12, "op13_lcp_forest": OP13}

@@ -106,3 +106,16 @@ def test_empty_and_repeated(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert nodes(queries.op13_lcp_forest(spark, sf_dir)) == brute(rebuilt(rows))
+
+
+def test_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    from evenkeel.llm import oracles
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    df = queries.op13_lcp_forest(spark, sf_dir)
+    names = ", ".join(sorted(df.columns))
+    got = sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+    assert got == sorted(con.sql(f"select {names} from ({oracles.OP13})").fetchall(), key=repr)
