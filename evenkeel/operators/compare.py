@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +38,17 @@ def schema_rows(df: DataFrame) -> DataFrame:
 
 
 def filled(df: DataFrame) -> DataFrame:
-    """column_name, filled (values that aren't null), distinct_values; all columns in one pass. Complex types have no distinct_values."""
-    plain = [family(f.dataType) != "COMPLEX" for f in df.schema]
-    row = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"filled_{i}") for i, c in enumerate(df.columns)), *((F.countDistinct(F.col(f"`{c}`")) if p else F.lit(None)).alias(f"distinct_values_{i}") for i, (c, p) in enumerate(zip(df.columns, plain))))
-    return _unpivoted(row, df.columns, {"filled": "long", "distinct_values": "long"}).withColumnRenamed("column", "column_name")
+    """column_name, filled (values that aren't null), distinct_values. Complex types have no distinct_values.
+
+    A scan of each column alone, in one plan: counts of distinct values of many columns in one aggregation would repeat every row for each.
+    """
+    out = None
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        plain = family(f.dataType) != "COMPLEX"
+        row = df.select(c.alias("c")).agg(F.count("c").alias("filled"), (F.countDistinct("c") if plain else F.lit(None).cast("long")).alias("distinct_values")).select(F.lit(f.name).alias("column_name"), "filled", "distinct_values")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 def schemas(source: DataFrame, target: DataFrame, case_sensitive: bool = False) -> DataFrame:
@@ -273,8 +281,11 @@ def column_differences(source: DataFrame, target: DataFrame, keys: Sequence[str]
     on = [c for c in left.columns if c.lower() in folded]
     s, t = (df.select(*(F.col(f"`{k}`").alias(f"{x}k{i}") for i, k in enumerate(on)), *(F.col(f"`{c}`").alias(f"{x}{i}") for i, c in enumerate(own))) for df, x in ((left, "s"), (right, "t")))
     met = s.join(t, [_met(f"sk{i}", f"tk{i}", kinds[0][k], collation) for i, k in enumerate(on)])
-    values = [(c, encode(f"s{i}", kinds[0][c], **options), encode(f"t{i}", kinds[1][c], **options)) for i, c in enumerate(own)]
-    each = F.filter(F.array(*(F.when(a != b, F.struct(F.lit(c).alias("column"), a.alias("source_value"), b.alias("target_value"))) for c, a, b in values)), lambda x: x.isNotNull())
+    # values of one type that are equal have one text, so only the others get theirs
+    apart = [F.lit(True) if kinds[0][c] != kinds[1][c] or isinstance(kinds[0][c], (T.MapType, T.VariantType, T.ArrayType, T.StructType)) else ~F.col(f"s{i}").eqNullSafe(F.col(f"t{i}")) for i, c in enumerate(own)]
+    met = met.where(reduce(lambda x, y: x | y, apart, F.lit(False)))
+    values = [(c, x, encode(f"s{i}", kinds[0][c], **options), encode(f"t{i}", kinds[1][c], **options)) for i, (c, x) in enumerate(zip(own, apart))]
+    each = F.filter(F.array(*(F.when(x & (a != b), F.struct(F.lit(c).alias("column"), a.alias("source_value"), b.alias("target_value"))) for c, x, a, b in values)), lambda x: x.isNotNull())
     return met.select(*(F.col(f"sk{i}").alias(named[k.lower()]) for i, k in enumerate(on)), F.explode(each).alias("x")).select(*(F.col(f"`{named[k.lower()]}`") for k in on), "x.*")
 
 
