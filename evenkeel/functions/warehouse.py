@@ -102,6 +102,52 @@ def week_start_sunday(c) -> Column:
     return F.date_sub(F.date_trunc("week", F.date_add(col(c).cast("date"), 1)).cast("date"), 1)
 
 
+def last_day(c, part: str = "month") -> Column:
+    """LAST_DAY(date, part); a week ends on Saturday, an isoweek on Sunday."""
+    d = col(c).cast("date")
+    if part == "week":
+        return F.date_add(week_start_sunday(d), 6)
+    if part == "isoweek":
+        return F.date_add(F.date_trunc("week", d).cast("date"), 6)
+    return F.date_sub(F.add_months(F.date_trunc(part, d).cast("date"), _MONTHS[part]), 1)
+
+
+def extract(part: str, c) -> Column:
+    """EXTRACT with the parts of other warehouses: as long, and as double for epoch."""
+    t = col(c)
+    micros = F.extract(F.lit("second"), t.cast("timestamp_ntz")) * 1_000_000
+    parts = {
+        "dayofweek": F.dayofweek(t), "day_of_week": F.weekday(t) + 1, "dow": F.weekday(t) + 1, "dayofyear": F.dayofyear(t), "day_of_year": F.dayofyear(t), "doy": F.dayofyear(t), "isoweek": F.weekofyear(t), "isoyear": F.extract(F.lit("YEAROFWEEK"), t), "year_of_week": F.extract(F.lit("YEAROFWEEK"), t), "yow": F.extract(F.lit("YEAROFWEEK"), t),
+        "week": F.floor((F.dayofyear(t) - F.dayofweek(t) + 7) / 7), "millisecond": F.floor(micros / 1000) % 1000, "microsecond": micros % 1_000_000,
+    }
+    found = parts.get(part.lower())
+    return (found if found is not None else F.extract(F.lit(part), t)).cast("long")
+
+
+# ---- networks
+
+
+def net_host(c) -> Column:
+    """NET.HOST: the host of a url without user and port; null where there is none."""
+    return F.nullif(F.regexp_extract(col(c), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)", 1), F.lit(""))
+
+
+def net_public_suffix(c, suffixes: Sequence[str] = ()) -> Column:
+    """NET.PUBLIC_SUFFIX: the last label of the host, or one of the given suffixes of several labels."""
+    host = F.lower(net_host(c))
+    found = F.element_at(F.split(host, r"\."), -1)
+    for suffix in sorted(suffixes, key=len):
+        found = F.when((host == suffix) | host.endswith("." + suffix), F.lit(suffix)).otherwise(found)
+    return found
+
+
+def net_reg_domain(c, suffixes: Sequence[str] = ()) -> Column:
+    """NET.REG_DOMAIN: the public suffix and the label before it; null where there is none."""
+    host, suffix = F.lower(net_host(c)), net_public_suffix(c, suffixes)
+    before = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
+    return F.when(F.length(before) > 0, F.concat(F.element_at(F.split(before, r"\."), -1), F.lit("."), suffix))
+
+
 # Strftime tokens and their Java patterns.
 STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%p": "a", "%I": "hh", "%%": "%"}
 

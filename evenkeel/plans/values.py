@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evenkeel.functions import geo
 from evenkeel.functions import variant as v
+from evenkeel.functions import warehouse as f
 from evenkeel.functions.canonical import hash_agg
 from evenkeel.operators import compare, reshape, sketches
 from evenkeel.plans.forms import hash_sql, int_sql, text_sql
@@ -98,3 +100,36 @@ def pivot_unpivot(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("block"), F.lower(F.coalesce("lang", F.lit("none"))).alias("lang"), "n_chars")
     wide = reshape.pivot(documents, ["block"], "lang", {"n": F.count("*"), "longest": F.max("n_chars")})
     return reshape.unpivot(wide, ["block"], wide.columns[1:], nulls=True)
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)', 1) AS host FROM pages)
+SELECT page_id, nullif(host, '') AS host, nullif(regexp_extract(lower(host), '[^.]*$'), '') AS suffix, nullif(regexp_extract(lower(host), '[^.]+\.[^.]*$'), '') AS domain FROM h""")
+def fn_network(spark, sf_dir):
+    """NET.HOST, NET.PUBLIC_SUFFIX, NET.REG_DOMAIN."""
+    return table(spark, sf_dir, "pages").select("page_id", f.net_host("url").alias("host"), f.net_public_suffix("url").alias("suffix"), f.net_reg_domain("url").alias("domain"))
+
+
+@query("""WITH d AS (SELECT doc_id, TIMESTAMP '1999-12-20 01:02:03.456789' + INTERVAL 1 HOUR * (doc_id * 37) AS t FROM documents)
+SELECT doc_id, CAST(last_day(t) AS DATE) AS month, CAST(date_trunc('quarter', t) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter, make_date(year(t), 12, 31) AS year, CAST(date_trunc('week', t + INTERVAL 1 DAY) + INTERVAL 5 DAY AS DATE) AS week,
+  CAST(date_trunc('week', t) + INTERVAL 6 DAY AS DATE) AS isoweek, isodow(t) AS day_of_week, dayofweek(t) + 1 AS dayofweek, CAST(strftime(t, '%U') AS BIGINT) AS week_number, weekofyear(t) AS iso_number, isoyear(t) AS iso_year, microsecond(t) % 1000000 AS micros FROM d""")
+def fn_last_day(spark, sf_dir):
+    """LAST_DAY with parts, and EXTRACT with the parts of other warehouses."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "timestamp_ntz '1999-12-20 01:02:03.456789' + make_dt_interval(0, CAST(doc_id * 37 AS INT)) AS t")
+    ends = [f.last_day("t", p).alias(p) for p in ("month", "quarter", "year", "week", "isoweek")]
+    parts = {"day_of_week": "day_of_week", "dayofweek": "dayofweek", "week_number": "week", "iso_number": "isoweek", "iso_year": "isoyear", "micros": "microsecond"}
+    return d.select("doc_id", *ends, *(f.extract(part, "t").alias(name) for name, part in parts.items()))
+
+
+_KM = "2 * 6371008.8 * asin(sqrt(least(pow(sin(radians(lat - 20) / 2), 2) + cos(radians(20)) * cos(radians(lat)) * pow(sin(radians(lon - 10) / 2), 2), 1)))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, CAST(doc_id * 37 % 360 - 180 AS DOUBLE) AS lon, CAST(doc_id * 17 % 200 - 100 AS DOUBLE) AS lat FROM documents), q AS (SELECT doc_id, lon, CASE WHEN abs(lat) <= 90 THEN lat END AS lat FROM p)
+SELECT doc_id, CASE WHEN lat IS NOT NULL THEN 'POINT(' || CAST(lon AS BIGINT) || ' ' || CAST(lat AS BIGINT) || ')' END AS text, round({_KM}, 2) AS metres, {_KM} <= 3000000 AS near,
+  round(CASE WHEN lon <> 10 OR lat <> 20 THEN (atan2(sin(radians(10 - lon)) * cos(radians(20)), cos(radians(lat)) * sin(radians(20)) - sin(radians(lat)) * cos(radians(20)) * cos(radians(10 - lon))) + 2 * pi()) % (2 * pi()) END, 6) AS direction,
+  coalesce(lat >= 0 AND lat < 40 AND lon >= -20 AND lon < 60, false) AS inside FROM q""")
+def fn_geo(spark, sf_dir):
+    """ST_GEOGPOINT, ST_ASTEXT, ST_DISTANCE, ST_DWITHIN, ST_AZIMUTH, ST_CONTAINS."""
+    points = table(spark, sf_dir, "documents").select("doc_id", geo.point(F.expr("doc_id * 37 % 360 - 180"), F.expr("doc_id * 17 % 200 - 100")).alias("p"))
+    here = geo.point(F.lit(10), F.lit(20))
+    ring = F.array(*(geo.point(F.lit(x), F.lit(y)) for x, y in ((-20, 0), (60, 0), (60, 40), (-20, 40), (-20, 0))))
+    return points.select("doc_id", geo.as_text("p").alias("text"), F.round(geo.distance(here, "p"), 2).alias("metres"), geo.within(here, "p", 3_000_000).alias("near"), F.round(geo.azimuth("p", here), 6).alias("direction"), F.coalesce(geo.contains(ring, "p"), F.lit(False)).alias("inside"))
