@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import cut, distinct_words, span_hashes, text_groups
 
@@ -345,11 +346,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
 def label(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, evidence: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, n_words, n_switches, with spans an array of (lang, first_word, n_words), with evidence a number (about 1 is usual)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     if model is None:
         model = Model([UNKNOWN], np.zeros((len(_ORDERS), _TABLE, 1), np.float32), np.zeros(0, np.uint64), np.zeros((0, 1), np.float32), np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"doc_id {kind}, lang_pred string, score double, n_words long, n_switches long" + ", spans array<struct<lang: string, first_word: long, n_words: long>>" * spans + ", evidence double" * evidence
+    span = T.StructType().add("lang", "string").add("first_word", "long").add("n_words", "long")
+    schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("lang_pred", "string").add("score", "double").add("n_words", "long").add("n_switches", "long")
+    schema = schema.add("spans", T.ArrayType(span)) if spans else schema
+    schema = schema.add("evidence", "double") if evidence else schema
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches):
