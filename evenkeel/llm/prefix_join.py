@@ -12,8 +12,10 @@ A document is its set of distinct k-word shingles. Two link when the Jaccard sim
    the earliest position); once components are known, only pairs that lie in different components are still formed.
    So a family of m near copies costs about m pairs, not m squared, and no pair that could join two components
    is left out: components are exact.
-5. A list of more than CROWD groups that are still apart (templated pages share rare paragraphs by the thousand without linking)
-   isn't joined with itself. Its members are split by what they hold in the parts of a second partition: two sets that link differ in
+   A set's sketch is the parity of the numbers of its shingles in 256 cells. Two sets' sketches differ in no more cells than
+   the sets differ in shingles, so a pair whose sketches differ in more can't link and isn't formed: exact, and enough to
+   keep templated pages apart, which share rare paragraphs by the hundred without linking.
+5. A list of more than CROWD groups that are still apart isn't joined with itself. Its members are split by what they hold in the parts of a second partition: two sets that link differ in
    no more than (1 - t) / (1 + t) of their sizes' sum, so of one part more than that, taken by the shingles' hashes, one is the same in
    both. Only members with an equal part meet, and those of a list's largest component only with others.
 
@@ -42,8 +44,9 @@ from evenkeel.llm.common import components, cut, discard, mix, shingles
 
 CELLS, PARTS = 1 << 21, 512
 SALTS, BUCKETS = 32, 64
-#: Groups of a list that are paired with one another; larger ones are split first.
-CROWD = 32
+#: Groups of a list that are held against one another; larger ones are split first.
+CROWD = 1024
+SKETCH = ("p0", "p1", "p2", "p3")
 
 
 def least_size(n: int, percent: int) -> int:
@@ -103,17 +106,27 @@ def tokens(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique(ranked)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens in 256 cells, as four integers."""
+    cells = (mix(own) & np.uint64(255)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ np.uint64(1 << 63)).view(np.int64)  # keeps the order
 
 
+def tokens_of(signed: np.ndarray) -> np.ndarray:
+    return signed.view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def _prefixes(k: int, percent: int, shared):
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids = batch.column(0)
             for at in range(0, batch.num_rows, 2048):
-                sizes, digests, heads, prefixes = [], [], [], []
+                sizes, digests, heads, prefixes, sketches = [], [], [], [], []
                 for _, found in shingles(batch.column(1).slice(at, 2048).to_pylist(), k):
                     own = tokens(found, levels)
                     n = len(own)
@@ -122,7 +135,9 @@ def _prefixes(k: int, percent: int, shared):
                     head = own[: n - least_size(n, percent) + 1]
                     heads.append(hashlib.blake2b(head.tobytes(), digest_size=16).digest() if n else None)
                     prefixes.append(_signed(head) if n else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 2048), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "digest", "head", "prefix"])
+                    sketches.append(sketch(own))
+                columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(sketches, np.int64).reshape(-1, 4).T]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 2048), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), *columns], names=["id", "n", "digest", "head", "prefix", *SKETCH])
 
     return run
 
@@ -155,7 +170,7 @@ def _parted(percent: int):
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 nodes, classes, components = (some.column(c).to_pylist() for c in ("node", "cls", "component"))
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[] for _ in range(5 + len(SKETCH))]
                 for node, cls, component, found in zip(nodes, classes, components, some.column("tokens").to_pylist()):
                     own = np.array(found, np.int64).view(np.uint64)
                     spread = mix(own)
@@ -165,10 +180,10 @@ def _parted(percent: int):
                     np.add.at(held, place, mix(spread ^ np.uint64(0x5851F42D4C957F2D)))
                     number = np.bincount(place, minlength=parts).astype(np.uint64)
                     name = mix((np.uint64(cls) << np.uint64(32)) + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number * np.uint64(0xD1342543DE82EF95))
-                    for column, values in zip(out, (np.full(parts, node), np.full(parts, component), np.full(parts, len(own)), held.view(np.int64), name.view(np.int64))):
+                    for column, values in zip(out, (np.full(parts, node), np.full(parts, component), np.full(parts, len(own)), held.view(np.int64), name.view(np.int64), *(np.full(parts, c) for c in sketch(tokens_of(own))))):
                         column.append(values)
                 if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["node", "component", "n", "held", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["node", "component", "n", "held", "part", *SKETCH])
 
     return run
 
@@ -215,11 +230,19 @@ def _equal_parts(parted: DataFrame, percent: int) -> DataFrame:
     sizes = parted.groupBy(*key, "component").agg(F.count("*").alias("own"))
     top = sizes.groupBy(*key).agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("own", "component")).alias("most")).where("kinds > 1").select(*key, "most")
     met = parted.join(top, key)
-    first = met.where("component <> most").select(*key, F.struct("node", "component", "n").alias("p"))
-    second = met.select(*key, F.struct("node", "component", "n", "most").alias("q"))
+    first = met.where("component <> most").select(*key, F.struct("node", "component", "n", *SKETCH).alias("p"))
+    second = met.select(*key, F.struct("node", "component", "n", "most", *SKETCH).alias("q"))
     once = (F.col("q.component") == F.col("q.most")) | (F.col("p.node") < F.col("q.node"))
     fit = F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
-    return first.join(second, key).where((F.col("p.component") != F.col("q.component")) & once & fit).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    return first.join(second, key).where((F.col("p.component") != F.col("q.component")) & once & fit & _near("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two sets' sketches differ in no more cells than linked sets differ in shingles."""
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    need = F.ceil(both * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    return apart <= both - 2 * need
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -227,11 +250,11 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(frequency_levels(rows.select("text"), k).tobytes())
-    about = cut(rows.mapInArrow(_prefixes(k, percent, shared), "id long, n int, digest binary, head binary, prefix array<long>"), "prefixes")
+    about = cut(rows.mapInArrow(_prefixes(k, percent, shared), "id long, n int, digest binary, head binary, prefix array<long>, p0 long, p1 long, p2 long, p3 long"), "prefixes")
 
     # equal sets: one node each, named by the least id
     named = about.where("digest is not null and id is not null")
-    nodes = cut(named.groupBy("digest", "head", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "sets")
+    nodes = cut(named.groupBy("digest", "head", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in SKETCH)), "sets")
     twice = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").first()
     if twice is not None:
         raise ValueError(f"rows with the id {twice.node} hold different texts")
@@ -272,26 +295,28 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first_labels = cut(components(links), "labels")
 
     # what lies in different components and may still link
-    known = cut(members.join(first_labels, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component")), "known")
-    spread = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    known = cut(members.join(nodes.select("node", "n", *SKETCH), "node").join(first_labels, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component"), "n", *SKETCH), "known")
+    spread = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).join(known.where("grp = node").select("grp", *SKETCH), "grp")
     open_lists = lists.select("token", "cls", "grp", "n", "r").join(spread, "grp")
     mixed = cut(open_lists.groupBy("token", "cls").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("size")).where("l <> h").select("token", "cls", "size"), "mixed")
     open_lists = cut(open_lists.join(mixed, ["token", "cls"]), "open-lists")
-    split = spread.where("low <> high").join(members.where("grp = node").select("grp", "members"), "grp")
+    split = spread.where("low <> high").select("grp", "members")
     crowded = open_lists.where(F.col("size") > CROWD).select("grp", "cls").union(split.where(F.col("members") > CROWD).join(group_classes, "grp").select("grp", "cls"))
     crowded = cut(crowded.distinct(), "crowded")
-    side = F.struct("grp", "n", "r", "low", "high", "crowd")
+    side = F.struct("grp", "n", "r", "low", "high", "crowd", "members", *SKETCH)
     apart = (F.col("p.low") != F.col("q.low")) | (F.col("p.low") != F.col("p.high")) | (F.col("q.low") != F.col("q.high"))
     # two that are split in this size class meet by their parts
     few = open_lists.where(F.col("size") <= CROWD).join(crowded.withColumn("crowd", F.lit(True)), ["grp", "cls"], "left").withColumn("crowd", F.col("crowd").isNotNull())
+    # a group's sketch is that of its only member
+    near = (F.col("p.members") > 1) | (F.col("q.members") > 1) | _near("p", "q", percent)
     first, second = few.select("token", "cls", side.alias("p")), few.select("token", "cls", side.alias("q"))
-    rest = first.join(second, ["token", "cls"]).where((F.col("p.grp") < F.col("q.grp")) & ~(F.col("p.crowd") & F.col("q.crowd")) & apart & _may_link("p", "q", percent)).select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).distinct()
+    rest = first.join(second, ["token", "cls"]).where((F.col("p.grp") < F.col("q.grp")) & ~(F.col("p.crowd") & F.col("q.crowd")) & apart & _may_link("p", "q", percent) & near).select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).distinct()
     rest = rest.union(split.where(F.col("members") <= CROWD).select(F.col("grp").alias("g"), F.col("grp").alias("h")))
-    left, right = known.select(F.col("grp").alias("g"), F.col("node").alias("a"), F.col("component").alias("ca")), known.select(F.col("grp").alias("h"), F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = rest.join(left, "g").join(right, "h").where("ca <> cb").select("a", "b")
+    left, right = known.select(F.col("grp").alias("g"), F.col("node").alias("a"), F.col("component").alias("ca"), F.struct("n", *SKETCH).alias("x")), known.select(F.col("grp").alias("h"), F.col("node").alias("b"), F.col("component").alias("cb"), F.struct("n", *SKETCH).alias("y"))
+    rest = rest.join(left, "g").join(right, "h").where((F.col("ca") != F.col("cb")) & _near("x", "y", percent)).select("a", "b")
     parted = None
     if not crowded.isEmpty():
-        parted = cut(crowded.join(known, "grp").join(sets.select("node", "tokens"), "node").select("node", "cls", "component", "tokens").mapInArrow(_parted(percent), "node long, component long, n long, held long, part long"), "parts")
+        parted = cut(crowded.join(known.select("grp", "node", "component"), "grp").join(sets.select("node", "tokens"), "node").select("node", "cls", "component", "tokens").mapInArrow(_parted(percent), "node long, component long, n long, held long, part long, p0 long, p1 long, p2 long, p3 long"), "parts")
         rest = rest.union(_equal_parts(parted, percent))
     more = _verified(rest, sets, percent)
     labels = cut(components(more.union(first_labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))), "labels")

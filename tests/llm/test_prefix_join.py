@@ -136,20 +136,26 @@ def test_templated_pages_cost_no_square(spark, monkeypatch):
         return real(pairs, *rest)
 
     monkeypatch.setattr(pj, "_verified", counting)
-    costs = []
-    for n in (400, 1600):
-        docs = [(i, " ".join(p)) for i, p in enumerate(paragraphs(n, np.random.default_rng(n)))]
-        counted.clear()
-        out = pj.near_documents(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=90).collect()
-        assert all(r.component_id == r.doc_id for r in out)
-        costs.append(list(counted))
+    docs = [(i, " ".join(p)) for i, p in enumerate(paragraphs(1600, np.random.default_rng(1600)))]
+    out = pj.near_documents(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=90).collect()
+    assert all(r.component_id == r.doc_id for r in out)
     # the star has a pair for each entry of a list at most; after it come few pairs a page
-    assert costs[1][0] < 1600 * 2 * 60 and costs[0][1] < 400 and costs[1][1] < 4 * 1600, costs
+    assert counted[0] < 1600 * 2 * 60 and counted[1] < 400, counted
 
 
-@pytest.mark.parametrize("percent", [60, 80, 90])
-def test_crowded_lists_lose_no_link(spark, monkeypatch, percent):
-    monkeypatch.setattr(pj, "CROWD", 1)
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 40)), dtype=np.uint64)]))
+        apart = sum(bin(int(x) & (2**64 - 1)).count("1") for x in pj.sketch(a) ^ pj.sketch(b))
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+        assert (pj.tokens_of(pj._signed(a)) == a).all()
+
+
+@pytest.mark.parametrize(("percent", "crowd"), [(80, 1), (90, 6)])
+def test_crowded_lists_lose_no_link(spark, monkeypatch, percent, crowd):
+    monkeypatch.setattr(pj, "CROWD", crowd)
     rng = np.random.default_rng(percent)
     docs, made = [], paragraphs(60, rng, shared=14, own=5)
     for i, page in enumerate(made):
